@@ -14,7 +14,7 @@ from .common import ASCII_LOWER, Scratch, WordHashes, as_long, mix64, ngram_hash
 from .components import connected_components
 
 #: A signature that more classes than this share is set aside; see ``_scan_signatures``.
-HOT = 32
+HOT = 24
 #: Shingles of one block of a candidate family; a larger family is split into blocks.
 BLOCK = 1_500_000
 
@@ -27,30 +27,37 @@ class JoinRule:
     num: int = 4
     den: int = 5
 
-    def levels(self, n: int) -> list[tuple[int, int, int, bool]]:
-        """Levels of a set of ``n`` shingles: (level, parts, slack, whether it is one of the level's larger sets).
+    def levels(self, n: int) -> list[tuple[int, int, bool]]:
+        """Levels of a set of ``n`` shingles: (level, parts, whether it is one of the level's larger sets).
 
         Level k serves pairs whose larger set has ``S[k]`` to ``S[k+1]-1`` shingles. Such a pair that links
-        differs by at most ``d`` shingles, so of ``d + 1 + slack`` parts of the hash range at least
-        ``1 + slack`` hold the same shingles in both. Levels with ``d = 0`` link equal sets only and are left out.
+        differs by at most ``d`` shingles, so all but ``d`` parts of the hash range hold the same shingles in
+        both. What parts there are beyond ``d`` allows for empty parts, for hot ones, and for a number that
+        must be shared. Levels with ``d = 0`` link equal sets only and are left out.
         """
         out = []
         for k, (low, high) in enumerate(zip(_SIZES, _SIZES[1:])):
             if -(-low * self.num // self.den) > n:
                 break
             if n < high and (d := self.difference(k)):
-                out.append((k, d + 1 + self.slack(k), self.slack(k), n >= low))
+                empty = d * (self.den - self.num) // (2 * self.den)
+                out.append((k, d + 1 + self.shared(k) + self.hot(k) + empty, n >= low))
         return out
 
     def difference(self, level: int) -> int:
         return 2 * (_SIZES[level + 1] - 1) * (self.den - self.num) // (self.den + self.num)
 
-    def slack(self, level: int) -> int:
-        return 2 + self.difference(level) // 8
+    def shared(self, level: int) -> int:
+        """Two sets share more than so many parts that are neither empty nor hot, if empty ones are as few as allowed for."""
+        return 2 + self.difference(level) // 12
+
+    def hot(self, level: int) -> int:
+        """A set with no more hot parts than this needs none of them."""
+        return 1 + self.difference(level) // 6
 
 
 _SIZES = [1]
-while _SIZES[-1] < 1 << 40:
+while _SIZES[-1] < 1 << 32:
     _SIZES.append(max(_SIZES[-1] + 1, _SIZES[-1] * 5 // 4))
 
 
@@ -84,11 +91,18 @@ def _sizes(rule: JoinRule):
 def _signatures(rule: JoinRule):
     def of_set(grams: np.ndarray, cls: int) -> Iterator[tuple]:
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(grams))))
-        for level, parts, _, larger in rule.levels(len(grams)):
+        for level, parts, larger in rule.levels(len(grams)):
             part = np.arange(parts, dtype=np.uint64)
             edges = np.searchsorted(grams, part[1:] * np.uint64((1 << 64) // parts))
-            held = sums[np.concatenate((edges, [len(grams)]))] - sums[np.concatenate(([0], edges))]
-            yield mix64(held * np.uint64(0x9E3779B97F4A7C15) + part + np.uint64(level << 32)), cls, level if larger else -level - 1
+            bounds = np.concatenate(([0], edges, [len(grams)]))
+            full = bounds[1:] > bounds[:-1]
+            # parts that are surely shared with any set it links to, and neither empty nor hot
+            sure = int(full.sum()) - rule.difference(level) - rule.hot(level)
+            need = min(max(sure, 1), 1 + rule.shared(level), 255)
+            chosen = np.flatnonzero(full) if sure >= 1 else np.arange(parts)
+            held = sums[bounds[chosen + 1]] - sums[bounds[chosen]]
+            code = level << 8 | need
+            yield mix64(held * np.uint64(0x9E3779B97F4A7C15) + part[chosen] + np.uint64(level << 32)), cls, code if larger else -code
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -115,77 +129,81 @@ def _signature_batch(found: list[tuple]) -> pa.RecordBatch:
         [
             as_long(np.concatenate([s for s, _, _ in found])),
             pa.array(np.repeat(np.array([c for _, c, _ in found], np.int64), lengths)),
-            pa.array(np.repeat(np.array([v for _, _, v in found], np.int16), lengths)),
+            pa.array(np.repeat(np.array([v for _, _, v in found], np.int32), lengths)),
         ],
-        ["sig", "class", "level"],
+        ["sig", "class", "code"],
     )
 
 
 def _scan_signatures(rule: JoinRule):
-    """Edges between classes that share a signature, from rows sorted by (signature, class).
+    """Pairs of classes that share a signature, from rows sorted by (signature, class).
 
-    A signature of up to HOT classes gives an edge from each to the first. Signatures of more classes
-    come out row by row (``sig`` set): a class whose hot signatures at a level don't outnumber the
-    slack shares a signature that isn't hot with all that it links to, so it needs none of them.
+    A signature of up to HOT classes gives its pairs, a bounded number. Signatures of more classes come out
+    row by row (``sig`` set): a class whose hot signatures at a level are no more than the rule allows shares
+    others with all that it links to and needs none of them.
     """
-    slack_of = np.array([rule.slack(k) for k in range(len(_SIZES) - 1)], np.int64)
-
-    def out(sig, node, leader, level) -> pa.RecordBatch:
-        larger = level >= 0
-        k = np.where(larger, level, -level - 1)
-        slack = slack_of[k].astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(sig) if sig is not None else pa.nulls(len(node), pa.int64()), pa.array(node),
-                pa.array(leader) if leader is not None else pa.nulls(len(node), pa.int64()),
-                pa.array(k.astype(np.int32)), pa.array(larger), pa.array(slack),
-            ],
-            ["sig", "a", "b", "level", "larger", "slack"],
-        )
+    allowed = np.array([rule.hot(k) for k in range(len(_SIZES) - 1)], np.int32)
+    names = ["sig", "a", "b", "level", "larger", "bound"]
+
+    def hot_rows(sig, node, code) -> pa.RecordBatch:
+        larger, k = code > 0, np.abs(code) >> 8
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(k.astype(np.int32)), pa.array(larger), pa.array(allowed[k])], names)
+
+    def pair_rows(node, code, starts, counts) -> Iterator[pa.RecordBatch]:
+        """Pairs of all groups of one size at once; a pair holds one of the level's larger sets at least."""
+        for size in np.unique(counts):
+            first, second = np.triu_indices(int(size), 1)
+            step = max(1, 500_000 // len(first))
+            own = starts[counts == size]
+            for k in range(0, len(own), step):
+                a, b = ((own[k : k + step, None] + x).ravel() for x in (first, second))
+                good = (code[a] > 0) | (code[b] > 0)
+                a, b = a[good], b[good]
+                if len(a):
+                    need = np.maximum(np.abs(code[a]) & 255, np.abs(code[b]) & 255)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(len(a), pa.int64()), pa.array(node[a]), pa.array(node[b]), pa.array(np.abs(code[a]) >> 8), pa.nulls(len(a), pa.bool_()), pa.array(need)], names
+                    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int16)]
+        rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
         streamed: int | None = None
         for batch in _and_last(batches):
             if batch is not None:
-                new = [numbers(batch, c).to_numpy() for c in ("sig", "class", "level")]
-                sig, node, level = (np.concatenate(x) for x in zip(rest, new))
+                new = [numbers(batch, c).to_numpy() for c in ("sig", "class", "code")]
+                sig, node, code = (np.concatenate(x) for x in zip(rest, new))
             else:
-                sig, node, level = rest
+                sig, node, code = rest
             if not len(sig):
                 continue
             if streamed is not None:
                 same = np.searchsorted(sig != streamed, True)
                 if same:
-                    yield out(sig[:same], node[:same], None, level[:same])
-                sig, node, level = sig[same:], node[same:], level[same:]
-                if len(sig):
-                    streamed = None
-                else:
-                    rest = [sig, node, level]
+                    yield hot_rows(sig[:same], node[:same], code[:same])
+                sig, node, code = sig[same:], node[same:], code[same:]
+                if not len(sig):
+                    rest = [sig, node, code]
                     continue
+                streamed = None
             cut = len(sig) if batch is None else int(np.searchsorted(sig, sig[-1]))
-            rest = [sig[cut:], node[cut:], level[cut:]]
+            rest = [sig[cut:], node[cut:], code[cut:]]
             if len(rest[0]) > 100_000:
                 streamed = int(rest[0][0])
-                yield out(rest[0], rest[1], None, rest[2])
+                yield hot_rows(*rest)
                 rest = [x[:0] for x in rest]
-            sig, node, level = sig[:cut], node[:cut], level[:cut]
+            sig, node, code = sig[:cut], node[:cut], code[:cut]
             if not len(sig):
                 continue
             fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
-            sig, node, level = sig[fresh], node[fresh], level[fresh]
+            sig, node, code = sig[fresh], node[fresh], code[fresh]
             starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
             counts = np.diff(np.append(starts, len(sig)))
-            some = np.logical_or.reduceat(level >= 0, starts) & (counts > 1)
-            group = np.repeat(np.arange(len(starts)), counts)
-            hot = (some & (counts > HOT))[group]
+            some = np.logical_or.reduceat(code > 0, starts) & (counts > 1)
+            hot = np.repeat(some & (counts > HOT), counts)
             if hot.any():
-                yield out(sig[hot], node[hot], None, level[hot])
-            cool = (some & (counts <= HOT))[group]
-            cool[starts] = False
-            if cool.any():
-                yield out(None, node[cool], node[starts][group][cool], level[cool])
+                yield hot_rows(sig[hot], node[hot], code[hot])
+            cool = some & (counts <= HOT)
+            yield from pair_rows(node, code, starts[cool], counts[cool])
 
     return run
 
@@ -367,7 +385,7 @@ def ngram_jaccard_join(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFram
     An empty table gives an empty result.
 
     Equal sets become one class first. A class sends signatures of parts of its set (see ``JoinRule.levels``);
-    classes that share one make candidate families, and each family is joined exactly with a prefix tree. A
+    classes that share enough of them make candidate families, and each family is joined exactly with a prefix tree. A
     family beyond BLOCK shingles is cut into blocks, and every pair of blocks is a task of its own.
     """
     spark = docs.sparkSession
@@ -381,15 +399,16 @@ def ngram_jaccard_join(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFram
     firsts = classes.where("first_doc is not null").select(F.col("first_doc").alias("doc_id"))
     copies = rows.where("class is not null and doc_id is not null").join(firsts, "doc_id", "left_anti").select("doc_id").unionByName(small)
     distinct = docs.join(copies, "doc_id", "left_anti")
-    signatures = distinct.mapInArrow(_signatures(rule), "sig long, class long, level short")
+    signatures = distinct.mapInArrow(_signatures(rule), "sig long, class long, code int")
     found = scratch.save(
-        signatures.repartition("sig").sortWithinPartitions("sig", "class").mapInArrow(_scan_signatures(rule), "sig long, a long, b long, level int, larger boolean, slack int"), "found"
+        signatures.repartition("sig").sortWithinPartitions("sig", "class").mapInArrow(_scan_signatures(rule), "sig long, a long, b long, level int, larger boolean, bound int"), "found"
     )
-    hot = found.where("sig is not null").select("sig", F.col("a").alias("class"), "level", "larger", "slack")
-    many = hot.groupBy("class", "level").agg(F.count("*").alias("n"), F.max("slack").alias("slack")).where("n > slack").select("class", "level")
+    hot = found.where("sig is not null").select("sig", F.col("a").alias("class"), "level", "larger", "bound")
+    many = hot.groupBy("class", "level").agg(F.count("*").alias("n"), F.max("bound").alias("bound")).where("n > bound").select("class", "level")
     hot = hot.join(many, ["class", "level"], "left_semi")
     lead = hot.groupBy("sig").agg(F.min("class").alias("b"), F.max("larger").alias("some")).where("some").select("sig", "b")
-    edges = found.where("b is not null").select("a", "b").unionByName(hot.join(lead, "sig").select(F.col("class").alias("a"), "b"))
+    cool = found.where("b is not null").groupBy("a", "b", "level").agg(F.count("*").alias("n"), F.max("bound").alias("bound")).where("n >= bound").select("a", "b")
+    edges = cool.unionByName(hot.join(lead, "sig").select(F.col("class").alias("a"), "b"))
     families = connected_components(edges, scratch, "family").select(F.col("node").alias("class"), F.col("component").alias("family"))
     members = families.join(classes, "class").select("family", "class", "first_doc", "n")
     sizes = members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
