@@ -23,7 +23,7 @@ def match_calls(occurrences: DataFrame, calls: DataFrame, keys: list[str], how:
 
 def match_in_read(occurrences: DataFrame) -> DataFrame:
     """As ``match_calls`` where each match carries its read's ``calls``: the first of equal position and label, no shuffle."""
-    own = F.expr("filter(calls, c -> c.position = read_position and c.label = label)[0]")
+    own = F.expr("get(filter(calls, c -> c.position = read_position and c.label = label), 0)")
     return occurrences.withColumn("c", own).withColumn("ref_position", F.expr("try_element_at(ref_pos, cast(read_position + 1 as int))")).drop("calls", "ref_pos")
 
 

@@ -244,4 +244,4 @@ def impute(rows: DataFrame, p: Params) -> DataFrame:
         own = resp(m)
         meth.append(F.coalesce(F.col("meth")[m], sum((own[c] * p.mean[c][m] for c in range(p.classes)), F.lit(0.0))))
     kind = lambda x, t: F.array(*x).cast(t) if x else F.array().cast(t)
-    return done.withColumn("cats", kind(cats, "array<int>")).withColumn("meth", kind(meth, "array<double>")).drop("resp")
+    return done.withColumns({"cats": kind(cats, "array<int>"), "meth": kind(meth, "array<double>")}).drop("resp")

@@ -235,7 +235,7 @@ def read_assignments(spark: SparkSession, path: str, sep: str = "\t") -> DataFra
 
 def fixed(c: Column, digits: int = 4, null: str = "NA") -> Column:
     """Decimals with ties to even, as text; ``format_string`` would round them up."""
-    return F.coalesce(F.regexp_replace(F.format_number(c, "0." + "0" * digits), ",", ""), F.lit(null))
+    return F.coalesce(F.regexp_replace(F.call_function("format_number", c, F.lit("0." + "0" * digits)), ",", ""), F.lit(null))
 
 
 def write_tsv(df: DataFrame, path: str, sep: str = "\t") -> None:
