@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import MASK64, mix64, numbers, pick, rows_as_bytes, shared_folder
+from .common import ASCII_LOWER, MASK64, mix64, numbers, pick, rows_as_bytes, shared_folder
 
 MAGIC = b"MWTOKEN1"
 
@@ -156,25 +156,42 @@ class WordIds(dict):
     The model drops white space and never looks across it, so a text's ids are those of its words in a row.
     """
 
-    LIMIT = 300_000
+    LIMIT = 800_000
 
     def texts(self, texts: list[bytes], model: Tokenizer) -> list[bytes]:
         words = [t.split() for t in texts]
-        new = list(set().union(*words).difference(self))
-        if len(self) + len(new) > self.LIMIT:
+        new = set().union(*words).difference(self)
+        if len(self) + 2 * len(new) > self.LIMIT:
             self.clear()
-            new = list(set().union(*words))
-        encoded = model.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded))
+            new = set().union(*words)
+        parts = [(w, *_parts(w)) for w in new]
+        asked = list({x for _, core, tail in parts for x in (core, tail)}.difference(self))
+        encoded = model.encode_batch_fast([w.decode() for w in asked], add_special_tokens=False)
+        self.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in ((w, e.ids) for w, e in zip(asked, encoded)))
+        self.update([(w, self[core] + self[tail]) for w, core, tail in parts])
         return [b"".join(map(self.__getitem__, w)) for w in words]
 
 
+def _parts(word: bytes) -> tuple[bytes, bytes]:
+    """A word as lower-case letters and the marks behind them, which the model parts as well; or whole and nothing."""
+    core = word.rstrip(b".,;:!?|*$%&#")
+    if len(core) < len(word) and core[-1:].isalpha() and b"<|" not in word:
+        return core.translate(ASCII_LOWER), word[len(core) :]
+    return (word if b"<|" in word else word.translate(ASCII_LOWER)), b""
+
+
+@lru_cache(1)
+def _known(path: str) -> WordIds:
+    """Kept between the tasks of a worker, which see much the same words."""
+    return WordIds()
+
+
 def write_store(docs: DataFrame, folder: str, path: str, end_id: int) -> list[dict]:
     """Writes all texts' ids in ascending doc_id order; returns the shards in that order."""
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known, out, uri = _tokenizer(path), WordIds(), None, ""
+        model, known, out, uri = _tokenizer(path), _known(path), None, ""
         for batch in batches:
             if not batch.num_rows:
                 continue
