@@ -25,7 +25,7 @@ class LmRule:
     """
 
     least: int = 2
-    word_base: float = 1.05
+    word_base: float = 1.2
     pair_base: float = 1.25
     discount: float = 0.5
     bits: int = 9
@@ -112,7 +112,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         texts = rows_as_bytes(batch, "text")
-        for part in _slices(texts, 16_000_000):
+        for part in _slices(texts, 8_000_000):
             tokens, starts = _tokens(texts[part], hashes)
             words, counts = np.unique(tokens, return_counts=True)
             yield pa.RecordBatch.from_arrays([as_long(words), pa.nulls(len(words), pa.int64()), pa.array(counts)], ["key", "history", "n"])
@@ -161,10 +161,27 @@ class Model:
     distinct: int
     common: np.ndarray
     common_counts: np.ndarray
+    recent: tuple | None = None
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
+    def known_levels(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of words as such and of what they leave as histories; those of recent words are remembered."""
+        held = self.recent
+        if held is None or len(held[0]) > 400_000:
+            held = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        at = np.searchsorted(held[0], words)
+        fresh = np.ones(len(words), bool) if not len(held[0]) else held[0][np.minimum(at, len(held[0]) - 1)] != words
+        new = np.unique(words[fresh])
+        key = np.concatenate((held[0], new))
+        level = np.concatenate((held[1], self.filter.levels(mix64(new + _WORD))))
+        left = np.concatenate((held[2], self.filter.levels(mix64(new + _LEFT))))
+        order = np.argsort(key, kind="stable")
+        self.recent = held = (key[order], level[order], left[order])
+        at = np.searchsorted(held[0], words)
+        return held[1][at], held[2][at]
+
     def scores(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log10 of each token's probability after its history.
 
@@ -172,12 +189,16 @@ class Model:
         the words, never sums above 1.
         """
         rule = self.rule
-        words, place = np.unique(np.concatenate((tokens, before)), return_inverse=True)
-        of_token, of_before = place[: len(tokens)], place[len(tokens) :]
-        level = self.filter.levels(mix64(words + _WORD))
+        words, place = np.unique(np.append(tokens, before[:1]), return_inverse=True)
+        # a history is the token before, or the start
+        of_token, of_before = place[:-1], np.append(place[-1:], place[:-2])
+        begins = before == _START
+        if begins.any():
+            words = np.append(words, _START)
+            of_before = np.where(begins, len(words) - 1, of_before)
+        level, left = self.known_levels(words)
         count = np.where(level > 0, rule.word_base ** (level - 1.0), 0.0)
         unigram = (count + 0.1) / (self.total + 0.1 * (self.distinct + 1))
-        left = self.filter.levels(mix64(words + _LEFT))
         upper = rule.word_base ** np.maximum(level, 1)
         # a history without pairs leaves all to the words
         alpha = np.where((left > 0) & (level > 0), np.minimum(1.0, rule.word_base ** (left - 1.0) / upper), 1.0)
