@@ -28,7 +28,7 @@ class LmRule:
     word_base: float = 1.2
     pair_base: float = 1.25
     discount: float = 0.5
-    bits: int = 9
+    bits: int = 12
     most_bits: int = 1 << 28
     probes: int = 4
     parts: int = 64
