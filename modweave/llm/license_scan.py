@@ -53,18 +53,20 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     grams = {name: g for name, text in sorted(chosen.items()) if (g := _bigrams(template_words(text)))}
     spread = Counter(g for one in grams.values() for g in one)
     docs = pick(docs, "doc_id", "text")
-    clean = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ\r", "abcdefghijklmnopqrstuvwxyz\n"), r"[^a-z0-9\n]+", " "))
-    lines = F.filter(F.split(clean, "\n"), lambda x: F.length(F.trim(x)) > 0)
+    lines = F.filter(F.split("text", "[\r\n]"), lambda x: x.rlike("[A-Za-z0-9]"))
     anchors = {}
     for name, own in grams.items():
         shared = -(-least * len(own) // (2 - least))  # of a match at its smallest size
         prefix = int(len(own) - shared + 1)
         anchors[name] = sorted(own, key=lambda g: (spread[g], g))[: max(1, min(len(own), prefix))]
     found = docs.withColumn("lines", lines)
-    some = "|".join(sorted({g for a in anchors.values() for g in a}))
-    possible = F.filter("lines", lambda x: x.rlike(some)) if some else F.array().cast("array<string>")
-    # a flag on the whole text first: most documents hold no anchor at all
-    found = found.withColumn("kept", possible)
+    # the longer word of each anchor, looked for in the whole text first: most documents hold none
+    marks = sorted({max(g.split(), key=len) for a in anchors.values() for g in a})
+    marked = lambda x: reduce(lambda a, b: a | b, (F.contains(F.lower(x), F.lit(m)) for m in marks))
+    clean = lambda x: F.trim(F.regexp_replace(F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
+    none = F.array().cast("array<string>")
+    possible = F.when(marked(F.col("text")), F.transform(F.filter("lines", marked), clean)).otherwise(none) if marks else none
+    found = docs.withColumn("lines", lines).withColumn("kept", possible)
     best = F.transform("kept", lambda x: _best(x, grams, anchors, least))
     found = found.withColumn("hits", F.filter(best, lambda h: h["dice"] >= least))
     top = F.array_min(F.transform("hits", lambda h: F.struct((-h["dice"]).alias("d"), h["name"].alias("name"))))
