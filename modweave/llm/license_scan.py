@@ -60,9 +60,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
         prefix = int(len(own) - shared + 1)
         anchors[name] = sorted(own, key=lambda g: (spread[g], g))[: max(1, min(len(own), prefix))]
     found = docs.withColumn("lines", lines)
-    # the longer word of each anchor, looked for in the whole text first: most documents hold none
-    marks = sorted({max(g.split(), key=len) for a in anchors.values() for g in a})
-    marked = lambda x: reduce(lambda a, b: a | b, (F.contains(F.lower(x), F.lit(m)) for m in marks))
+    # anchors are looked for in the whole text first: most documents hold none
+    marks = sorted({g.replace(" ", "[^A-Za-z0-9]+") for a in anchors.values() for g in a})
+    marked = lambda x: x.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(marks) + ")")
     clean = lambda x: F.trim(F.regexp_replace(F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
     none = F.array().cast("array<string>")
     possible = F.when(marked(F.col("text")), F.transform(F.filter("lines", marked), clean)).otherwise(none) if marks else none
@@ -77,11 +77,12 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
 
 
 def _best(line: Column, grams: dict, anchors: dict, least: float) -> Column:
-    words = F.split(F.trim(line), " +")
-    own = F.when(
-        F.size(words) > 1,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.concat(F.element_at(words, k), F.lit(" "), F.element_at(words, k + 1)))),
-    ).otherwise(F.array().cast("array<string>"))
+    # one-element arrays bind a value, which a plain expression would compute again at each use
+    def bigrams(words: Column) -> Column:
+        return F.when(
+            F.size(words) > 1,
+            F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.concat(F.element_at(words, k), F.lit(" "), F.element_at(words, k + 1)))),
+        ).otherwise(F.array().cast("array<string>"))
 
     def compare(held: Column) -> Column:
         size = F.size(held)
@@ -95,5 +96,6 @@ def _best(line: Column, grams: dict, anchors: dict, least: float) -> Column:
             options.append(F.struct((-dice).alias("d"), F.lit(name).alias("name")))
         return F.array_min(F.array(*options))
 
-    least_one = F.element_at(F.transform(F.array(own), compare), 1)
+    own = F.transform(F.array(F.split(F.trim(line), " +")), bigrams)
+    least_one = F.element_at(F.transform(own, compare), 1)
     return F.struct((-least_one["d"]).alias("dice"), least_one["name"].alias("name"))
