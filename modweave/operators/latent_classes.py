@@ -244,4 +244,6 @@ def impute(rows: DataFrame, p: Params) -> DataFrame:
         own = resp(m)
         meth.append(F.coalesce(F.col("meth")[m], sum((own[c] * p.mean[c][m] for c in range(p.classes)), F.lit(0.0))))
     kind = lambda x, t: F.array(*x).cast(t) if x else F.array().cast(t)
-    return done.withColumns({"cats": kind(cats, "array<int>"), "meth": kind(meth, "array<double>")}).drop("resp")
+    # other names first: a name inside a lambda would find the new column of the same name
+    filled = done.withColumns({"filled_cats": kind(cats, "array<int>"), "filled_meth": kind(meth, "array<double>")}).drop("resp", "cats", "meth")
+    return filled.withColumnsRenamed({"filled_cats": "cats", "filled_meth": "meth"})
