@@ -433,9 +433,9 @@ def class_prune(spark, d):
 
 @query(_ESQL + f""", p as (select *, 1 - r0 as r1 from r), c as (select row_ord, c0, c1, x, [{", ".join(f"r0 * {a}::double + r1 * {b}::double" for a, b in zip(_P.phi[0][0], _P.phi[1][0]))}] as q0,
   [{", ".join(f"r0 * {a}::double + r1 * {b}::double" for a, b in zip(_P.phi[0][1], _P.phi[1][1]))}] as q1, r0 from p)
-select row_ord, coalesce(c0, list_position(q0, list_max(q0)) - 1)::int as c0, coalesce(c1, list_position(q1, list_max(q1)) - 1)::int as c1, round(coalesce(x, r0 * 0.3::double + (1 - r0) * 0.5::double), 6) as x from c""")
+select row_ord, coalesce(c0, list_position(q0, list_max(q0)) - 1)::int as c0, coalesce(c1, list_position(q1, list_max(q1)) - 1)::int as c1, round(coalesce(x, r0 * 0.3::double + (1 - r0) * 0.5::double), 9) as x from c""")
 def map_impute(spark, d):
-    return L.impute(typed_of(spark, d), _P).select("row_ord", F.col("cats")[0].alias("c0"), F.col("cats")[1].alias("c1"), _r(F.col("meth")[0], "x"))
+    return L.impute(typed_of(spark, d), _P).select("row_ord", F.col("cats")[0].alias("c0"), F.col("cats")[1].alias("c1"), _r(F.col("meth")[0], "x", 9))
 
 
 @query("select o_orderkey % 5 as fold, (o_orderkey % 3)::int as pseudo, count(*) as n from orders group by all")
