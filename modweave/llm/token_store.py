@@ -150,7 +150,7 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of words between white space, as little-endian bytes; the library encodes each new word once.
 
     The model drops white space and never looks across it, so a text's ids are those of its words in a row.
@@ -158,18 +158,23 @@ class WordIds(dict):
 
     LIMIT = 800_000
 
+    def __init__(self):
+        #: No subclass of dict: sets take their difference from one by walking all its keys.
+        self.held: dict[bytes, bytes] = {}
+
     def texts(self, texts: list[bytes], model: Tokenizer) -> list[bytes]:
+        held = self.held
         words = [t.split() for t in texts]
-        new = set().union(*words).difference(self)
-        if len(self) + 2 * len(new) > self.LIMIT:
-            self.clear()
+        new = set().union(*words).difference(held)
+        if len(held) + 2 * len(new) > self.LIMIT:
+            held.clear()
             new = set().union(*words)
         parts = [(w, *_parts(w)) for w in new]
-        asked = list({x for _, core, tail in parts for x in (core, tail)}.difference(self))
+        asked = list({x for _, core, tail in parts for x in (core, tail)}.difference(held))
         encoded = model.encode_batch_fast([w.decode() for w in asked], add_special_tokens=False)
-        self.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in ((w, e.ids) for w, e in zip(asked, encoded)))
-        self.update([(w, self[core] + self[tail]) for w, core, tail in parts])
-        return [b"".join(map(self.__getitem__, w)) for w in words]
+        held.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in ((w, e.ids) for w, e in zip(asked, encoded)))
+        held.update([(w, held[core] + held[tail]) for w, core, tail in parts])
+        return [b"".join(map(held.__getitem__, w)) for w in words]
 
 
 def _parts(word: bytes) -> tuple[bytes, bytes]:
