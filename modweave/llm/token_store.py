@@ -76,10 +76,11 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class ShardWriter:
-    """Writes one shard: ids as they come, then the index, then a footer that tells where all is."""
+    """Writes one shard: ids as they come, in the integers of ``kind``, then the index, then a footer that tells where all is."""
 
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, kind: str):
         self.files, self.path = open_store(uri)
+        self.kind, self.width = kind, np.dtype(kind).itemsize
         self.files.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.out = self.files.open_output_stream(self.path)
         self.out.write(MAGIC)
@@ -89,7 +90,7 @@ class ShardWriter:
     def add(self, key: int | None, ids: bytes) -> None:
         self.out.write(ids)
         self.keys.append(key)
-        self.lengths.append(len(ids) // 4)
+        self.lengths.append(len(ids) // self.width)
 
     def close(self) -> None:
         lengths = np.array(self.lengths, np.int64)
@@ -102,7 +103,7 @@ class ShardWriter:
         prints[slot], places[slot], counts[slot] = fingerprint(distinct), np.flatnonzero(valid)[first] if len(distinct) else first, copies
         parts = {"keys": keys, "valid": valid, "lengths": lengths, "prints": prints, "places": places, "copies": counts}
         parts |= {f"bits{k}": np.packbits(b.astype(bool)) for k, b in enumerate(perfect.bits)}
-        told, at = {"levels": [len(b) for b in perfect.bits], "parts": {}}, len(MAGIC) + 4 * int(lengths.sum())
+        told, at = {"ids": self.kind, "levels": [len(b) for b in perfect.bits], "parts": {}}, len(MAGIC) + self.width * int(lengths.sum())
         for name, values in parts.items():
             self.out.write(raw := values.tobytes())
             told["parts"][name] = [at, len(raw), values.dtype.str]
@@ -127,6 +128,7 @@ class Shard:
         part = lambda n: np.frombuffer(self.file.read_at(told["parts"][n][1], told["parts"][n][0]), told["parts"][n][2])
         self.keys, self.valid, lengths = part("keys"), part("valid"), part("lengths")
         self.starts = np.concatenate(([0], np.cumsum(lengths)))
+        self.kind = np.dtype(told["ids"])
         self.prints, self.places, self.copies = part("prints"), part("places"), part("copies")
         self.perfect = PerfectHash([np.unpackbits(part(f"bits{k}"), count=n).astype(np.int64) for k, n in enumerate(told["levels"])])
 
@@ -140,9 +142,11 @@ class Shard:
         good &= self.keys[first] == keys
         return np.where(good, first, -1), np.where(good, self.copies[slot], 0)
 
-    def ids(self, record: int, records: int = 1) -> bytes:
+    def ids(self, record: int, records: int = 1) -> np.ndarray:
+        """The ids of the record and those behind it, as little-endian unsigned 32-bit integers."""
         a, b = int(self.starts[record]), int(self.starts[record + records])
-        return self.file.read_at(4 * (b - a), len(MAGIC) + 4 * a)
+        raw = self.file.read_at(self.kind.itemsize * (b - a), len(MAGIC) + self.kind.itemsize * a)
+        return np.frombuffer(raw, self.kind).astype("<u4")
 
 
 @lru_cache(2)
@@ -150,6 +154,11 @@ def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def id_kind(path: str, end_id: int) -> str:
+    """The integers that hold every id of the model and the end id: of two bytes if they do, else of four."""
+    return "<u2" if max([end_id, *_tokenizer(path).get_vocab(with_added_tokens=True).values()]) < 1 << 16 else "<u4"
+
+
 class WordIds:
     """Ids of words between white space, as little-endian bytes; the library encodes each new word once.
 
@@ -158,7 +167,8 @@ class WordIds:
 
     LIMIT = 800_000
 
-    def __init__(self):
+    def __init__(self, kind: str):
+        self.code = {"<u2": "H", "<u4": "I"}[kind]
         #: No subclass of dict: sets take their difference from one by walking all its keys.
         self.held: dict[bytes, bytes] = {}
 
@@ -172,7 +182,7 @@ class WordIds:
         parts = [(w, *_parts(w)) for w in new]
         asked = list({x for _, core, tail in parts for x in (core, tail)}.difference(held))
         encoded = model.encode_batch_fast([w.decode() for w in asked], add_special_tokens=False)
-        held.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in ((w, e.ids) for w, e in zip(asked, encoded)))
+        held.update((w, struct.pack(f"<{len(ids)}{self.code}", *ids)) for w, ids in ((w, e.ids) for w, e in zip(asked, encoded)))
         held.update([(w, held[core] + held[tail]) for w, core, tail in parts])
         return [b"".join(map(held.__getitem__, w)) for w in words]
 
@@ -186,22 +196,23 @@ def _parts(word: bytes) -> tuple[bytes, bytes]:
 
 
 @lru_cache(1)
-def _known(path: str) -> WordIds:
+def _known(path: str, kind: str) -> WordIds:
     """Kept between the tasks of a worker, which see much the same words."""
-    return WordIds()
+    return WordIds(kind)
 
 
 def write_store(docs: DataFrame, folder: str, path: str, end_id: int) -> list[dict]:
     """Writes all texts' ids in ascending doc_id order; returns the shards in that order."""
-    end = struct.pack("<I", end_id)
+    kind = id_kind(path, end_id)
+    end = np.array(end_id, kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known, out, uri = _tokenizer(path), _known(path), None, ""
+        model, known, out, uri = _tokenizer(path), _known(path, kind), None, ""
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
-                out = ShardWriter(uri := f"{folder}/{uuid.uuid4().hex}.tok")
+                out = ShardWriter(uri := f"{folder}/{uuid.uuid4().hex}.tok", kind)
             keys = iter(numbers(batch, "doc_id").to_pylist())
             texts = iter(rows_as_bytes(batch, "text"))
             while part := list(islice(texts, 64)):
@@ -253,7 +264,7 @@ def _records(shard: Shard, first: np.ndarray, copies: np.ndarray, base: int, key
             pa.nulls(len(record), pa.int64()) if keys is None else pa.array(np.repeat(keys, copies)),
             pa.array(base + shard.starts[record]),
             pa.array(shard.starts[record + 1] - shard.starts[record]),
-            pa.array([zlib.crc32(shard.ids(int(r))) for r in record], pa.int64()),
+            pa.array([zlib.crc32(shard.ids(int(r)).tobytes()) for r in record], pa.int64()),
         ],
         ["doc_id", "start", "n_tokens", "ids_crc32"],
     )
