@@ -66,6 +66,40 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class KeyBits:
+    """One bit for the hash of each key of a table; of other keys few, or in a full table all, have theirs set as well.
+
+    The bits are 16 a key and no more than ``most``, so what is sent is bounded; a join decides about the keys it lets through.
+    """
+
+    def __init__(self, keys: DataFrame, name: str, most: int = 1 << 26):
+        count = keys.count()
+        self.size = 1 << 10
+        while self.size < min(most, 16 * count):
+            self.size *= 2
+        words = keys.select(self.place(name).alias("at")).select(F.expr("at div 64").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("b"))
+        found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        bits = np.zeros(self.size // 64, np.int64)
+        bits[found["w"].to_numpy()] = found["b"].to_numpy()
+        self.sent = keys.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def place(self, name: str):
+        return F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(self.size))
+
+    def select(self, rows: DataFrame, name: str) -> DataFrame:
+        """The rows whose key may be one of the table's."""
+        sent = self.sent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = sent.value
+            for batch in batches:
+                at = numbers(batch, "at").to_numpy()
+                hit = bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+                yield batch.drop_columns(["at"]).filter(pa.array(hit == 1))
+
+        return rows.withColumn("at", self.place(name)).mapInArrow(run, rows.schema)
+
+
 def rows_as_bytes(batch: pa.RecordBatch, name: str) -> list:
     """A string column as UTF-8 ``bytes`` (null: None), without decoding."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Scratch, WordHashes, as_long, mix64, ngram_hashes, numbers, pick, rows_as_bytes, sorted_groups
+from .common import ASCII_LOWER, KeyBits, Scratch, WordHashes, as_long, mix64, ngram_hashes, numbers, pick, rows_as_bytes, sorted_groups
 from .components import connected_components
 
 #: A signature that more classes than this share is set aside; see ``_scan_signatures``.
 HOT = 24
 #: Shingles of one block of a candidate family; a larger family is split into blocks.
 BLOCK = 1_500_000
+#: Classes that a task remembers to have sent.
+SENT = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -106,12 +108,17 @@ def _signatures(rule: JoinRule):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        sent: set[int] = set()
         for batch in batches:
             found: list[tuple] = []
             rows = 0
             for text in rows_as_bytes(batch, "text"):
-                if len(grams := shingle_set(text, rule.words, hashes)):
-                    new = list(of_set(grams, _class_of(grams)))
+                if len(grams := shingle_set(text, rule.words, hashes)) and (cls := _class_of(grams)) not in sent:
+                    # a class sends once from each task; what it sends again, the scan drops
+                    if len(sent) >= SENT:
+                        sent.clear()
+                    sent.add(cls)
+                    new = list(of_set(grams, cls))
                     found += new
                     rows += sum(len(s) for s, _, _ in new)
                 if rows > 200_000:
@@ -395,11 +402,7 @@ def ngram_jaccard_join(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFram
     classes = scratch.save(
         rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")), "classes"
     )
-    small = rows.where("class is null").select("doc_id").where("doc_id is not null")
-    firsts = classes.where("first_doc is not null").select(F.col("first_doc").alias("doc_id"))
-    copies = rows.where("class is not null and doc_id is not null").join(firsts, "doc_id", "left_anti").select("doc_id").unionByName(small)
-    distinct = docs.join(copies, "doc_id", "left_anti")
-    signatures = distinct.mapInArrow(_signatures(rule), "sig long, class long, code int")
+    signatures = docs.select("text").mapInArrow(_signatures(rule), "sig long, class long, code int")
     found = scratch.save(
         signatures.repartition("sig").sortWithinPartitions("sig", "class").mapInArrow(_scan_signatures(rule), "sig long, a long, b long, level int, larger boolean, bound int"), "found"
     )
@@ -410,10 +413,12 @@ def ngram_jaccard_join(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFram
     cool = found.where("b is not null").groupBy("a", "b", "level").agg(F.count("*").alias("n"), F.max("bound").alias("bound")).where("n >= bound").select("a", "b")
     edges = cool.unionByName(hot.join(lead, "sig").select(F.col("class").alias("a"), "b"))
     families = connected_components(edges, scratch, "family").select(F.col("node").alias("class"), F.col("component").alias("family"))
-    members = families.join(classes, "class").select("family", "class", "first_doc", "n")
+    members = families.join(classes.where("first_doc is not null"), "class").select("family", "class", "first_doc", "n")
     sizes = members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     members = scratch.save(members.join(sizes, "family").select(F.col("first_doc").alias("doc_id"), "family", "blocks", "class"), "members")
-    sets = docs.join(members, "doc_id").mapInArrow(_family_sets(rule), "family long, blocks int, class long, grams binary")
+    # most documents have no family; their texts aren't shuffled
+    few = KeyBits(members, "doc_id").select(docs, "doc_id")
+    sets = few.join(members, "doc_id").mapInArrow(_family_sets(rule), "family long, blocks int, class long, grams binary")
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = sets.withColumn("block", block).select("family", "class", "grams", "block", other).select(
