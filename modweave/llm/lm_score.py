@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Scratch, WordHashes, as_long, mix64, numbers, pick, rows_as_bytes
+from .common import ASCII_LOWER, Scratch, WordHashes, as_long, mix64, numbers, pick, rows_as_bytes, sorted_groups
 
 #: Token hashes of a text's end and of what comes before its first word; no word holds a blank.
 _END, _START = WordHashes().of([b" end", b" start"])
@@ -21,7 +21,8 @@ _WORD, _LEFT, _PAIR = (np.uint64(x) for x in (0x51ED270B27D4EB2F, 0x2127599BF432
 @dataclass(frozen=True)
 class LmRule:
     """Counts below ``least`` pairs are left to the smoothing. A count c is held as the levels up to
-    log(c) / log(base). The filter has ``bits`` bits an entry and no more than ``most_bits``, in ``parts`` equal parts.
+    log(c) / log(base). The filter has ``bits`` bits an entry, in ``parts`` equal parts. One of more than ``most_bits``
+    has as many more parts of that size as it needs, and is not sent to the workers: keys are sent to its parts.
     """
 
     least: int = 2
@@ -40,21 +41,24 @@ class LmRule:
 
 
 class Filter:
-    """Bits of all parts in one array; a key's part is in its top bits."""
+    """Bits of all parts, or of one, in one array; a key's part is in its top bits. No key has a level above ``top``."""
 
-    def __init__(self, bits: np.ndarray, size: int, rule: LmRule):
-        self.bits, self.size, self.rule = bits, size, rule
+    #: Bits of a key that tell its part.
+    SLOT = 24
 
-    @staticmethod
-    def part(keys: np.ndarray, parts: int) -> np.ndarray:
-        return (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    def __init__(self, bits: np.ndarray, size: int, rule: LmRule, parts: int, top: int):
+        self.bits, self.size, self.rule, self.parts, self.top = bits, size, rule, parts, top
+
+    @classmethod
+    def part(cls, keys: np.ndarray, parts: int) -> np.ndarray:
+        return (keys >> np.uint64(64 - cls.SLOT)) * np.uint64(parts) >> np.uint64(cls.SLOT)
 
     @staticmethod
     def place(keys: np.ndarray, level: np.ndarray | int, probe: int, size: int) -> np.ndarray:
         return mix64(keys + (np.atleast_1d(level).astype(np.uint64) * np.uint64(8) + np.uint64(probe)) * np.uint64(0x9FB21C651E98DF25)) % np.uint64(size)
 
     def holds(self, keys: np.ndarray, level: int) -> np.ndarray:
-        base = self.part(keys, self.rule.parts) * np.uint64(self.size)
+        base = self.part(keys, self.parts) * np.uint64(self.size)
         alive = np.arange(len(keys))
         for probe in range(self.rule.probes):
             at = base[alive] + self.place(keys[alive], level, probe, self.size)
@@ -68,7 +72,7 @@ class Filter:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Each key's level, found by probing level after level until one is missing; 0 if the first is."""
         out, alive, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
-        while len(alive):
+        while len(alive) and level < self.top:
             level += 1
             alive = alive[self.holds(keys[alive], level)]
             out[alive] = level
@@ -153,10 +157,48 @@ def _part(part: int, bits: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
 
 
+@dataclass
+class Parts:
+    """A filter that is kept as a table of parts."""
+
+    table: DataFrame
+    size: int
+    parts: int
+    top: int
+
+
+@dataclass
+class Asked:
+    """Distinct words and pairs of some tokens, and each token's places among them."""
+
+    words: np.ndarray
+    of_token: np.ndarray
+    of_before: np.ndarray
+    pairs: np.ndarray
+    first: np.ndarray
+    again: np.ndarray
+
+    def keys(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """All keys, and their order by part."""
+        keys = np.concatenate((mix64(self.words + _WORD), mix64(self.words + _LEFT), self.pairs))
+        return keys, np.argsort(Filter.part(keys, parts), kind="stable")
+
+
+def _asked(tokens: np.ndarray, before: np.ndarray) -> Asked:
+    words, place = np.unique(np.append(tokens, before[:1]), return_inverse=True)
+    # a history is the token before, or the start
+    of_token, of_before = place[:-1], np.append(place[-1:], place[:-2])
+    begins = before == _START
+    if begins.any():
+        words = np.append(words, _START)
+        of_before = np.where(begins, len(words) - 1, of_before)
+    return Asked(words, of_token, of_before, *np.unique(_pair_keys(before, tokens), return_index=True, return_inverse=True))
+
+
 @dataclass
 class Model:
     rule: LmRule
-    filter: Filter
+    filter: Filter | Parts
     total: int
     distinct: int
     common: np.ndarray
@@ -188,26 +230,27 @@ class Model:
         A pair's count is rounded down and its history's up, so that what pairs get, and what they leave to
         the words, never sums above 1.
         """
+        asked = _asked(tokens, before)
+        level, left = self.known_levels(asked.words)
+        able = np.flatnonzero(left[asked.of_before[asked.first]] > 0)
+        found = np.zeros(len(asked.pairs), np.int64)
+        found[able] = self.filter.levels(asked.pairs[able])
+        return self.mixed(asked, level, left, found)
+
+    def mixed(self, asked: Asked, level: np.ndarray, left: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The scores from the levels of words, of what they leave as histories, and of pairs."""
         rule = self.rule
-        words, place = np.unique(np.append(tokens, before[:1]), return_inverse=True)
-        # a history is the token before, or the start
-        of_token, of_before = place[:-1], np.append(place[-1:], place[:-2])
-        begins = before == _START
-        if begins.any():
-            words = np.append(words, _START)
-            of_before = np.where(begins, len(words) - 1, of_before)
-        level, left = self.known_levels(words)
         count = np.where(level > 0, rule.word_base ** (level - 1.0), 0.0)
         unigram = (count + 0.1) / (self.total + 0.1 * (self.distinct + 1))
         upper = rule.word_base ** np.maximum(level, 1)
         # a history without pairs leaves all to the words
         alpha = np.where((left > 0) & (level > 0), np.minimum(1.0, rule.word_base ** (left - 1.0) / upper), 1.0)
-        pairs, first, again = np.unique(_pair_keys(before, tokens), return_index=True, return_inverse=True)
-        able = np.flatnonzero(left[of_before[first]] > 0)
-        found = np.zeros(len(pairs), np.int64)
-        found[able] = self.filter.levels(pairs[able])
-        own = np.where(found > 0, rule.least * rule.pair_base ** (found - 1.0) - rule.discount, 0.0)[again]
-        return np.log10(np.minimum(1.0, own / upper[of_before] + alpha[of_before] * unigram[of_token]))
+        found = np.where(left[asked.of_before[asked.first]] > 0, found, 0)
+        own = np.where(found > 0, rule.least * rule.pair_base ** (found - 1.0) - rule.discount, 0.0)[asked.again]
+        return np.log10(np.minimum(1.0, own / upper[asked.of_before] + alpha[asked.of_before] * unigram[asked.of_token]))
+
+
+_SCORED = ["row", "key", "times", "n_tokens", "n_known", "base", "score", "doc_id", "held_out"]
 
 
 def _score(sent):
@@ -216,40 +259,121 @@ def _score(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
         hashes = WordHashes()
-        names = ["row", "key", "times", "n_tokens", "n_known", "base", "score", "doc_id", "held_out"]
         for batch in batches:
             texts, rows, ids, held = rows_as_bytes(batch, "text"), *(numbers(batch, c) for c in ("row", "doc_id", "held_out"))
             for part in _slices(texts):
                 tokens, starts = _tokens(texts[part], hashes)
-                sums = np.add.reduceat(model.scores(tokens, _histories(tokens, starts)), starts[:-1])
-                place = np.minimum(np.searchsorted(model.common, tokens), max(0, len(model.common) - 1))
-                known = model.common[place] == tokens if len(model.common) else np.zeros(len(tokens), bool)
-                base = np.where(known, model.base(model.common_counts[place]) if len(model.common) else 0.0, 0.0)
-                row = rows.slice(part.start, part.stop - part.start).to_numpy()
-                n = len(row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row), as_long(mix64(row.astype(np.uint64) + np.uint64(5))), pa.nulls(n, pa.int64()), pa.array(np.diff(starts)),
-                        pa.array(np.add.reduceat(known.astype(np.int64), starts[:-1])), pa.array(np.add.reduceat(base, starts[:-1])), pa.array(sums),
-                        ids.slice(part.start, n), held.slice(part.start, n),
-                    ],
-                    names,
-                )
-                rare = np.flatnonzero(~known)
-                if len(rare):
-                    doc = np.repeat(np.arange(n), np.diff(starts))[rare]
-                    order = np.lexsort((tokens[rare], doc))
-                    doc, key = doc[order], tokens[rare][order]
-                    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
-                    m, none = len(new), lambda kind: pa.nulls(len(new), kind)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(row[doc[new]]), as_long(key[new]), pa.array(np.diff(np.append(new, len(key)))), *(none(t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), ids.type, pa.bool_()))],
-                        names,
-                    )
+                n = part.stop - part.start
+                yield from _sums(model, tokens, starts, model.scores(tokens, _histories(tokens, starts)), *(c.slice(part.start, n) for c in (rows, ids, held)))
 
     return run
 
 
+def _sums(model: Model, tokens: np.ndarray, starts: np.ndarray, scores: np.ndarray, rows: pa.Array, ids: pa.Array, held: pa.Array) -> Iterator[pa.RecordBatch]:
+    sums = np.add.reduceat(scores, starts[:-1])
+    place = np.minimum(np.searchsorted(model.common, tokens), max(0, len(model.common) - 1))
+    known = model.common[place] == tokens if len(model.common) else np.zeros(len(tokens), bool)
+    base = np.where(known, model.base(model.common_counts[place]) if len(model.common) else 0.0, 0.0)
+    row = rows.to_numpy()
+    n = len(row)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(row), as_long(mix64(row.astype(np.uint64) + np.uint64(5))), pa.nulls(n, pa.int64()), pa.array(np.diff(starts)),
+            pa.array(np.add.reduceat(known.astype(np.int64), starts[:-1])), pa.array(np.add.reduceat(base, starts[:-1])), pa.array(sums), ids, held,
+        ],
+        _SCORED,
+    )
+    rare = np.flatnonzero(~known)
+    if len(rare):
+        doc = np.repeat(np.arange(n), np.diff(starts))[rare]
+        order = np.lexsort((tokens[rare], doc))
+        doc, key = doc[order], tokens[rare][order]
+        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
+        m, none = len(new), lambda kind: pa.nulls(len(new), kind)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(row[doc[new]]), as_long(key[new]), pa.array(np.diff(np.append(new, len(key)))), *(none(t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), ids.type, pa.bool_()))],
+            _SCORED,
+        )
+
+
+_SLICED = ["slice", "part", "row", "doc_id", "held_out", "text", "keys"]
+
+
+def _ask(parts: int):
+    """Texts with the number of their slice, and for each slice and part of the filter a row with the keys to look up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        now, hashes = TaskContext.get().partitionId() << 32, WordHashes()
+        for batch in batches:
+            texts = rows_as_bytes(batch, "text")
+            for part in _slices(texts):
+                n = part.stop - part.start
+                columns = [numbers(batch, c).slice(part.start, n) for c in ("row", "doc_id", "held_out", "text")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, now)), pa.array(np.full(n, -1, np.int32)), *columns, pa.nulls(n, pa.binary())], _SLICED)
+                tokens, starts = _tokens(texts[part], hashes)
+                keys, order = _asked(tokens, _histories(tokens, starts)).keys(parts)
+                keys = keys[order]
+                at = Filter.part(keys, parts)
+                cuts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
+                m, sent = len(cuts) - 1, pa.array([keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, now)), pa.array(at[cuts[:-1]].astype(np.int32)), *(pa.nulls(m, c.type) for c in columns), sent], _SLICED)
+                now += 1
+
+    return run
+
+
+def _look_up(rule: LmRule, size: int, top: int):
+    """The levels, a byte each, of the keys sent to a part; rows (part, slice, keys), the part's bits first, without slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for part, place, sent in zip(*(numbers(batch, c).to_pylist() for c in ("part", "slice", "keys"))):
+                if place is None:
+                    held, now = Filter(np.frombuffer(sent, np.uint8), size, rule, 1, top), part
+                    continue
+                keys = np.frombuffer(sent, np.uint64)
+                level = held.levels(keys) if held is not None and now == part else np.zeros(len(keys), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([part], pa.int32()), pa.array([level.astype(np.uint8).tobytes()], pa.binary())], ["slice", "part", "keys"])
+
+    return run
+
+
+def _score_slices(sent, parts: int):
+    """As ``_score``, of slices with the levels of their keys, sorted by slice and part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = sent.value
+        hashes = WordHashes()
+        for group in sorted_groups(batches, ["slice"]):
+            group = group.combine_chunks().to_batches()[0]
+            n = int((numbers(group, "part").to_numpy() < 0).sum())
+            texts = group.slice(0, n)
+            tokens, starts = _tokens(rows_as_bytes(texts, "text"), hashes)
+            asked = _asked(tokens, _histories(tokens, starts))
+            keys, order = asked.keys(parts)
+            levels = np.empty(len(keys), np.int64)
+            levels[order] = np.frombuffer(b"".join(numbers(group.slice(n), "keys").to_pylist()), np.uint8)
+            level, left, found = np.split(levels, [len(asked.words), 2 * len(asked.words)])
+            yield from _sums(model, tokens, starts, model.mixed(asked, level, left, found), *(numbers(texts, c) for c in ("row", "doc_id", "held_out")))
+
+    return run
+
+
+def _scored_by_parts(numbered: DataFrame, model: Model, kind: str, shape: str, scratch: Scratch) -> DataFrame:
+    """The scores where no worker can hold the filter: a slice's keys go to the parts, and their levels back to it."""
+    spark, held = numbered.sparkSession, model.filter
+    asked = scratch.save(numbered.mapInArrow(_ask(held.parts), f"slice long, part int, row long, doc_id {kind}, held_out boolean, text string, keys binary"), "asked")
+    sent = asked.where("part >= 0").select("part", "slice", "keys").unionByName(held.table.select("part", F.lit(None).cast("long").alias("slice"), F.col("bits").alias("keys")))
+    sent = sent.repartition("part").sortWithinPartitions("part", F.asc_nulls_first("slice"))
+    levels = sent.mapInArrow(_look_up(model.rule, held.size, held.top), "slice long, part int, keys binary")
+    rows = asked.where("part < 0").unionByName(levels, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "part", "row")
+    # the table of parts stays here
+    return rows.mapInArrow(_score_slices(spark.sparkContext.broadcast(replace(model, filter=None)), held.parts), shape)
+
+
 def fit(docs: DataFrame, rule: LmRule, scratch: Scratch) -> tuple[Model, DataFrame]:
     """The model of all given texts, and the table of word counts (``key``, ``n``)."""
     spark = docs.sparkSession
@@ -273,26 +397,31 @@ def fit(docs: DataFrame, rule: LmRule, scratch: Scratch) -> tuple[Model, DataFra
         .unionByName(left.select("key", level(F.col("n"), rule.word_base).alias("levels"), F.lit(1).alias("kind")))
         .unionByName(pairs.select("key", level(F.col("n") / float(rule.least), rule.pair_base).alias("levels"), F.lit(2).alias("kind")))
     )
-    entries = scratch.save(entries.mapInArrow(_entries(rule), "part int, key long, levels int"), "entries")
-    number = entries.agg(F.coalesce(F.sum("levels"), F.lit(0))).first()[0]
-    size = max(64, min(rule.most_bits, rule.bits * number) // rule.parts // 8 * 8)
-    bits = np.zeros(rule.parts * size // 8, np.uint8)
-    for r in entries.repartition("part").sortWithinPartitions("part").mapInArrow(_build(rule, size), "part int, bits binary").collect():
-        bits[r["part"] * size // 8 : (r["part"] + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
+    entries = scratch.save(entries.mapInArrow(_entries, "slot int, key long, levels int"), "entries")
+    number, top = entries.agg(F.coalesce(F.sum("levels"), F.lit(0)), F.coalesce(F.max("levels"), F.lit(0))).first()
+    parts = max(rule.parts, -(-rule.parts * rule.bits * number // rule.most_bits))
+    size = max(64, rule.bits * number // parts // 8 * 8)
+    entries = entries.select(F.shiftright(F.col("slot").cast("long") * parts, Filter.SLOT).cast("int").alias("part"), "key", "levels")
+    built = entries.repartition("part").sortWithinPartitions("part").mapInArrow(_build(rule, size), "part int, bits binary")
+    if parts > rule.parts:
+        held = Parts(scratch.save(built, "filter"), size, parts, top)
+    else:
+        bits = np.zeros(parts * size // 8, np.uint8)
+        for r in built.collect():
+            bits[r["part"] * size // 8 : (r["part"] + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
+        held = Filter(bits, size, rule, parts, top)
+    scratch.drop("entries")
     common = words.orderBy(F.desc("n"), "key").limit(rule.common).toPandas()
     key = common["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
-    return Model(rule, Filter(bits, size, rule), total, distinct, key[order], common["n"].to_numpy(np.int64)[order]), words
-
+    return Model(rule, held, total, distinct, key[order], common["n"].to_numpy(np.int64)[order]), words
 
-def _entries(rule: LmRule):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, kind = numbers(batch, "key").to_numpy().view(np.uint64), numbers(batch, "kind").to_numpy()
-            keys = np.where(kind == 2, keys, mix64(keys + np.where(kind == 0, _WORD, _LEFT)))
-            yield pa.RecordBatch.from_arrays([pa.array(Filter.part(keys, rule.parts).astype(np.int32)), as_long(keys), numbers(batch, "levels")], ["part", "key", "levels"])
 
-    return run
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, kind = numbers(batch, "key").to_numpy().view(np.uint64), numbers(batch, "kind").to_numpy()
+        keys = np.where(kind == 2, keys, mix64(keys + np.where(kind == 0, _WORD, _LEFT)))
+        yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(64 - Filter.SLOT)).astype(np.int32)), as_long(keys), numbers(batch, "levels")], ["slot", "key", "levels"])
 
 
 def lm_score(docs: DataFrame, rule: LmRule = LmRule()) -> DataFrame:
@@ -306,8 +435,9 @@ def lm_score(docs: DataFrame, rule: LmRule = LmRule()) -> DataFrame:
     Null and empty texts have the end only. A null doc_id is learnt from. Repeated rows count each, in training
     as well. An empty table, or one without training rows, gives scores without counts, or no rows.
 
-    Counts of words and pairs cover all training texts and are summed before the shuffle. The filter has a
-    fixed greatest size; beyond it more probes hit by chance. The commonest words' exact counts, a fixed
+    Counts of words and pairs cover all training texts and are summed before the shuffle. The filter grows
+    with its entries; where it is too large to be sent, the distinct keys of each slice of texts go to its parts
+    and their levels back. The commonest words' exact counts, a fixed
     number, go to the workers; the other words of each text are joined with the table of counts.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
@@ -317,7 +447,11 @@ def lm_score(docs: DataFrame, rule: LmRule = LmRule()) -> DataFrame:
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "text", "doc_id", held_out.alias("held_out"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"row long, key long, times long, n_tokens long, n_known long, base double, score double, doc_id {kind}, held_out boolean"
-    scored = scratch.save(numbered.mapInArrow(_score(spark.sparkContext.broadcast(model)), shape), "scored")
+    if isinstance(model.filter, Parts):
+        scored = _scored_by_parts(numbered, model, kind, shape, scratch)
+    else:
+        scored = numbered.mapInArrow(_score(spark.sparkContext.broadcast(model)), shape)
+    scored = scratch.save(scored, "scored")
     counted = scored.join(words, "key", "left")
     scale = model.total + 0.1 * (model.distinct + 1)
     base = F.when(F.col("times").isNull(), F.col("base")).otherwise(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(scale)))

@@ -268,6 +268,23 @@ def test_lm_score(spark, docs, none):
     assert lm_score(none).count() == 0
 
 
+def test_lm_filter_grows_beyond_what_is_sent(spark, docs):
+    from modweave.llm.common import Scratch, pick
+    from modweave.llm.lm_score import Filter, Parts, fit
+
+    small = LmRule(most_bits=1 << 12, parts=4)
+    model, _ = fit(pick(docs, "doc_id", "text"), small, Scratch(spark, "t"))
+    assert isinstance(model.filter, Parts) and model.filter.parts > 4
+    share = [np.unpackbits(np.frombuffer(r.bits, np.uint8)).mean() for r in model.filter.table.collect()]
+    assert len(share) == model.filter.parts and np.mean(share) < 0.35
+    full = Filter(np.full(64, 255, np.uint8), 128, LmRule(), 4, 7)
+    assert full.levels(np.arange(5, dtype=np.uint64) << np.uint64(61)).tolist() == [7] * 5
+    # chance hits aside, as with a filter that every worker holds
+    shown = lambda rule: {(str(r.doc_id), r.n_tokens): r.score for r in lm_score(docs, rule).collect()}
+    a, b = shown(LmRule(bits=64)), shown(LmRule(bits=64, most_bits=1 << 12, parts=4))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 * abs(a[k]) + 1e-9 for k in a)
+
+
 def test_lm_probabilities_sum_below_one(spark, docs):
     from modweave.llm.common import Scratch, WordHashes
     from modweave.llm.lm_score import _END, _START, fit
