@@ -25,7 +25,7 @@ class LmRule:
     has as many more parts of that size as it needs, and is not sent to the workers: keys are sent to its parts.
     """
 
-    least: int = 2
+    least: int = 1
     word_base: float = 1.2
     pair_base: float = 1.25
     discount: float = 0.5
@@ -185,13 +185,17 @@ class Asked:
 
 
 def _asked(tokens: np.ndarray, before: np.ndarray) -> Asked:
-    words, place = np.unique(np.append(tokens, before[:1]), return_inverse=True)
-    # a history is the token before, or the start
-    of_token, of_before = place[:-1], np.append(place[-1:], place[:-2])
     begins = before == _START
-    if begins.any():
-        words = np.append(words, _START)
-        of_before = np.where(begins, len(words) - 1, of_before)
+    if (begins[1:] | (before[1:] == tokens[:-1])).all():
+        words, place = np.unique(np.append(tokens, before[:1]), return_inverse=True)
+        # a history is the token before, or the start
+        of_token, of_before = place[:-1], np.append(place[-1:], place[:-2])
+        if begins.any():
+            words = np.append(words, _START)
+            of_before = np.where(begins, len(words) - 1, of_before)
+    else:
+        words, place = np.unique(np.append(tokens, before), return_inverse=True)
+        of_token, of_before = place[: len(tokens)], place[len(tokens) :]
     return Asked(words, of_token, of_before, *np.unique(_pair_keys(before, tokens), return_index=True, return_inverse=True))
 
 

@@ -268,6 +268,19 @@ def test_lm_score(spark, docs, none):
     assert lm_score(none).count() == 0
 
 
+def test_lm_pairs_seen_once_count(spark):
+    from modweave.llm.common import Scratch, WordHashes
+    from modweave.llm.lm_score import _histories, _pair_keys, _tokens, fit
+
+    texts = [" ".join(f"v{k * 50 + j}" for j in range(50)) for k in range(20)]
+    model, _ = fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), LmRule(), Scratch(spark, "t"))
+    tokens, starts = _tokens([t.encode() for t in texts], WordHashes())
+    keys = _pair_keys(_histories(tokens, starts), tokens)
+    assert (model.filter.levels(keys) >= 1).all()
+    mean = lambda t: model.scores(t, _histories(t, np.array([0, len(t)]))).mean()
+    assert mean(tokens[:51]) > mean(np.append(tokens[:50][::-1], tokens[50])) + 1
+
+
 def test_lm_filter_grows_beyond_what_is_sent(spark, docs):
     from modweave.llm.common import Scratch, pick
     from modweave.llm.lm_score import Filter, Parts, fit
