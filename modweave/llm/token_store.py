@@ -188,7 +188,12 @@ class WordIds:
 
 
 def _parts(word: bytes) -> tuple[bytes, bytes]:
-    """A word as lower-case letters and the marks behind them, which the model parts as well; or whole and nothing."""
+    """A word as lower-case letters and the marks behind them, which the model parts as well; or whole and nothing.
+
+    Only words of ASCII are put in lower case: the model composes marks first, and some letters compose as small ones only.
+    """
+    if not word.isascii():
+        return word, b""
     core = word.rstrip(b".,;:!?|*$%&#")
     if len(core) < len(word) and core[-1:].isalpha() and b"<|" not in word:
         return core.translate(ASCII_LOWER), word[len(core) :]

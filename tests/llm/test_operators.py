@@ -180,6 +180,18 @@ def test_token_store(spark, docs, none):
     assert token_store(none, path, 1).count() == 0
 
 
+def test_token_store_composes_before_lowering(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    texts = ["J\u030c H\u0331 T\u0308. W\u030a, Y\u030a!", "xJ\u030cx PLAIN Word. \u00c9TE\u0301", "after"]
+    got = token_store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, 1).orderBy("start").collect()
+    at = 0
+    for r in got:
+        ids = model.encode(texts[r.doc_id], add_special_tokens=False).ids + [1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000))
     p = PerfectHash.build(keys)
