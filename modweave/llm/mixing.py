@@ -30,7 +30,8 @@ def mix(docs: DataFrame, rule: MixRule = MixRule()) -> DataFrame:
 
     ``docs`` needs ``doc_id``, ``text`` and ``source``; other columns aren't read. Returns one row per input
     row: ``doc_id``, ``size`` (words), ``source_size``, ``target`` (of the source), ``taken`` (0, 1 or up to
-    ``repeat`` times the size) and ``position`` (0 to 1; null when nothing is taken), range-sorted by position.
+    ``repeat`` times the size), ``position`` (0 to 1; of the first pass, null when nothing is taken) and ``positions``
+    (of all passes in which it is taken), range-sorted by position.
 
     A null source is a source of its own, after all others. Null and empty texts have size 0 and are never
     taken. Rows that repeat a doc_id are rows of their own. An empty table gives no rows.
@@ -38,7 +39,8 @@ def mix(docs: DataFrame, rule: MixRule = MixRule()) -> DataFrame:
     Targets fill up like water: a source gets its weight's share until it reaches ``repeat`` times its size,
     and what it leaves is shared again. Within a source, documents are ordered by a hash of their id, summed
     by hash bucket first, so no task holds a source. A document is taken in each pass over its source in which
-    its middle lies below the target. Its position inverts the integral of the source's schedule.
+    its middle lies below the target. Its position in each pass inverts the integral of the source's schedule, at
+    all that the source gave before, earlier passes included.
     """
     return _assigned(docs, rule).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
@@ -63,10 +65,11 @@ def _assigned(docs: DataFrame, rule: MixRule) -> DataFrame:
     middle = start + F.col("size") / 2.0
     passes = sum(((F.col("size") > 0) & (middle + F.col("source_size") * F.lit(k) < F.col("target"))).cast("long") for k in range(rule.repeat))
     rows = rows.withColumn("passes", passes)
-    done = F.least(F.lit(1.0), start / F.when(F.col("target") > 0, F.col("target")))
+    target, late = F.when(F.col("target") > 0, F.col("target")), F.col("late") * F.lit(float(rule.tilt))
+    at = [F.when(F.col("passes") > k, _time(F.least(F.lit(1.0), (start + F.col("source_size") * F.lit(k)) / target), late)) for k in range(rule.repeat)]
     return rows.select(
         "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).alias("taken"),
-        F.when(F.col("passes") > 0, _time(done, F.col("late") * F.lit(float(rule.tilt)))).alias("position"),
+        at[0].alias("position"), F.filter(F.array(*at), lambda p: p.isNotNull()).alias("positions"),
     )
 
 
@@ -99,10 +102,14 @@ def _time(done: Column, tilt: Column) -> Column:
     return F.when(F.abs(tilt) < 1e-9, done).otherwise(root)
 
 
-def mixed_documents(docs: DataFrame, rule: MixRule = MixRule()) -> DataFrame:
-    """The documents of a mix, each as often as it is taken, with the columns of ``docs``; those without doc_id are left out."""
-    taken = _assigned(docs, rule).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times"), "position").dropDuplicates(["doc_id"])
+def mixed_documents(docs: DataFrame, rule: MixRule = MixRule(), position: str | None = None) -> DataFrame:
+    """The documents of a mix in training order, each as often as it is taken, with the columns of ``docs``; those without doc_id are left out.
+
+    ``position`` names a further column with the place of each in training.
+    """
+    taken = _assigned(docs, rule).where("taken > 0").select("doc_id", "positions").dropDuplicates(["doc_id"])
     rows = plain(docs).withColumn("doc_id", F.col(f"c{docs.columns.index('doc_id')}")).join(taken, "doc_id")
-    rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    rows = rows.repartitionByRange("turn", "position", "doc_id").sortWithinPartitions("turn", "position", "doc_id")
-    return rows.select(*(f"c{k}" for k in range(len(docs.columns)))).toDF(*docs.columns)
+    rows = rows.withColumn("position", F.explode("positions"))
+    rows = rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    more = [position] if position else []
+    return rows.select(*(f"c{k}" for k in range(len(docs.columns))), *(["position"] if more else [])).toDF(*docs.columns, *more)

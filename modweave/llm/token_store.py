@@ -8,7 +8,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -85,23 +85,32 @@ class ShardWriter:
         self.out = self.files.open_output_stream(self.path)
         self.out.write(MAGIC)
         self.keys: list[int | None] = []
+        self.positions: list[float] = []
         self.lengths: list[int] = []
 
-    def add(self, key: int | None, ids: bytes) -> None:
+    def add(self, key: int | None, ids: bytes, position: float | None = None) -> None:
         self.out.write(ids)
         self.keys.append(key)
+        if position is not None:
+            self.positions.append(position)
         self.lengths.append(len(ids) // self.width)
 
     def close(self) -> None:
         lengths = np.array(self.lengths, np.int64)
         valid = np.array([k is not None for k in self.keys], bool)
         keys = np.array([k or 0 for k in self.keys], np.int64)
-        distinct, first, copies = np.unique(keys[valid], return_index=True, return_counts=True)
+        # records in the order of their keys: those of a key needn't lie side by side
+        records = np.flatnonzero(valid)
+        records = records[np.argsort(keys[records], kind="stable")]
+        distinct, first, copies = np.unique(keys[records], return_index=True, return_counts=True)
         perfect = PerfectHash.build(distinct)
         slot = perfect.number(distinct)
         prints, places, counts = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        prints[slot], places[slot], counts[slot] = fingerprint(distinct), np.flatnonzero(valid)[first] if len(distinct) else first, copies
+        prints[slot], places[slot], counts[slot] = fingerprint(distinct), first, copies
         parts = {"keys": keys, "valid": valid, "lengths": lengths, "prints": prints, "places": places, "copies": counts}
+        parts["positions"] = np.array(self.positions, np.float64)
+        if (np.diff(records) < 0).any():
+            parts["records"] = records
         parts |= {f"bits{k}": np.packbits(b.astype(bool)) for k, b in enumerate(perfect.bits)}
         told, at = {"ids": self.kind, "levels": [len(b) for b in perfect.bits], "parts": {}}, len(MAGIC) + self.width * int(lengths.sum())
         for name, values in parts.items():
@@ -130,16 +139,19 @@ class Shard:
         self.starts = np.concatenate(([0], np.cumsum(lengths)))
         self.kind = np.dtype(told["ids"])
         self.prints, self.places, self.copies = part("prints"), part("places"), part("copies")
+        #: Where in training each record comes; empty in a shard that is in key order.
+        self.positions = part("positions")
+        self.records = part("records") if "records" in told["parts"] else np.flatnonzero(self.valid)
         self.perfect = PerfectHash([np.unpackbits(part(f"bits{k}"), count=n).astype(np.int64) for k, n in enumerate(told["levels"])])
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First record and number of records of each key; 0 records for a key that the shard doesn't hold."""
+        """Where in ``records`` each key's begin, and how many they are; 0 for a key that the shard doesn't hold."""
         slot = self.perfect.number(keys)
         if not len(self.prints):
             return slot, np.zeros(len(keys), np.int64)
         good = (slot >= 0) & (self.prints[slot] == fingerprint(keys))
         first = np.where(good, self.places[slot], -1)
-        good &= self.keys[first] == keys
+        good &= self.keys[self.records[first]] == keys
         return np.where(good, first, -1), np.where(good, self.copies[slot], 0)
 
     def ids(self, record: int, records: int = 1) -> np.ndarray:
@@ -206,8 +218,8 @@ def _known(path: str, kind: str) -> WordIds:
     return WordIds(kind)
 
 
-def write_store(docs: DataFrame, folder: str, path: str, end_id: int) -> list[dict]:
-    """Writes all texts' ids in ascending doc_id order; returns the shards in that order."""
+def write_store(docs: DataFrame, folder: str, path: str, end_id: int, position: str | None = None) -> list[dict]:
+    """Writes all texts' ids in ascending order of ``position``, if given, and of doc_id; returns the shards in that order."""
     kind = id_kind(path, end_id)
     end = np.array(end_id, kind).tobytes()
 
@@ -220,16 +232,18 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int) -> list[di
                 out = ShardWriter(uri := f"{folder}/{uuid.uuid4().hex}.tok", kind)
             keys = iter(numbers(batch, "doc_id").to_pylist())
             texts = iter(rows_as_bytes(batch, "text"))
+            at = iter(numbers(batch, position).to_pylist() if position else repeat(None))
             while part := list(islice(texts, 64)):
-                for key, ids in zip(islice(keys, len(part)), known.texts([t or b"" for t in part], model)):
-                    out.add(key, ids + end)
+                for key, ids, place in zip(islice(keys, len(part)), known.texts([t or b"" for t in part], model), islice(at, len(part))):
+                    out.add(key, ids + end, place)
         if out is not None:
             out.close()
             from pyspark import TaskContext
 
             yield pa.RecordBatch.from_pylist([{"uri": uri, "part": TaskContext.get().partitionId(), "records": len(out.keys), "ids": sum(out.lengths)}])
 
-    ordered = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    order = [*([position] if position else []), "doc_id", "tie"]
+    ordered = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
     found = ordered.mapInArrow(run, "uri string, part long, records long, ids long").collect()
     return [r.asDict() for r in sorted(found, key=lambda r: r["part"])]
 
@@ -247,13 +261,14 @@ def read_store(spark, shards: list[dict]) -> DataFrame:
                 shard = Shard(uri)
                 if not shard.valid.all():
                     blank = np.flatnonzero(~shard.valid)
-                    yield _records(shard, blank, np.ones(len(blank), np.int64), first_id, None)
+                    yield _records(shard, blank, first_id, None)
                 keys = np.unique(shard.keys[shard.valid])
                 for k in range(0, len(keys), 4096):
                     first, copies = shard.find(keys[k : k + 4096])
                     if (first < 0).any():
                         raise ValueError(f"{uri}: the index misses a key")
-                    yield _records(shard, first, copies, first_id, keys[k : k + 4096])
+                    at = np.repeat(first - np.concatenate(([0], np.cumsum(copies)[:-1])), copies) + np.arange(int(copies.sum()))
+                    yield _records(shard, shard.records[at], first_id, np.repeat(keys[k : k + 4096], copies))
 
     shape = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not rows:
@@ -262,11 +277,10 @@ def read_store(spark, shards: list[dict]) -> DataFrame:
     return listed.mapInArrow(run, shape)
 
 
-def _records(shard: Shard, first: np.ndarray, copies: np.ndarray, base: int, keys: np.ndarray | None) -> pa.RecordBatch:
-    record = np.repeat(first - np.concatenate(([0], np.cumsum(copies)[:-1])), copies) + np.arange(int(copies.sum()))
+def _records(shard: Shard, record: np.ndarray, base: int, keys: np.ndarray | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            pa.nulls(len(record), pa.int64()) if keys is None else pa.array(np.repeat(keys, copies)),
+            pa.nulls(len(record), pa.int64()) if keys is None else pa.array(keys),
             pa.array(base + shard.starts[record]),
             pa.array(shard.starts[record + 1] - shard.starts[record]),
             pa.array([zlib.crc32(shard.ids(int(r)).tobytes()) for r in record], pa.int64()),
@@ -275,7 +289,7 @@ def _records(shard: Shard, first: np.ndarray, copies: np.ndarray, base: int, key
     )
 
 
-def token_store(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> DataFrame:
+def token_store(docs: DataFrame, path: str, end_id: int, folder: str | None = None, position: str | None = None) -> DataFrame:
     """Encodes all texts into shard files and reads them back by key.
 
     ``docs`` needs ``doc_id`` (long) and ``text``; other columns aren't read. ``folder`` is where the shards go
@@ -284,10 +298,11 @@ def token_store(docs: DataFrame, path: str, end_id: int, folder: str | None = No
 
     Null and empty texts have the end id only. Rows without doc_id come first and are read in order, as they
     have no key. Rows that repeat a doc_id lie side by side, ordered by a hash of their text. An empty table
-    gives no shard and no rows. A task that runs again writes another file; only files of tasks that
+    gives no shard and no rows. With ``position``, a column of numbers without nulls, records lie in its order
+    first, and the shards hold it. A task that runs again writes another file; only files of tasks that
     succeeded are listed.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return read_store(spark, write_store(docs, folder, path, end_id))
+    docs = pick(docs, "doc_id", "text", *([position] if position else [])).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return read_store(spark, write_store(docs, folder, path, end_id, position))

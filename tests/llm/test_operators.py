@@ -15,7 +15,7 @@ from modweave.llm.decontaminate import benchmark_words, decontaminate
 from modweave.llm.hilbert import hilbert_key
 from modweave.llm.license_scan import license_scan
 from modweave.llm.lm_score import LmRule, lm_score
-from modweave.llm.mixing import mix, mixed_documents
+from modweave.llm.mixing import MixRule, mix, mixed_documents
 from modweave.llm.ngram_join import JoinRule, ngram_jaccard_join, tree_links
 from modweave.llm.substring_dedup import substring_dedup
 from modweave.llm.token_counts import token_counts
@@ -233,6 +233,38 @@ def test_mix(spark, docs, none):
     assert mixed_documents(docs).columns == docs.columns and mix(none).count() == 0
 
 
+def test_every_pass_has_its_position(spark, tmp_path):
+    from modweave.llm.token_store import Shard
+
+    rows = [(k, " ".join(["w"] * (1 + k % 7)), "a" if k % 4 == 0 else "b") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rule = MixRule()
+    got = mix(df, rule).collect()
+    source = {k: s for k, _, s in rows}
+    late, want = {"a": 0.5, "b": -0.5}, []
+    for s in "ab":
+        begun = 0
+        for r in sorted((r for r in got if source[r.doc_id] == s), key=lambda r: (int((h := hashlib.md5(str(r.doc_id).encode()).hexdigest())[:8], 16) % rule.buckets, h)):
+            done = [(begun + k * r.source_size) / r.target for k in range(2) if begun + r.size / 2 + k * r.source_size < r.target]
+            a = late[s]
+            # the position at which the source's schedule has given this much
+            at = [float(np.sqrt((1 - a) ** 2 + 4 * a * min(1.0, d)) - (1 - a)) / (2 * a) for d in done]
+            assert np.allclose(r.positions, at) and r.taken == len(at) * r.size and (r.position is None) == (not at)
+            want += [(p, r.doc_id) for p in at]
+            begun += r.size
+    want.sort()
+    assert max(len(r.positions) for r in got) == 2
+    placed = mixed_documents(df, rule, position="at").collect()
+    assert [r.doc_id for r in placed] == [d for _, d in want] and np.allclose([r["at"] for r in placed], [p for p, _ in want])
+    # the first pass of the one source still runs when the other's second has begun
+    assert [r.doc_id for r in mixed_documents(df, rule).collect()] == [d for _, d in want]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    store = token_store(mixed_documents(df, rule, position="at").repartition(3), path, 1, str(tmp_path), position="at").orderBy("start").collect()
+    assert [r.doc_id for r in store] == [d for _, d in want]
+    at = np.concatenate([Shard(str(f)).positions for f in tmp_path.glob("*.tok")])
+    assert np.allclose(np.sort(at), [p for p, _ in want])
+
+
 def test_hilbert_and_nearest(spark):
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = hilbert_key(grid, 3)
