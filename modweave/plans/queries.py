@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,11 @@ def query(sql: str | None = None):
     return keep
 
 
+def whole(f, **parts):
+    """Registers ``f`` over whole tables as ``..._whole``: its SQL is of a part of them and doesn't hold for it."""
+    QUERIES[f"{f.__name__}_whole"] = partial(f, **parts)
+
+
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -49,8 +55,10 @@ TYPED = """typed as (select o_orderkey as row_ord, case when o_orderkey % 11 <>
 BLOCKS = "blocks as (select p_partkey as block_ord, p_partkey as snp_start, p_partkey + p_size as snp_end from part where p_partkey <= 200)"
 
 
-def reads_of(spark: SparkSession, d: str) -> DataFrame:
-    seq = F.substring(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTacgt]", "")), 1, 2000)
+def reads_of(spark: SparkSession, d: str, most: int | None = 2000) -> DataFrame:
+    """``most`` bases of each text, as the SQL takes them; None takes all."""
+    seq = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTacgt]", ""))
+    seq = seq if most is None else F.substring(seq, 1, most)
     return _table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), F.col("source").alias("contig"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"), seq.alias("seq"))
 
 
@@ -63,9 +71,11 @@ def calls_of(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def features_of(spark: SparkSession, d: str) -> DataFrame:
-    cells = [F.when((F.col("vec_id") * 7 + k * 3) % 10 != 0, F.col("embedding")[k].cast("double")) for k in range(8)]
-    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("row_ord"), "label", F.array(*cells).alias("features"))
+def features_of(spark: SparkSession, d: str, most: int | None = 8) -> DataFrame:
+    """``most`` components of each vector, as the SQL takes them; None takes all."""
+    x = F.col("embedding") if most is None else F.slice("embedding", 1, most)
+    cells = F.transform(x, lambda v, k: F.when((F.col("vec_id") * 7 + k * 3) % 10 != 0, v.cast("double")))
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("row_ord"), "label", cells.alias("features"))
 
 
 def typed_of(spark: SparkSession, d: str) -> DataFrame:
@@ -88,21 +98,21 @@ _MOTIF = parse_motif("RNNA_6mA_3")
 
 
 @query(f"with {READS} select read_id, i as motif_start from (select read_id, seq, unnest(range(0, greatest(length(seq) - 3, 0))) as i from reads) where regexp_matches(substr(seq, i + 1, 4), '^[AG]..A$')")
-def motif_occurrences(spark, d):
-    return occurrences(reads_of(spark, d), [_MOTIF]).select("read_id", F.col("motif_start").cast("long").alias("motif_start"))
+def motif_occurrences(spark, d, most=2000):
+    return occurrences(reads_of(spark, d, most), [_MOTIF]).select("read_id", F.col("motif_start").cast("long").alias("motif_start"))
 
 
 @query(f"""with {READS}, o as (select read_id, strand, seq, unnest(range(0, greatest(length(seq) - 3, 0))) as i from reads)
 select read_id, i as motif_start, i + case when strand = '-' then 0 else 3 end as read_position from o where regexp_matches(substr(seq, i + 1, 4), '^[AG]..A$')""")
-def motif_offsets_strand(spark, d):
-    return occurrences(reads_of(spark, d), [_MOTIF]).select("read_id", F.col("motif_start").cast("long").alias("motif_start"), F.col("read_position").cast("long").alias("read_position"))
+def motif_offsets_strand(spark, d, most=2000):
+    return occurrences(reads_of(spark, d, most), [_MOTIF]).select("read_id", F.col("motif_start").cast("long").alias("motif_start"), F.col("read_position").cast("long").alias("read_position"))
 
 
-def _tagged(spark, d):
+def _tagged(spark, d, most):
     k = F.col("read_id")
     mark = F.when(k % 3 == 0, ".").when(k % 3 == 1, "?").otherwise("")
     mm = F.concat(F.when(k % 5 == 0, "A-a").otherwise("A+a"), mark, F.lit(","), k % 4, F.lit(","), k % 2, F.lit(",1;"))
-    return reads_of(spark, d).select("*", mm.alias("mm"), F.array(F.lit(200), F.lit(100), (k % 100).cast("int")).alias("ml"))
+    return reads_of(spark, d, most).select("*", mm.alias("mm"), F.array(F.lit(200), F.lit(100), (k % 100).cast("int")).alias("ml"))
 
 
 _DECODED = f"""with {READS},
@@ -118,28 +128,28 @@ c as (
 
 
 @query(_DECODED + " select read_id, ordinal::int as ordinal, position::int as position, methylated, round(probability::double, 6) as probability from c")
-def decode_modifications(spark, d):
-    c = _tagged(spark, d).select("read_id", F.explode(decode_column(F.col("seq"), F.col("mm"), F.col("ml"))["calls"]).alias("c"))
+def decode_modifications(spark, d, most=2000):
+    c = _tagged(spark, d, most).select("read_id", F.explode(decode_column(F.col("seq"), F.col("mm"), F.col("ml"))["calls"]).alias("c"))
     return c.select("read_id", "c.ordinal", "c.position", "c.methylated", _r(F.col("c.probability").cast("double"), "probability"))
 
 
 @query(f"with {READS} select read_id, unnest(list_filter(range(0, length(seq)), lambda i: substr(seq, i + 1, 1) = 'C')) as position from reads")
-def canonical_positions(spark, d):
+def canonical_positions(spark, d, most=2000):
     places = F.expr("filter(transform(sequence(0, length(seq)), i -> if(substr(seq, i + 1, 1) = 'C', cast(i as bigint), null)), i -> i is not null)")
-    return reads_of(spark, d).select("read_id", F.explode(places).alias("position"))
+    return reads_of(spark, d, most).select("read_id", F.explode(places).alias("position"))
 
 
 @query(_DECODED + ", n as (select read_id, count(*) as n from c where not methylated group by read_id) select g.read_id, not good as failed, coalesce(n.n, 0) as implicit from g left join n on g.read_id = n.read_id")
-def implicit_unmodified(spark, d):
-    s = _tagged(spark, d).select("read_id", decode_column(F.col("seq"), F.col("mm"), F.col("ml")).alias("d"))
+def implicit_unmodified(spark, d, most=2000):
+    s = _tagged(spark, d, most).select("read_id", decode_column(F.col("seq"), F.col("mm"), F.col("ml")).alias("d"))
     return s.select("read_id", F.col("d.error").isNotNull().alias("failed"), F.size(F.filter("d.calls", lambda c: ~c["methylated"])).cast("long").alias("implicit"))
 
 
 @query(f"""with {READS}, p as (select *, 100 + read_id % 50 as start, unnest(range(0, length(seq))) as i from reads where length(seq) >= 20)
 select read_id, i as read_position, case when i < 3 then null when i < 10 then start + i - 3 when i < 12 then null when i < length(seq) - 4 then start + i - 5 + 6 end as ref_position from p""")
-def cigar_lift_over(spark, d):
+def cigar_lift_over(spark, d, most=2000):
     n = F.length("seq")
-    r = reads_of(spark, d).where(n >= 20).withColumn("cigar", F.concat(F.lit("3S7M2I6D"), n - 16, F.lit("=4S")))
+    r = reads_of(spark, d, most).where(n >= 20).withColumn("cigar", F.concat(F.lit("3S7M2I6D"), n - 16, F.lit("=4S")))
     lifted = r.select("read_id", F.posexplode(lift_column(n, 100 + F.col("read_id") % 50, F.col("cigar"))).alias("i", "ref_position"))
     return lifted.select("read_id", F.col("i").cast("long").alias("read_position"), "ref_position")
 
@@ -209,8 +219,8 @@ def feature_pivot(spark, d):
 
 
 @query(f"with {FEATURES} select dim::int as dim, count(*) - count(value) as n_missing, round(coalesce(avg(value), 0.5), 6) as mean, (count(*) - count(value)) / count(*) <= 0.1 as kept from features group by dim")
-def dense_columns(spark, d):
-    return C.dense_columns(features_of(spark, d), 0.1).select("dim", "n_missing", _r("mean", "mean"), "kept")
+def dense_columns(spark, d, most=8):
+    return C.dense_columns(features_of(spark, d, most), 0.1).select("dim", "n_missing", _r("mean", "mean"), "kept")
 
 
 _HIT = "(methylated and (prob is null or prob >= 0.2::float))"
@@ -253,21 +263,21 @@ _PILE = f"""with {READS}, p as (select contig, read_id % 50 + i as position, sub
 c as (select contig, position, count(*) filter (base = 'A') as "A", count(*) filter (base = 'C') as "C", count(*) filter (base = 'G') as "G", count(*) filter (base = 'T') as "T" from p group by all)"""
 
 
-def _pile(spark, d):
-    r = reads_of(spark, d).where("length(seq) > 0")
+def _pile(spark, d, most):
+    r = reads_of(spark, d, most).where("length(seq) > 0")
     return C.pileup(r.withColumn("ref_pos", F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: F.col("read_id") % 50 + i)))
 
 
 @query(_PILE + ' select contig, position, "A", "C", "G", "T" from c')
-def pileup_counts(spark, d):
-    return _pile(spark, d)
+def pileup_counts(spark, d, most=2000):
+    return _pile(spark, d, most)
 
 
 @query(_PILE + """, o as (select contig, position, ['A', 'C', 'G', 'T'][position % 4 + 1] as original, [{'n': "A", 'b': 'A'}, {'n': "C", 'b': 'C'}, {'n': "G", 'b': 'G'}, {'n': "T", 'b': 'T'}] as x from c)
 select contig, position, original, list_sort(list_filter(x, lambda e: e.b <> original))[1].b as replacement from o""")
-def replacement_base(spark, d):
+def replacement_base(spark, d, most=2000):
     original = F.element_at(F.array(*map(F.lit, C.BASES)), (F.col("position") % 4 + 1).cast("int"))
-    p = _pile(spark, d).withColumn("original", original)
+    p = _pile(spark, d, most).withColumn("original", original)
     return p.select("contig", "position", "original", C.replacement_base(F.col("original"), {b: F.col(b) for b in C.BASES}).alias("replacement"))
 
 
@@ -285,13 +295,13 @@ select m.row_ord, m.dim::int as dim, round(coalesce(n.near, c.mean, 0.5), 6) as
 
 
 @query(_NN)
-def nn_impute(spark, d):
-    return K.nearest_impute_sql(features_of(spark, d)).select("row_ord", "dim", _r("value", "value"))
+def nn_impute(spark, d, most=8):
+    return K.nearest_impute_sql(features_of(spark, d, most)).select("row_ord", "dim", _r("value", "value"))
 
 
-def _dense(spark, d):
+def _dense(spark, d, most=None):
     """Rows of a cluster matrix in id order, for the numpy kernels."""
-    return features_of(spark, d).select(F.col("row_ord").alias("read_id"), "features", "label")
+    return features_of(spark, d, most).select(F.col("row_ord").alias("read_id"), "features", "label")
 
 
 @query()
@@ -303,14 +313,14 @@ def nn_impute_kernel(spark, d):
 p as (select a.id, a.label, b.label as o, avg(sqrt(list_sum(list_transform(range(1, 9), lambda k: (a.x[k] - b.x[k]) * (a.x[k] - b.x[k]))))) as d from e a join e b on a.id <> b.id group by all),
 s as (select id, coalesce(max(d) filter (label = o), 0.0) as a, min(d) filter (label <> o) as b from p group by id)
 select id, round(case when greatest(a, b) > 0 then (b - a) / greatest(a, b) else 0.0 end, 6) as s from s""")
-def silhouette_given_labels(spark, d):
-    x = F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))
+def silhouette_given_labels(spark, d, most=8):
+    x = F.transform(F.col("embedding") if most is None else F.slice("embedding", 1, most), lambda v: v.cast("double"))
     return K.silhouette_rows(_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", x.alias("x"))).select("id", _r("s", "s"))
 
 
 @query(f"with {FEATURES} select label as cluster_id, dim::int as dim, count(*) as read_count, round(avg(value), 6) as centroid from features group by all")
-def cluster_centroids(spark, d):
-    f = _dense(spark, d)
+def cluster_centroids(spark, d, most=8):
+    f = _dense(spark, d, most)
     return K.centroids(f.select("read_id", "features"), f.select("read_id", F.col("label").alias("cluster_id"))).select("cluster_id", "dim", "read_count", _r("centroid", "centroid"))
 
 
@@ -551,3 +561,7 @@ def stream_site_windows(spark, d):
     """The streaming aggregation, run over the table as a batch."""
     times = _table(spark, d, "events").select(F.col("event_id").alias("call_ord"), F.col("ts"))
     return stream_site_counts(calls_of(spark, d).withColumnRenamed("ref_pos", "ref_position").join(times, "call_ord"), threshold=0.2)
+
+
+for _f in (motif_occurrences, motif_offsets_strand, decode_modifications, canonical_positions, implicit_unmodified, cigar_lift_over, pileup_counts, replacement_base, dense_columns, nn_impute, silhouette_given_labels, cluster_centroids):
+    whole(_f, most=None)
