@@ -86,8 +86,10 @@ def typed_of(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "orders").select(k.alias("row_ord"), k.cast("string").alias("id"), F.array(c0, c1).cast("array<int>").alias("cats"), F.array(x).alias("meth"))
 
 
-def blocks_of(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("block_ord"), F.col("p_partkey").alias("snp_start"), (F.col("p_partkey") + F.col("p_size")).alias("snp_end"))
+def blocks_of(spark: SparkSession, d: str, last: int | None = 200) -> DataFrame:
+    """Blocks up to ``last``, as the SQL takes them; None takes all."""
+    part = _table(spark, d, "part")
+    return (part if last is None else part.where(F.col("p_partkey") <= last)).select(F.col("p_partkey").alias("block_ord"), F.col("p_partkey").alias("snp_start"), (F.col("p_partkey") + F.col("p_size")).alias("snp_end"))
 
 
 def _r(c, name: str, digits: int = 6):
@@ -373,14 +375,14 @@ c as (select seg_start, seg_end, block_ord, row_number() over (partition by seg_
 
 
 @query(_SEG + " select seg_start, seg_end, block_ord, level::int as level, n_levels from c where n_levels > 1")
-def hap_segments(spark, d):
-    return H.covering_blocks(blocks_of(spark, d), 16)
+def hap_segments(spark, d, last=200):
+    return H.covering_blocks(blocks_of(spark, d, last), 16)
 
 
 @query(_SEG + """, e as (select block_ord, 'r' || (block_ord % 60) as id, snp_start + block_ord % 3 as start, greatest(snp_start + block_ord % 3, snp_end - block_ord % 5) as stop from blocks)
 select id, seg_start, seg_end, min(level)::int as level from e join c using (block_ord) where n_levels > 1 and start <= seg_end and stop >= seg_start group by all""")
-def hap_assign(spark, d):
-    b = blocks_of(spark, d)
+def hap_assign(spark, d, last=200):
+    b = blocks_of(spark, d, last)
     e = b.select("block_ord", F.concat(F.lit("r"), F.col("block_ord") % 60).alias("id"), (F.col("snp_start") + F.col("block_ord") % 3).alias("start"), "snp_end").withColumn("end", F.greatest("start", F.col("snp_end") - F.col("block_ord") % 5))
     return H.assign_levels(e, H.covering_blocks(b, 16))
 
@@ -565,3 +567,6 @@ def stream_site_windows(spark, d):
 
 for _f in (motif_occurrences, motif_offsets_strand, decode_modifications, canonical_positions, implicit_unmodified, cigar_lift_over, pileup_counts, replacement_base, dense_columns, nn_impute, silhouette_given_labels, cluster_centroids):
     whole(_f, most=None)
+
+for _f in (hap_segments, hap_assign):
+    whole(_f, last=None)

@@ -80,3 +80,21 @@ def test_whole_vectors(spark, tables):
         assert abs(s - (min(b) - a) / max(a, min(b))) < 1e-5
     centre = {r[:2]: r[3] for r in rows(spark, d, "cluster_centroids_whole")}
     assert len(centre) == 3 * 64 and all(abs(v - np.nanmean(cells[label == c, j])) < 1e-5 for (c, j), v in centre.items())
+
+
+def test_whole_blocks(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    blocks = [(k, k, k + int(rng.integers(1, 51))) for k in range(1, 601)]
+    spark.createDataFrame([(k, e - k) for k, _, e in blocks], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    bounds = sorted({b for _, s, e in blocks for b in (s, e + 1)})
+    want, levels = [], {}
+    for a, b in zip(bounds, bounds[1:]):
+        held = [k for k, s, e in blocks if s <= a and e >= b - 1]
+        for level, k in enumerate(held if len(held) > 1 else []):
+            want.append((a, b - 1, k, level, len(held)))
+            start = k + k % 3
+            if start <= b - 1 and max(start, blocks[k - 1][2] - k % 5) >= a:
+                at = (f"r{k % 60}", a, b - 1)
+                levels[at] = min(level, levels.get(at, level))
+    assert sorted(rows(spark, str(tmp_path), "hap_segments_whole")) == sorted(want) and max(w[2] for w in want) == 600
+    assert {r[:3]: r[3] for r in rows(spark, str(tmp_path), "hap_assign_whole")} == levels
