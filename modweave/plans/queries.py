@@ -205,9 +205,9 @@ _KINDS = ["click", "view", "purchase", "signup", "logout", "login", "error"]
 @query(f"""with {CALLS}, k as (select unnest({_KINDS}) as motif, unnest(range(0, {len(_KINDS)})) as o), r as (select distinct read_id from calls),
 h as (select distinct read_id, motif from calls where methylated and call_ord % 40 = 1)
 select r.read_id, coalesce(string_agg(k.motif, '+' order by k.o), 'NONE') as combo from r left join h on r.read_id = h.read_id left join k on h.motif = k.motif group by r.read_id""")
-def motif_hits_combo(spark, d):
+def motif_hits_combo(spark, d, kept="call_ord % 40 = 1"):
     c = calls_of(spark, d)
-    return C.motif_hits(c.where("call_ord % 40 = 1"), c, "read_id", _KINDS).select("read_id", C.combo_label(F.col("hits"), _KINDS).alias("combo"))
+    return C.motif_hits(c.where(kept), c, "read_id", _KINDS).select("read_id", C.combo_label(F.col("hits"), _KINDS).alias("combo"))
 
 
 @query(f"""with {CALLS}, a as (select read_id, call_ord % 4 as read_ord, motif, avg(prob::double) as m from calls group by all),
@@ -529,8 +529,8 @@ def optimal_label_matching(spark, d):
 @query(f"""with {CALLS}, a as (select read_id, motif, avg(prob::double) as m from calls where call_ord % 20 = 0 group by all),
 c as (select motif, case when m is null then 'missing' when m >= 0.2 then 'high' else 'low' end as level, count(*) as n from a group by all)
 select motif, level, n, round(n / sum(n) over (partition by motif), 6) as fraction from c""")
-def contingency_fraction(spark, d):
-    a = C.read_aggregate(calls_of(spark, d).where("call_ord % 20 = 0"), ["read_id", "motif"])
+def contingency_fraction(spark, d, kept="call_ord % 20 = 0"):
+    a = C.read_aggregate(calls_of(spark, d).where(kept), ["read_id", "motif"])
     return P.level_fractions(a, 0.2).select("motif", "level", "n", _r("fraction", "fraction"))
 
 
@@ -553,8 +553,8 @@ def top_motif_pairs(spark, d):
 
 
 @query("select event_id, case when k % 2 = 0 then '0.' || lpad((k / 2)::bigint::varchar, 4, '0') end as shown from (select event_id, json_extract_string(props, '$.k')::int as k from events) where k % 2 = 0")
-def fixed_point_text(spark, d):
-    rows = _table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).where("k % 2 = 0")
+def fixed_point_text(spark, d, kept="k % 2 = 0"):
+    rows = _table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).where(kept)
     return rows.select("event_id", fixed(F.col("k") / F.lit(20000.0)).alias("shown"))
 
 
@@ -570,3 +570,6 @@ for _f in (motif_occurrences, motif_offsets_strand, decode_modifications, canoni
 
 for _f in (hap_segments, hap_assign):
     whole(_f, last=None)
+
+for _f in (motif_hits_combo, contingency_fraction, fixed_point_text):
+    whole(_f, kept="true")

@@ -7,6 +7,7 @@ import json
 import re
 import tomllib
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -235,6 +236,10 @@ def read_assignments(spark: SparkSession, path: str, sep: str = "\t") -> DataFra
 
 def fixed(c: Column, digits: int = 4, null: str = "NA") -> Column:
     """Decimals with ties to even, as text; ``format_string`` would round them up."""
+    half = f"5e-{digits + 1}"
+    if Decimal(float(half)) > Decimal(half):
+        # a little above a tie, but rounded down where no digit is before it
+        c = F.when(F.abs(c) == float(half), c * 2).otherwise(c)
     return F.coalesce(F.regexp_replace(F.call_function("format_number", c, F.lit("0." + "0" * digits)), ",", ""), F.lit(null))
 
 

@@ -98,3 +98,26 @@ def test_whole_blocks(spark, tmp_path):
                 levels[at] = min(level, levels.get(at, level))
     assert sorted(rows(spark, str(tmp_path), "hap_segments_whole")) == sorted(want) and max(w[2] for w in want) == 600
     assert {r[:3]: r[3] for r in rows(spark, str(tmp_path), "hap_assign_whole")} == levels
+
+
+def test_whole_calls(spark, tmp_path):
+    kinds = ["click", "view", "purchase", "signup", "logout", "login", "error"]
+    events = [(e, e % 23, kinds[(e * 5 + e // 11) % 7], f'{{"k": {e * 37 % 256}}}', None) for e in range(400)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    hits, means = {e[1]: set() for e in events}, {}
+    for e, user, kind, _, _ in events:
+        if e % 7:
+            hits[user].add(kind)
+        means.setdefault((user, kind), []).extend([float(np.float32(e * 37 % 256 / 255))] if e % 7 else [])
+    assert sorted(rows(spark, str(tmp_path), "motif_hits_combo_whole")) == [(u, "+".join(k for k in kinds if k in h) or "NONE") for u, h in sorted(hits.items())]
+    count = Counter((kind, "missing" if not v else "high" if sum(v) / len(v) >= 0.2 else "low") for (_, kind), v in means.items())
+    of = Counter(kind for _, kind in means)
+    assert sorted(rows(spark, str(tmp_path), "contingency_fraction_whole")) == [(k, level, n, round(n / of[k], 6)) for (k, level), n in sorted(count.items())]
+
+
+def test_fixed_point_ties(spark, tmp_path):
+    spark.createDataFrame([(k, f'{{"k": {k}}}') for k in range(2600)], "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = dict(rows(spark, str(tmp_path), "fixed_point_text_whole"))
+    # binary fractions are ties and go to even; other decimals that look like ties are a little above or below
+    assert (got[625], got[1875], got[1], got[3], got[2500]) == ("0.0312", "0.0938", "0.0001", "0.0001", "0.1250")
+    assert got == {k: f"{k / 20000:.4f}" for k in range(2600)}
