@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -199,12 +200,17 @@ class WordIds:
         return [b"".join(map(held.__getitem__, w)) for w in words]
 
 
+#: A capital that may compose with what follows.
+_CAPITAL = re.compile(rb"[A-Z][\x80-\xff]")
+
+
 def _parts(word: bytes) -> tuple[bytes, bytes]:
     """A word as lower-case letters and the marks behind them, which the model parts as well; or whole and nothing.
 
-    Only words of ASCII are put in lower case: the model composes marks first, and some letters compose as small ones only.
+    A capital that another character than ASCII follows stays: the model composes marks first, and some letters
+    compose as small ones only. All else of ASCII composes with nothing.
     """
-    if not word.isascii():
+    if not word.isascii() and _CAPITAL.search(word):
         return word, b""
     core = word.rstrip(b".,;:!?|*$%&#")
     if len(core) < len(word) and core[-1:].isalpha() and b"<|" not in word:

@@ -192,6 +192,18 @@ def test_token_store_composes_before_lowering(spark):
         at += len(ids)
 
 
+def test_words_in_any_script_and_case():
+    from modweave.llm.token_store import WordIds, id_kind
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, rng = Tokenizer.from_file(path), random.Random(11)
+    letters = [*"abJHTWYjhtwyXK.,;:!?|*$%&#<>-'1", "\u030c", "\u0331", "\u0308", "\u030a", "\u0338", "\u00c9", "\u03a3", "\u0130", "\u212a", "\u65e5"]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(30_000)]
+    kind = id_kind(path, 1)
+    got = WordIds(kind).texts([w.encode() for w in words], model)
+    assert all(np.frombuffer(g, kind).tolist() == e.ids for g, e in zip(got, model.encode_batch_fast(words, add_special_tokens=False)))
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000))
     p = PerfectHash.build(keys)
