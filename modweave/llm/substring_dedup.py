@@ -1,4 +1,7 @@
-"""Substring dedup: suffixes split by variable-length prefixes; deep nodes of each subtree are repeats."""
+"""Substring dedup: repeated windows of words, by hashes that stand in for the deep nodes of suffix trees.
+
+No tree is built: a "node" here is the hash of a window's words and a "subtree" the rows dealt by one prefix.
+"""
 
 from __future__ import annotations
 
