@@ -1,39 +1,43 @@
-"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts, probed by every worker."""
+"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts, probed part by part.
+
+The filter takes more than a tenth of the text's size, so it isn't sent to every worker: it is cut by key into parts of
+bounded size, and the distinct keys of a slice of texts go to the parts and their levels back.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, Scratch, WordHashes, as_long, mix64, numbers, pick, rows_as_bytes, sorted_groups
+from .common import Scratch, mix64, numbers, pick, sorted_groups
+from .words import byte_slices, find_words
 
-#: Token hashes of a text's end and of what comes before its first word; no word holds a blank.
-_END, _START = WordHashes().of([b" end", b" start"])
-#: Kinds of keys in the filter.
-_WORD, _LEFT, _PAIR = (np.uint64(x) for x in (0x51ED270B27D4EB2F, 0x2127599BF4325C37, 0x880355F21E6D1965))
+#: Token hashes of a text's end and of what comes before its first word, and what tells kinds of keys apart.
+_END, _START, _WORD, _PAIR = (np.uint64(x) for x in (0x51ED270B27D4EB2F, 0x2127599BF4325C37, 0x880355F21E6D1965, 0x6A09E667F3BCC909))
+#: Bits of a key that tell its part.
+_SLOT = 24
 
 
 @dataclass(frozen=True)
 class LmRule:
-    """Counts below ``least`` pairs are left to the smoothing. A count c is held as the levels up to
-    log(c) / log(base). The filter has ``bits`` bits an entry, in ``parts`` equal parts. One of more than ``most_bits``
-    has as many more parts of that size as it needs, and is not sent to the workers: keys are sent to its parts.
+    """A count c is held as the levels up to log(c) / log(base). The filter has ``bits`` bits an entry. A pair's count
+    is mixed with ``strength`` times the word's own probability. Texts are handled in slices of ``slice_bytes``, keys in
+    parts of about ``part_keys``.
     """
 
-    least: int = 1
     word_base: float = 1.2
     pair_base: float = 1.25
-    discount: float = 0.5
+    strength: float = 8.0
     bits: int = 12
-    most_bits: int = 1 << 28
     probes: int = 4
-    parts: int = 64
-    common: int = 1 << 17
+    part_keys: int = 2_000_000
+    slice_bytes: int = 12_000_000
 
     def level(self, counts: np.ndarray, base: float) -> np.ndarray:
         """Levels of counts of 1 and more: the largest q with base^(q-1) <= count."""
@@ -41,27 +45,34 @@ class LmRule:
 
 
 class Filter:
-    """Bits of all parts, or of one, in one array; a key's part is in its top bits. No key has a level above ``top``."""
+    """The bits of one part; a key's levels are probed from 1 on. No key has a level above ``top``, so a full filter ends too."""
 
-    #: Bits of a key that tell its part.
-    SLOT = 24
+    def __init__(self, bits: np.ndarray, size: int, rule: LmRule, top: int):
+        self.bits, self.size, self.rule, self.top = bits, size, rule, top
 
-    def __init__(self, bits: np.ndarray, size: int, rule: LmRule, parts: int, top: int):
-        self.bits, self.size, self.rule, self.parts, self.top = bits, size, rule, parts, top
+    @staticmethod
+    def steps(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the probes of a key and level begin, and how far they lie apart."""
+        found = mix64(keys + np.atleast_1d(level).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        return found, found >> np.uint64(29) | np.uint64(1)
 
     @classmethod
-    def part(cls, keys: np.ndarray, parts: int) -> np.ndarray:
-        return (keys >> np.uint64(64 - cls.SLOT)) * np.uint64(parts) >> np.uint64(cls.SLOT)
-
-    @staticmethod
-    def place(keys: np.ndarray, level: np.ndarray | int, probe: int, size: int) -> np.ndarray:
-        return mix64(keys + (np.atleast_1d(level).astype(np.uint64) * np.uint64(8) + np.uint64(probe)) * np.uint64(0x9FB21C651E98DF25)) % np.uint64(size)
+    def build(cls, keys: np.ndarray, levels: np.ndarray, rule: LmRule) -> Filter:
+        size = max(64, rule.bits * int(levels.sum()))
+        bits = np.zeros(size, np.uint8)
+        for a in range(0, len(keys), 200_000):
+            n = levels[a : a + 200_000]
+            ends = np.cumsum(n)
+            begin, far = cls.steps(np.repeat(keys[a : a + 200_000], n), np.arange(1, int(ends[-1]) + 1) - np.repeat(ends - n, n))
+            for probe in range(rule.probes):
+                bits[(begin + np.uint64(probe) * far) % np.uint64(size)] = 1
+        return cls(np.packbits(bits, bitorder="little"), size, rule, int(levels.max()) if len(levels) else 0)
 
     def holds(self, keys: np.ndarray, level: int) -> np.ndarray:
-        base = self.part(keys, self.parts) * np.uint64(self.size)
+        begin, far = self.steps(keys, level)
         alive = np.arange(len(keys))
         for probe in range(self.rule.probes):
-            at = base[alive] + self.place(keys[alive], level, probe, self.size)
+            at = (begin[alive] + np.uint64(probe) * far[alive]) % np.uint64(self.size)
             alive = alive[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
             if not len(alive):
                 break
@@ -79,14 +90,51 @@ class Filter:
         return out
 
 
-def _tokens(texts: list, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned integers in as few bytes each as the largest needs: the lowest byte of all, then the next."""
+    wide = (int(values.max()).bit_length() + 7) // 8 or 1 if len(values) else 1
+    return bytes([wide]) + np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+@dataclass(frozen=True)
+class Deal:
+    """How keys of so many bits are dealt to parts, in ascending order; kind 0 are words, kind 1 pairs."""
+
+    parts: int
+    pair_bits: int
+
+    def least(self, part: np.ndarray, kind: int) -> np.ndarray:
+        """The smallest key of a part."""
+        slot = -(-(np.asarray(part, np.int64) << _SLOT) // self.parts)
+        return slot.astype(np.uint64) << np.uint64((64, self.pair_bits)[kind] - _SLOT)
+
+    def pieces(self, keys: np.ndarray, kind: int) -> Iterator[tuple[int, slice, bytes]]:
+        """Of ascending distinct keys, those of each part: the part, where they are, and their differences packed."""
+        edges = np.searchsorted(keys, self.least(np.arange(1, self.parts), kind))
+        bounds = np.concatenate(([0], edges, [len(keys)]))
+        for part in np.flatnonzero(np.diff(bounds)).tolist():
+            a, b = int(bounds[part]), int(bounds[part + 1])
+            yield part, slice(a, b), _pack(np.diff(keys[a:b], prepend=self.least(part, kind)))
+
+    def keys(self, raw: bytes, part: int, kind: int) -> np.ndarray:
+        return np.cumsum(_unpack(raw)) + self.least(part, kind)
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, each with its end; where each text starts."""
-    found, starts = [], [0]
-    for t in texts:
-        found.append(hashes.of((t or b"").translate(ASCII_LOWER).split()))
-        found.append(np.array([_END]))
-        starts.append(starts[-1] + len(found[-2]) + 1)
-    return (np.concatenate(found) if found else np.empty(0, np.uint64)), np.array(starts)
+    found, counts = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    for part in byte_slices(texts, 4_000_000):
+        words = find_words(texts[part])
+        found.append(np.insert(words.hashes(lower=True), words.first[1:], _END))
+        counts.append(words.counts() + 1)
+    return np.concatenate(found), np.cumsum(np.concatenate(counts))
 
 
 def _histories(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -96,336 +144,214 @@ def _histories(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return before
 
 
-def _pair_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return mix64(before * np.uint64(0x9E3779B97F4A7C15) + tokens * np.uint64(0xD6E8FEB86659FD93) + _PAIR)
+def _pair_keys(before: np.ndarray, tokens: np.ndarray, bits: int) -> np.ndarray:
+    return mix64(before * np.uint64(0x9E3779B97F4A7C15) + tokens * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
 
 
-def _slices(texts: list, most: int = 6_000_000) -> Iterator[slice]:
-    begin, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t or b"") + 1
-        if size > most:
-            yield slice(begin, k + 1)
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+_KEYED = ["slice", "part", "kind", "keys", "counts"]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (``history`` null) and of pairs with their history, summed over parts of a batch."""
-    hashes = WordHashes()
-    for batch in batches:
-        texts = rows_as_bytes(batch, "text")
-        for part in _slices(texts, 8_000_000):
-            tokens, starts = _tokens(texts[part], hashes)
-            words, counts = np.unique(tokens, return_counts=True)
-            yield pa.RecordBatch.from_arrays([as_long(words), pa.nulls(len(words), pa.int64()), pa.array(counts)], ["key", "history", "n"])
-            before = _histories(tokens, starts)
-            pairs, first, counts = np.unique(_pair_keys(before, tokens), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([as_long(pairs), as_long(before[first]), pa.array(counts)], ["key", "history", "n"])
+def _keyed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], _KEYED)
 
 
-def _build(rule: LmRule, size: int):
-    """One part of the filter from rows (part, key, levels) sorted by part."""
+def _count(rule: LmRule, deal: Deal):
+    """Distinct words and pairs of each slice of texts with their counts, a row for each part that has some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits = None, np.empty(0, np.uint8)
         for batch in batches:
-            part, keys, levels = (numbers(batch, c).to_numpy() for c in ("part", "key", "levels"))
-            keys = keys.view(np.uint64)
-            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if part[a] != now:
-                    if now is not None:
-                        yield _part(now, bits)
-                    now, bits = part[a], np.zeros(size, np.uint8)
-                for begin in range(a, b, 200_000):
-                    k, n = keys[begin : min(b, begin + 200_000)], levels[begin : min(b, begin + 200_000)]
-                    ends = np.cumsum(n)
-                    level = np.arange(1, int(ends[-1]) + 1) - np.repeat(ends - n, n)
-                    for probe in range(rule.probes):
-                        bits[Filter.place(np.repeat(k, n), level, probe, size)] = 1
-        if now is not None:
-            yield _part(now, bits)
+            texts = numbers(batch, "text")
+            for part in byte_slices(texts, rule.slice_bytes):
+                tokens, starts = _tokens(texts[part])
+                for kind, keys in enumerate((tokens, _pair_keys(_histories(tokens, starts), tokens, deal.pair_bits))):
+                    keys, counts = np.unique(keys, return_counts=True)
+                    yield _keyed([(None, p, kind, raw, _pack(counts[at].astype(np.uint64))) for p, at, raw in deal.pieces(keys, kind)])
 
     return run
 
 
-def _part(part: int, bits: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    key, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(key)
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(count, first)
 
 
-@dataclass
-class Parts:
-    """A filter that is kept as a table of parts."""
+_PART = "part int, size long, top int, bits binary, words binary, counts binary, tokens long, distinct long"
 
-    table: DataFrame
-    size: int
-    parts: int
-    top: int
 
+def _build(rule: LmRule, deal: Deal):
+    """Each part from its rows of counts, sorted by part: the filter, and its words with their exact counts."""
 
-@dataclass
-class Asked:
-    """Distinct words and pairs of some tokens, and each token's places among them."""
-
-    words: np.ndarray
-    of_token: np.ndarray
-    of_before: np.ndarray
-    pairs: np.ndarray
-    first: np.ndarray
-    again: np.ndarray
-
-    def keys(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
-        """All keys, and their order by part."""
-        keys = np.concatenate((mix64(self.words + _WORD), mix64(self.words + _LEFT), self.pairs))
-        return keys, np.argsort(Filter.part(keys, parts), kind="stable")
-
-
-def _asked(tokens: np.ndarray, before: np.ndarray) -> Asked:
-    begins = before == _START
-    if (begins[1:] | (before[1:] == tokens[:-1])).all():
-        words, place = np.unique(np.append(tokens, before[:1]), return_inverse=True)
-        # a history is the token before, or the start
-        of_token, of_before = place[:-1], np.append(place[-1:], place[:-2])
-        if begins.any():
-            words = np.append(words, _START)
-            of_before = np.where(begins, len(words) - 1, of_before)
-    else:
-        words, place = np.unique(np.append(tokens, before), return_inverse=True)
-        of_token, of_before = place[: len(tokens)], place[len(tokens) :]
-    return Asked(words, of_token, of_before, *np.unique(_pair_keys(before, tokens), return_index=True, return_inverse=True))
+    def of_part(part: int, held: dict) -> pa.RecordBatch:
+        (words, n), (pairs, m) = (_summed(*held[kind]) for kind in (0, 1))
+        keys = np.concatenate((mix64(words + _WORD), mix64(pairs + _PAIR)))
+        built = Filter.build(keys, np.concatenate((rule.level(n, rule.word_base), rule.level(m, rule.pair_base))), rule)
+        raw = _pack(np.diff(words, prepend=deal.least(part, 0)))
+        row = {"part": part, "size": built.size, "top": built.top, "bits": built.bits.tobytes(), "words": raw, "counts": _pack(n.astype(np.uint64)), "tokens": int(n.sum()), "distinct": len(words)}
+        return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("size", pa.int64()), ("top", pa.int32()), *((c, pa.binary()) for c in ("bits", "words", "counts")), ("tokens", pa.int64()), ("distinct", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for batch in batches:
+            for part, kind, keys, counts in zip(*(numbers(batch, c).to_pylist() for c in _KEYED[1:])):
+                if part != now:
+                    if now is not None:
+                        yield of_part(now, held)
+                    now, held = part, {0: ([], []), 1: ([], [])}
+                held[kind][0].append(deal.keys(keys, part, kind))
+                held[kind][1].append(_unpack(counts))
+        if now is not None:
+            yield of_part(now, held)
+
+    return run
 
 
 @dataclass
 class Model:
+    """The parts of a filter as a table, and the sums that scoring needs: tokens, distinct tokens and texts."""
+
     rule: LmRule
-    filter: Filter | Parts
+    deal: Deal
+    table: DataFrame
     total: int
     distinct: int
-    common: np.ndarray
-    common_counts: np.ndarray
-    recent: tuple | None = None
-
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
-
-    def known_levels(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Levels of words as such and of what they leave as histories; those of recent words are remembered."""
-        held = self.recent
-        if held is None or len(held[0]) > 400_000:
-            held = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-        at = np.searchsorted(held[0], words)
-        fresh = np.ones(len(words), bool) if not len(held[0]) else held[0][np.minimum(at, len(held[0]) - 1)] != words
-        new = np.unique(words[fresh])
-        key = np.concatenate((held[0], new))
-        level = np.concatenate((held[1], self.filter.levels(mix64(new + _WORD))))
-        left = np.concatenate((held[2], self.filter.levels(mix64(new + _LEFT))))
-        order = np.argsort(key, kind="stable")
-        self.recent = held = (key[order], level[order], left[order])
-        at = np.searchsorted(held[0], words)
-        return held[1][at], held[2][at]
-
-    def scores(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after its history.
-
-        A pair's count is rounded down and its history's up, so that what pairs get, and what they leave to
-        the words, never sums above 1.
-        """
-        asked = _asked(tokens, before)
-        level, left = self.known_levels(asked.words)
-        able = np.flatnonzero(left[asked.of_before[asked.first]] > 0)
-        found = np.zeros(len(asked.pairs), np.int64)
-        found[able] = self.filter.levels(asked.pairs[able])
-        return self.mixed(asked, level, left, found)
-
-    def mixed(self, asked: Asked, level: np.ndarray, left: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """The scores from the levels of words, of what they leave as histories, and of pairs."""
-        rule = self.rule
-        count = np.where(level > 0, rule.word_base ** (level - 1.0), 0.0)
-        unigram = (count + 0.1) / (self.total + 0.1 * (self.distinct + 1))
-        upper = rule.word_base ** np.maximum(level, 1)
-        # a history without pairs leaves all to the words
-        alpha = np.where((left > 0) & (level > 0), np.minimum(1.0, rule.word_base ** (left - 1.0) / upper), 1.0)
-        found = np.where(left[asked.of_before[asked.first]] > 0, found, 0)
-        own = np.where(found > 0, rule.least * rule.pair_base ** (found - 1.0) - rule.discount, 0.0)[asked.again]
-        return np.log10(np.minimum(1.0, own / upper[asked.of_before] + alpha[asked.of_before] * unigram[asked.of_token]))
-
-
-_SCORED = ["row", "key", "times", "n_tokens", "n_known", "base", "score", "doc_id", "held_out"]
+    texts: int
 
 
-def _score(sent):
-    """For each text a row with its sums, and a row for each of its words that isn't among the common ones."""
+def _ask(rule: LmRule, deal: Deal):
+    """Distinct words and pairs of each slice of texts, a row for each part that has some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = sent.value
-        hashes = WordHashes()
-        for batch in batches:
-            texts, rows, ids, held = rows_as_bytes(batch, "text"), *(numbers(batch, c) for c in ("row", "doc_id", "held_out"))
-            for part in _slices(texts):
-                tokens, starts = _tokens(texts[part], hashes)
-                n = part.stop - part.start
-                yield from _sums(model, tokens, starts, model.scores(tokens, _histories(tokens, starts)), *(c.slice(part.start, n) for c in (rows, ids, held)))
+        for now, batch, part in _sliced(batches, rule):
+            tokens, starts = _tokens(numbers(batch, "text")[part])
+            for kind, keys in enumerate((tokens, _pair_keys(_histories(tokens, starts), tokens, deal.pair_bits))):
+                yield _keyed([(now, p, kind, raw, None) for p, _, raw in deal.pieces(np.unique(keys), kind)])
 
     return run
 
 
-def _sums(model: Model, tokens: np.ndarray, starts: np.ndarray, scores: np.ndarray, rows: pa.Array, ids: pa.Array, held: pa.Array) -> Iterator[pa.RecordBatch]:
-    sums = np.add.reduceat(scores, starts[:-1])
-    place = np.minimum(np.searchsorted(model.common, tokens), max(0, len(model.common) - 1))
-    known = model.common[place] == tokens if len(model.common) else np.zeros(len(tokens), bool)
-    base = np.where(known, model.base(model.common_counts[place]) if len(model.common) else 0.0, 0.0)
-    row = rows.to_numpy()
-    n = len(row)
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(row), as_long(mix64(row.astype(np.uint64) + np.uint64(5))), pa.nulls(n, pa.int64()), pa.array(np.diff(starts)),
-            pa.array(np.add.reduceat(known.astype(np.int64), starts[:-1])), pa.array(np.add.reduceat(base, starts[:-1])), pa.array(sums), ids, held,
-        ],
-        _SCORED,
-    )
-    rare = np.flatnonzero(~known)
-    if len(rare):
-        doc = np.repeat(np.arange(n), np.diff(starts))[rare]
-        order = np.lexsort((tokens[rare], doc))
-        doc, key = doc[order], tokens[rare][order]
-        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))))
-        m, none = len(new), lambda kind: pa.nulls(len(new), kind)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(row[doc[new]]), as_long(key[new]), pa.array(np.diff(np.append(new, len(key)))), *(none(t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), ids.type, pa.bool_()))],
-            _SCORED,
-        )
-
-
-_SLICED = ["slice", "part", "row", "doc_id", "held_out", "text", "keys"]
-
-
-def _ask(parts: int):
-    """Texts with the number of their slice, and for each slice and part of the filter a row with the keys to look up."""
+def _sliced(batches: Iterator[pa.RecordBatch], rule: LmRule) -> Iterator[tuple[int, pa.RecordBatch, slice]]:
+    """Slices of a task's texts with their numbers, which are the same each time the task runs."""
+    now = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for part in byte_slices(numbers(batch, "text"), rule.slice_bytes):
+            yield now, batch, part
+            now += 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        now, hashes = TaskContext.get().partitionId() << 32, WordHashes()
-        for batch in batches:
-            texts = rows_as_bytes(batch, "text")
-            for part in _slices(texts):
-                n = part.stop - part.start
-                columns = [numbers(batch, c).slice(part.start, n) for c in ("row", "doc_id", "held_out", "text")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, now)), pa.array(np.full(n, -1, np.int32)), *columns, pa.nulls(n, pa.binary())], _SLICED)
-                tokens, starts = _tokens(texts[part], hashes)
-                keys, order = _asked(tokens, _histories(tokens, starts)).keys(parts)
-                keys = keys[order]
-                at = Filter.part(keys, parts)
-                cuts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
-                m, sent = len(cuts) - 1, pa.array([keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, now)), pa.array(at[cuts[:-1]].astype(np.int32)), *(pa.nulls(m, c.type) for c in columns), sent], _SLICED)
-                now += 1
+def _texts(rule: LmRule):
+    """The texts with their slice, and columns for the answers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, batch, part in _sliced(batches, rule):
+            n = part.stop - part.start
+            own = [numbers(batch, c)[part] for c in ("row", "doc_id", "held_out", "text")]
+            less = [pa.array(np.full(n, v, np.int32)) for v in (-1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, now)), *less, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *own], [*_KEYED, "row", "doc_id", "held_out", "text"])
 
     return run
 
 
-def _look_up(rule: LmRule, size: int, top: int):
-    """The levels, a byte each, of the keys sent to a part; rows (part, slice, keys), the part's bits first, without slice."""
+def _look_up(rule: LmRule, deal: Deal):
+    """Levels of the keys sent to a part, and exact counts of words; rows sorted by part, the part's own first, without slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, now, words, counts = None, None, np.empty(0, np.uint64), np.empty(0, np.uint64)
         for batch in batches:
-            for part, place, sent in zip(*(numbers(batch, c).to_pylist() for c in ("part", "slice", "keys"))):
+            columns = (*_KEYED[:4], "size", "top", "bits", "words", "counts")
+            for place, part, kind, raw, size, top, bits, own, n in zip(*(numbers(batch, c).to_pylist() for c in columns)):
                 if place is None:
-                    held, now = Filter(np.frombuffer(sent, np.uint8), size, rule, 1, top), part
+                    held, now = Filter(np.frombuffer(bits, np.uint8), size, rule, top), part
+                    words, counts = deal.keys(own, part, 0), _unpack(n)
                     continue
-                keys = np.frombuffer(sent, np.uint64)
-                level = held.levels(keys) if held is not None and now == part else np.zeros(len(keys), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([part], pa.int32()), pa.array([level.astype(np.uint8).tobytes()], pa.binary())], ["slice", "part", "keys"])
+                keys = deal.keys(raw, part, kind)
+                known = held is not None and now == part
+                level = held.levels(mix64(keys + (_WORD, _PAIR)[kind])) if known else np.zeros(len(keys), np.int64)
+                exact = None
+                if kind == 0:
+                    at = np.minimum(np.searchsorted(words, keys), max(0, len(words) - 1)) if known and len(words) else None
+                    exact = _pack(np.where(words[at] == keys, counts[at], 0) if at is not None else np.zeros(len(keys), np.uint64))
+                yield _keyed([(place, part, kind, _pack(level.astype(np.uint64)), exact)])
 
     return run
 
 
-def _score_slices(sent, parts: int):
-    """As ``_score``, of slices with the levels of their keys, sorted by slice and part."""
+def log_probabilities(tokens: np.ndarray, before: np.ndarray, levels: tuple[np.ndarray, np.ndarray], model: Model) -> np.ndarray:
+    """log10 of each token's probability after its history, from the levels of the distinct words and pairs in ascending order.
+
+    A pair's count is rounded down and its history's up, so that the probabilities of all tokens never sum above 1.
+    """
+    rule = model.rule
+    words, of_token = np.unique(tokens, return_inverse=True)
+    at = np.minimum(np.searchsorted(words, before), len(words) - 1)
+    level = levels[0].astype(np.float64)
+    alone = (np.where(level > 0, rule.word_base ** (level - 1), 0.0) + 0.1) / (model.total + 0.1 * (model.distinct + 1))
+    known = words[at] == before
+    seen = np.where(before == _START, float(model.texts), np.where(known & (level[at] > 0), rule.word_base ** level[at], 0.0))
+    _, of_pair = np.unique(_pair_keys(before, tokens, model.deal.pair_bits), return_inverse=True)
+    pair = levels[1][of_pair].astype(np.float64)
+    pair = np.where((pair > 0) & (seen > 0), rule.pair_base ** (pair - 1), 0.0)
+    return np.log10(np.minimum(1.0, (pair + rule.strength * alone[of_token]) / (seen + rule.strength)))
+
+
+def _score(sent):
+    """The sums of each text, from slices of texts with the answers to their keys, sorted by slice, part and kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
-        hashes = WordHashes()
         for group in sorted_groups(batches, ["slice"]):
             group = group.combine_chunks().to_batches()[0]
             n = int((numbers(group, "part").to_numpy() < 0).sum())
-            texts = group.slice(0, n)
-            tokens, starts = _tokens(rows_as_bytes(texts, "text"), hashes)
-            asked = _asked(tokens, _histories(tokens, starts))
-            keys, order = asked.keys(parts)
-            levels = np.empty(len(keys), np.int64)
-            levels[order] = np.frombuffer(b"".join(numbers(group.slice(n), "keys").to_pylist()), np.uint8)
-            level, left, found = np.split(levels, [len(asked.words), 2 * len(asked.words)])
-            yield from _sums(model, tokens, starts, model.mixed(asked, level, left, found), *(numbers(texts, c) for c in ("row", "doc_id", "held_out")))
+            texts, answers = group.slice(0, n), group.slice(n)
+            kind = numbers(answers, "kind").to_numpy()
+            levels, raw, exact = [], numbers(answers, "keys").to_pylist(), numbers(answers, "counts").to_pylist()
+            for k in (0, 1):
+                levels.append(np.concatenate([np.empty(0, np.uint64), *(_unpack(raw[i]) for i in np.flatnonzero(kind == k))]).astype(np.int64))
+            counts = np.concatenate([np.empty(0, np.uint64), *(_unpack(exact[i]) for i in np.flatnonzero(kind == 0))]).astype(np.float64)
+            tokens, starts = _tokens(numbers(texts, "text"))
+            if not n or len(np.unique(tokens)) != len(levels[0]):
+                raise ValueError("a slice of texts isn't the one whose keys were looked up: the table gave other rows when it was read again")
+            scores = log_probabilities(tokens, _histories(tokens, starts), tuple(levels), model)
+            count = counts[np.unique(tokens, return_inverse=True)[1]]
+            base = np.log10((count + 0.1) / (model.total + 0.1 * (model.distinct + 1)))
+            sums = [np.add.reduceat(x, starts[:-1]) for x in ((count > 0).astype(np.int64), base, scores)]
+            yield pa.RecordBatch.from_arrays(
+                [numbers(texts, "doc_id"), numbers(texts, "held_out"), pa.array(np.diff(starts)), pa.array(sums[0]), pa.array(np.full(n, model.total)), pa.array(sums[1]), pa.array(sums[2])],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return run
 
 
-def _scored_by_parts(numbered: DataFrame, model: Model, kind: str, shape: str, scratch: Scratch) -> DataFrame:
-    """The scores where no worker can hold the filter: a slice's keys go to the parts, and their levels back to it."""
-    spark, held = numbered.sparkSession, model.filter
-    asked = scratch.save(numbered.mapInArrow(_ask(held.parts), f"slice long, part int, row long, doc_id {kind}, held_out boolean, text string, keys binary"), "asked")
-    sent = asked.where("part >= 0").select("part", "slice", "keys").unionByName(held.table.select("part", F.lit(None).cast("long").alias("slice"), F.col("bits").alias("keys")))
-    sent = sent.repartition("part").sortWithinPartitions("part", F.asc_nulls_first("slice"))
-    levels = sent.mapInArrow(_look_up(model.rule, held.size, held.top), "slice long, part int, keys binary")
-    rows = asked.where("part < 0").unionByName(levels, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "part", "row")
-    # the table of parts stays here
-    return rows.mapInArrow(_score_slices(spark.sparkContext.broadcast(replace(model, filter=None)), held.parts), shape)
-
-
-def fit(docs: DataFrame, rule: LmRule, scratch: Scratch) -> tuple[Model, DataFrame]:
-    """The model of all given texts, and the table of word counts (``key``, ``n``)."""
-    spark = docs.sparkSession
-    counts = docs.select("text").mapInArrow(_count, "key long, history long, n long").groupBy("key", F.col("history").isNull().alias("word")).agg(
-        F.max("history").alias("history"), F.sum("n").alias("n")
-    )
-    counts = scratch.save(counts.where(F.col("word") | (F.col("n") >= rule.least)), "counts")
-    words = counts.where("word").select("key", "n")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    level = lambda n, base: (F.floor(F.log(n) / float(np.log(base)) + 1e-9) + 1).cast("int")
-    pairs = counts.where("not word")
-    held = pairs.withColumn("down", F.pow(F.lit(rule.pair_base), level(F.col("n") / float(rule.least), rule.pair_base) - 1) * rule.least - rule.discount)
-    held = held.groupBy("history").agg(F.sum("down").alias("down"))
-    # what a history's pairs leave: its count, rounded up as in scoring, less what they get
-    texts = docs.count()
-    starts = spark.createDataFrame([(int(np.int64(_START.view(np.int64))), texts)], "key long, n long")
-    every = words.unionByName(starts.where("n > 0"))
-    left = held.join(every, held["history"] == every["key"]).select("key", F.greatest(F.lit(1.0), F.col("n") - F.col("down")).alias("n"))
-    entries = (
-        every.select("key", level(F.col("n"), rule.word_base).alias("levels"), F.lit(0).alias("kind"))
-        .unionByName(left.select("key", level(F.col("n"), rule.word_base).alias("levels"), F.lit(1).alias("kind")))
-        .unionByName(pairs.select("key", level(F.col("n") / float(rule.least), rule.pair_base).alias("levels"), F.lit(2).alias("kind")))
-    )
-    entries = scratch.save(entries.mapInArrow(_entries, "slot int, key long, levels int"), "entries")
-    number, top = entries.agg(F.coalesce(F.sum("levels"), F.lit(0)), F.coalesce(F.max("levels"), F.lit(0))).first()
-    parts = max(rule.parts, -(-rule.parts * rule.bits * number // rule.most_bits))
-    size = max(64, rule.bits * number // parts // 8 * 8)
-    entries = entries.select(F.shiftright(F.col("slot").cast("long") * parts, Filter.SLOT).cast("int").alias("part"), "key", "levels")
-    built = entries.repartition("part").sortWithinPartitions("part").mapInArrow(_build(rule, size), "part int, bits binary")
-    if parts > rule.parts:
-        held = Parts(scratch.save(built, "filter"), size, parts, top)
-    else:
-        bits = np.zeros(parts * size // 8, np.uint8)
-        for r in built.collect():
-            bits[r["part"] * size // 8 : (r["part"] + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
-        held = Filter(bits, size, rule, parts, top)
-    scratch.drop("entries")
-    common = words.orderBy(F.desc("n"), "key").limit(rule.common).toPandas()
-    key = common["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    return Model(rule, held, total, distinct, key[order], common["n"].to_numpy(np.int64)[order]), words
-
-
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, kind = numbers(batch, "key").to_numpy().view(np.uint64), numbers(batch, "kind").to_numpy()
-        keys = np.where(kind == 2, keys, mix64(keys + np.where(kind == 0, _WORD, _LEFT)))
-        yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(64 - Filter.SLOT)).astype(np.int32)), as_long(keys), numbers(batch, "levels")], ["slot", "key", "levels"])
+def fit(docs: DataFrame, rule: LmRule, scratch: Scratch) -> Model:
+    """The model of all texts in ``docs``, which needs ``text``."""
+    size, texts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    # at most one token in two bytes; of a thousand pairs one shares its key with another
+    deal = Deal(max(1, -(-size // 6 // rule.part_keys)), min(60, max(32, (size + 2 * texts).bit_length() + 9)))
+    counts = docs.select("text").mapInArrow(_count(rule, deal), "slice long, part int, kind int, keys binary, counts binary").drop("slice")
+    built = counts.repartition("part").sortWithinPartitions("part")
+    table = scratch.save(built.mapInArrow(_build(rule, deal), _PART), "filter")
+    total, distinct = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    return Model(rule, deal, table, total, distinct, texts)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Scores of the texts in ``docs``, which needs ``doc_id``, ``text`` and ``held_out``."""
+    kind, rule, deal = docs.schema["doc_id"].dataType.simpleString(), model.rule, model.deal
+    asked = docs.select("text").mapInArrow(_ask(rule, deal), "slice long, part int, kind int, keys binary, counts binary").drop("counts")
+    sent = asked.unionByName(model.table.drop("tokens", "distinct"), allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.asc_nulls_first("slice"))
+    answers = sent.mapInArrow(_look_up(rule, deal), "slice long, part int, kind int, keys binary, counts binary")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    texts = texts.mapInArrow(_texts(rule), f"slice long, part int, kind int, keys binary, counts binary, row long, doc_id {kind}, held_out boolean, text string")
+    met = texts.unionByName(answers, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "part", "kind", "row")
+    sums = Model(rule, deal, None, model.total, model.distinct, model.texts)  # the table stays here
+    shape = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return met.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(sums)), shape)
 
 
 def lm_score(docs: DataFrame, rule: LmRule = LmRule()) -> DataFrame:
@@ -434,33 +360,18 @@ def lm_score(docs: DataFrame, rule: LmRule = LmRule()) -> DataFrame:
     ``docs`` needs ``doc_id`` and ``text``; other columns aren't read. Returns one row per input row:
     ``doc_id``, ``held_out`` (crc32 of the id as text is 0 modulo 10; not learnt from), ``n_tokens`` (words and
     one end), ``n_known`` (those seen in training), ``train_tokens``, ``base_score`` (exact, by words alone) and
-    ``score`` (the model's: discounted pair counts, backed off to words, all read from the filter).
+    ``score`` (the model's: a pair's count after its history, mixed with the word's own probability, all read from the
+    filter).
 
     Null and empty texts have the end only. A null doc_id is learnt from. Repeated rows count each, in training
     as well. An empty table, or one without training rows, gives scores without counts, or no rows.
 
-    Counts of words and pairs cover all training texts and are summed before the shuffle. The filter grows
-    with its entries; where it is too large to be sent, the distinct keys of each slice of texts go to its parts
-    and their levels back. The commonest words' exact counts, a fixed
-    number, go to the workers; the other words of each text are joined with the table of counts.
+    Counts of words and pairs cover all training texts and are summed in each slice of texts before the shuffle. The
+    filter grows with its entries and is kept as a table of parts of bounded size. The distinct keys of each slice of
+    texts go to the parts, and levels, with the words' exact counts for the base, come back to the slice. ``docs`` is
+    read several times and must give the same rows in the same order each time, as a table of files does.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     docs = pick(docs, "doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    model, words = fit(docs.where(~held_out), rule, scratch)
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "text", "doc_id", held_out.alias("held_out"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"row long, key long, times long, n_tokens long, n_known long, base double, score double, doc_id {kind}, held_out boolean"
-    if isinstance(model.filter, Parts):
-        scored = _scored_by_parts(numbered, model, kind, shape, scratch)
-    else:
-        scored = numbered.mapInArrow(_score(spark.sparkContext.broadcast(model)), shape)
-    scored = scratch.save(scored, "scored")
-    counted = scored.join(words, "key", "left")
-    scale = model.total + 0.1 * (model.distinct + 1)
-    base = F.when(F.col("times").isNull(), F.col("base")).otherwise(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(scale)))
-    known = F.when(F.col("times").isNull(), F.col("n_known")).otherwise(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0))
-    sums = counted.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base_score"), F.max("score").alias("score")
-    )
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    model = fit(docs.where(~held_out), rule, Scratch(docs.sparkSession, "lm"))
+    return score(docs.withColumn("held_out", held_out), model)

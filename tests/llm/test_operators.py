@@ -302,64 +302,124 @@ def test_hilbert_and_nearest(spark):
     assert [(r.query_id, r.rank) for r in few] == [(0, k) for k in range(1, 5)] and nearest(df.where("false")).count() == 0
 
 
-def test_lm_score(spark, docs, none):
-    rows = [(r.doc_id, r[1]) for r in docs.collect()]
-    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
+def held(d):
+    return d is not None and zlib.crc32(str(d).encode()) % 10 == 0
+
+
+def brute_lm(rows, rule):
+    """Base and model scores of (doc_id, text) rows by plain counting; counts are rounded as the rule says."""
     tokens = [lower(t).encode().split() + [None] for _, t in rows]
-    counts = {}
+    counts, pairs, texts = {}, {}, 0
     for (d, _), ts in zip(rows, tokens):
-        for t in ts if not held(d) else ():
-            counts[t] = counts.get(t, 0) + 1
+        if not held(d):
+            texts += 1
+            for a, b in zip(["start", *ts], ts):
+                counts[b] = counts.get(b, 0) + 1
+                pairs[a, b] = pairs.get((a, b), 0) + 1
     total, distinct = sum(counts.values()), len(counts)
-    for rule in (LmRule(), LmRule(common=3)):
-        got = lm_score(docs, rule).collect()
-        assert len(got) == len(rows)
-        have = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got)
-        want = []
-        for (d, _), ts in zip(rows, tokens):
-            base = sum(np.log10((counts.get(t, 0) + 0.1) / (total + 0.1 * (distinct + 1))) for t in ts)
-            want.append((str(d), held(d), len(ts), sum(t in counts for t in ts), total, round(float(base), 6)))
-        assert have == sorted(want)
-        assert all(np.isfinite(r.score) and r.score < 0 for r in got)
+    level = lambda n, base: int(np.floor(np.log(n) / np.log(base) + 1e-9)) + 1
+    down = lambda n, base: base ** (level(n, base) - 1) if n else 0.0
+    out = []
+    for (d, _), ts in zip(rows, tokens):
+        base = sum(np.log10((counts.get(t, 0) + 0.1) / (total + 0.1 * (distinct + 1))) for t in ts)
+        score = 0.0
+        for a, b in zip(["start", *ts], ts):
+            alone = (down(counts.get(b, 0), rule.word_base) + 0.1) / (total + 0.1 * (distinct + 1))
+            seen = texts if a == "start" else rule.word_base ** level(counts[a], rule.word_base) if a in counts else 0.0
+            score += np.log10(min(1.0, (down(pairs.get((a, b), 0), rule.pair_base) * (seen > 0) + rule.strength * alone) / (seen + rule.strength)))
+        out.append((str(d), held(d), len(ts), sum(t in counts for t in ts), total, round(float(base), 6), round(float(score), 6)))
+    return sorted(out)
+
+
+# one part and slice, or many of both
+@pytest.mark.parametrize("rule", [LmRule(bits=64), LmRule(bits=64, part_keys=40, slice_bytes=500)])
+def test_lm_score(spark, docs, none, rule):
+    long = spark.createDataFrame([(2000, " ".join(f"{w}{k % 700}" for k in range(20_000) for w in WORDS[:2])), (2001, "\u00c9t\u00e9 \U0001f600 W1"), (2002, "x" * 70_000)], "doc_id long, text string")
+    for table in (docs, long):
+        rows = [(r[0], r[1]) for r in table.collect()]
+        got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_score(table, rule).collect())
+        want = brute_lm(rows, rule)
+        assert [g[:5] for g in got] == [w[:5] for w in want]
+        assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=1e-4)
     assert lm_score(none).count() == 0
 
 
-def test_lm_pairs_seen_once_count(spark):
-    from modweave.llm.common import Scratch, WordHashes
-    from modweave.llm.lm_score import _histories, _pair_keys, _tokens, fit
+def test_lm_score_without_training_rows(spark):
+    alone = [d for d in range(200) if held(d)]
+    got = lm_score(spark.createDataFrame([(d, "w1 w2") for d in alone], "doc_id long, text string")).collect()
+    assert len(got) == len(alone) and all((r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and np.isfinite(r.score) for r in got)
 
+
+def test_lm_chance_hits_are_few(spark, docs):
+    """With the registered bits an entry, scores differ from exact ones by little."""
+    rows = [(r.doc_id, r[1]) for r in docs.collect()]
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm_score(docs).collect())
+    want = sorted((w[0], w[2], w[6]) for w in brute_lm(rows, LmRule()))
+    off = np.array([abs(g[2] - w[2]) / w[1] for g, w in zip(got, want)])
+    assert np.mean(off) < 0.03
+
+
+def test_lm_pairs_seen_once_count(spark):
     texts = [" ".join(f"v{k * 50 + j}" for j in range(50)) for k in range(20)]
-    model, _ = fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), LmRule(), Scratch(spark, "t"))
-    tokens, starts = _tokens([t.encode() for t in texts], WordHashes())
-    keys = _pair_keys(_histories(tokens, starts), tokens)
-    assert (model.filter.levels(keys) >= 1).all()
-    mean = lambda t: model.scores(t, _histories(t, np.array([0, len(t)]))).mean()
-    assert mean(tokens[:51]) > mean(np.append(tokens[:50][::-1], tokens[50])) + 1
-
-
-def test_lm_filter_grows_beyond_what_is_sent(spark, docs):
-    from modweave.llm.common import Scratch, pick
-    from modweave.llm.lm_score import Filter, Parts, fit
-
-    small = LmRule(most_bits=1 << 12, parts=4)
-    model, _ = fit(pick(docs, "doc_id", "text"), small, Scratch(spark, "t"))
-    assert isinstance(model.filter, Parts) and model.filter.parts > 4
-    share = [np.unpackbits(np.frombuffer(r.bits, np.uint8)).mean() for r in model.filter.table.collect()]
-    assert len(share) == model.filter.parts and np.mean(share) < 0.35
-    full = Filter(np.full(64, 255, np.uint8), 128, LmRule(), 4, 7)
-    assert full.levels(np.arange(5, dtype=np.uint64) << np.uint64(61)).tolist() == [7] * 5
-    # chance hits aside, as with a filter that every worker holds
-    shown = lambda rule: {(str(r.doc_id), r.n_tokens): r.score for r in lm_score(docs, rule).collect()}
-    a, b = shown(LmRule(bits=64)), shown(LmRule(bits=64, most_bits=1 << 12, parts=4))
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 * abs(a[k]) + 1e-9 for k in a)
-
-
-def test_lm_probabilities_sum_below_one(spark, docs):
-    from modweave.llm.common import Scratch, WordHashes
-    from modweave.llm.lm_score import _END, _START, fit
-
-    model, _ = fit(spark.createDataFrame([(r.doc_id, r[1]) for r in docs.collect()], "doc_id long, text string"), LmRule(), Scratch(spark, "t"))
-    vocabulary = np.append(WordHashes().of([w.encode() for w in [*WORDS, "edit", "one", "two", "three", "four"]]), _END)
-    for before in (*vocabulary[:5], _START):
-        p = 10 ** model.scores(vocabulary, np.full(len(vocabulary), before))
-        assert p.sum() <= 1.05  # chance hits of the filter add a little
+    rows = list(enumerate(texts)) + [(20 + k, " ".join(reversed(t.split()))) for k, t in enumerate(texts)]
+    held_out = [r for r in rows if r[0] >= 20 and held(r[0])]
+    df = spark.createDataFrame([r for r in rows if r[0] < 20] + held_out, "doc_id long, text string")
+    got = {r.doc_id: r.score / r.n_tokens for r in lm_score(df).collect()}
+    # the same words in the other order were never seen as pairs
+    assert held_out and all(got[d] + 1 < got[d - 20] for d, _ in held_out if not held(d - 20))
+
+
+def test_lm_filter_and_packing():
+    from modweave.llm.lm_score import Deal, Filter, _pack, _unpack
+
+    full = Filter(np.full(64, 255, np.uint8), 512, LmRule(), 7)
+    assert full.levels(np.arange(5, dtype=np.uint64)).tolist() == [7] * 5
+    rng = np.random.default_rng(3)
+    keys, levels = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)), None
+    levels = rng.integers(1, 9, len(keys))
+    built = Filter.build(keys, levels, LmRule())
+    assert (built.levels(keys) >= levels).all() and (built.levels(keys) > levels).mean() < 0.02
+    assert (built.levels(rng.integers(0, 1 << 63, 20_000).astype(np.uint64) | np.uint64(1 << 63)) > 0).mean() < 0.02
+    for deal, kind, top in ((Deal(7, 33), 1, 33), (Deal(1, 33), 0, 63), (Deal(1000, 60), 1, 60)):
+        keys = np.unique(rng.integers(0, 1 << top, 5000).astype(np.uint64))
+        back = [deal.keys(raw, part, kind) for part, _, raw in deal.pieces(keys, kind)]
+        assert np.array_equal(np.concatenate(back), keys)
+    big = np.array([0, 255, 256, (1 << 64) - 1], np.uint64)
+    assert np.array_equal(_unpack(_pack(big)), big) and len(_unpack(_pack(big[:0]))) == 0
+
+
+def test_lm_probabilities_sum_below_one():
+    from modweave.llm.lm_score import _END, _START, Deal, Model, _pair_keys, log_probabilities
+
+    rng, rule = np.random.default_rng(5), LmRule()
+    vocabulary = np.append(rng.integers(1, 1 << 60, 40).astype(np.uint64), _END)
+    stream = vocabulary[rng.zipf(1.3, 5000) % 41]
+    deal = Deal(1, 40)
+    words, n = np.unique(stream, return_counts=True)
+    for before in (*words[:5], _START):
+        follow = stream[1:][stream[:-1] == before] if before != _START else stream[:90]
+        keys, m = np.unique(_pair_keys(np.full(len(follow), before), follow, 40), return_counts=True)
+        held = dict(zip(keys.tolist(), rule.level(m, rule.pair_base).tolist()))
+        asked = np.unique(_pair_keys(np.full(len(words), before), words, 40))
+        model = Model(rule, deal, None, 5000, len(words), 90)
+        p = 10 ** log_probabilities(words, np.full(len(words), before), (rule.level(n, rule.word_base), np.array([held.get(k, 0) for k in asked.tolist()])), model)
+        assert 0.3 < p.sum() <= 1.0
+
+
+def test_words_and_hashes():
+    import pyarrow as pa
+
+    from modweave.llm.words import byte_slices, find_words
+
+    rng = random.Random(2)
+    texts = [None, "", " \t\n ", *("".join(rng.choice(["a", "B", "z1", "\u00e9", "\u3000", " ", "\n", "\x0b", "\x1c", "long" * 9, "\x00"]) for _ in range(rng.randint(0, 60))) for _ in range(300))]
+    column = pa.array(texts)
+    for rows in (slice(0, None), slice(5, 40), slice(7, 7), slice(1, 2)):
+        found, plain = find_words(column[rows]), [(t or "").encode().split() for t in texts[rows]]
+        flat = [w for ws in plain for w in ws]
+        assert found.counts().tolist() == [len(ws) for ws in plain]
+        assert [found.data[a:b] for a, b in zip(found.start, found.end)] == flat
+        for hashes, key in ((found.hashes(), lambda w: w), (found.hashes(lower=True), lambda w: w.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))), (found.hashes(most=4), lambda w: w[:4])):
+            seen = {}
+            assert all(seen.setdefault(key(w), h) == h for w, h in zip(flat, hashes.tolist())) and len(set(seen.values())) == len(seen)
+    assert [i for s in byte_slices(column, 100) for i in range(s.start, s.stop)] == list(range(len(texts)))
