@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -116,7 +117,24 @@ def test_license_scan(spark, none):
     assert license_scan(none).count() == 0
 
 
-def test_substring_dedup(spark, none):
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_substring_dedup(spark, none, hot, monkeypatch):
+    from modweave.llm import substring_dedup as S
+
+    salted = S._segments
+
+    def segments(size):  # HOT is read in the workers
+        run = salted(size)
+
+        def set_and_run(batches):
+            from modweave.llm import substring_dedup as worker
+
+            worker.HOT = hot
+            yield from run(batches)
+
+        return set_and_run
+
+    monkeypatch.setattr(S, "_segments", segments)
     rng = random.Random(4)
     passage = [rng.choice(WORDS) for _ in range(70)]
     rows = []
@@ -124,9 +142,10 @@ def test_substring_dedup(spark, none):
         words = [f"{rng.choice(WORDS)}{rng.randint(0, 5)}" for _ in range(rng.randint(0, 80))]
         if k % 3 == 0:
             words = words[:20] + passage[: 40 + k] + words[20:] + (passage if k % 2 else [])
-        rows.append((k, " ".join(words)))
+        rows.append((k, "  ".join(words)))
     rows += [(30, rows[3][1]), (31, None), (32, ""), (None, rows[3][1]), (3, rows[3][1]), (33, " ".join(["same"] * 400)), (34, " ".join(["same"] * 120))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(3, "another text of that id " + " ".join(passage)), (40, " ".join(f"a{k % 977}" for k in range(30_000))), (41, "b " * 60 + " ".join(f"a{k % 977}" for k in range(5_000, 6_000)) + " c" * 60)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, TEXT string, grp int").repartition(3)
     first = {}
     for d, t in rows:
         w = (t or "").split()
@@ -136,12 +155,33 @@ def test_substring_dedup(spark, none):
     for d, t in rows:
         w = (t or "").split()
         gone = {p for i in range(len(w) - 49) if d is not None and first[tuple(w[i : i + 50])] < d for p in range(i, i + 50)}
-        want.append((str(d), len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
-    got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(df).collect()]
+        spans = [k for k in sorted(gone) if k - 1 not in gone], [k + 1 for k in sorted(gone) if k + 1 not in gone]
+        want.append((str(d), len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest(), list(zip(*spans))))
+    got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256, [tuple(x) for x in r.spans]) for r in substring_dedup(df).collect()]
     assert sorted(got) == sorted(want)
     assert substring_dedup(none).count() == 0
 
 
+def test_subtrees_share_what_neighbours_share():
+    from modweave.llm.substring_dedup import Subtrees
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 3, 300)
+    segments = [base[a : a + n] for a, n in zip(rng.integers(0, 200, 40).tolist(), rng.integers(9, 40, 40).tolist())]
+    group = rng.integers(0, 2, 40)
+    first = np.concatenate(([0], np.cumsum([len(x) for x in segments])))
+    tree = Subtrees(np.concatenate(segments), first, group, 9)
+    rest = lambda p: (group[tree.segment[p]], *tree.codes[p : tree.end[p]].tolist())
+    suffixes = [rest(p) for p in tree.suffix]
+    assert len(suffixes) == sum(len(x) - 8 for x in segments)
+    for x, y, shared in zip(suffixes, suffixes[1:], tree.shared[1:]):
+        same = next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+        assert shared == min(max(0, same - 1), 23)
+    heads = [x[:10] for x in suffixes]
+    nodes = tree.deep_nodes()
+    assert len(nodes) == len(set(heads)) and all(heads[k] != heads[k - 1] for k in nodes[1:])
+
+
 @pytest.mark.parametrize("block", [8_000_000, 300])
 def test_decontaminate(spark, docs, none, block):
     items = [(k, r[1]) for k, r in enumerate(corpus()[:6])] + [(90, "one, TWO!"), (91, None), (92, "..."), (None, "w1 w2"), (90, "w5 w6 w7")]
@@ -192,16 +232,31 @@ def test_token_store_composes_before_lowering(spark):
         at += len(ids)
 
 
+def test_token_store_of_another_kind_of_model(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, text = Tokenizer.from_file(path), "Two  words, and\n more"
+    rows = token_store(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), path, 1).orderBy("start").collect()
+    ids = model.encode(text, add_special_tokens=False).ids + [1]
+    assert [(r.start, r.n_tokens) for r in rows] == [(0, len(ids)), (len(ids), 1)] and rows[0].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_words_in_any_script_and_case():
-    from modweave.llm.token_store import WordIds, id_kind
+    from modweave.llm.token_store import WordIds, by_words, id_kind
+
+    assert by_words(public_tokenizers.path("word_bpe_49k.json")) and not by_words(public_tokenizers.path("byte_bpe_50k.json"))
 
     path = public_tokenizers.path("word_bpe_49k.json")
     model, rng = Tokenizer.from_file(path), random.Random(11)
-    letters = [*"abJHTWYjhtwyXK.,;:!?|*$%&#<>-'1", "\u030c", "\u0331", "\u0308", "\u030a", "\u0338", "\u00c9", "\u03a3", "\u0130", "\u212a", "\u65e5"]
+    letters = [*"abJHTWYjhtwyXK.,;:!?|*$%&#<>-'1", "\u030c", "\u0331", "\u0308", "\u030a", "\u0338", "\u00c9", "\u03a3", "\u0130", "\u212a", "\u65e5", "\u00df", "\u00e9", "\u00f7", "\u00aa", "<|endoftext|>"]
     words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(30_000)]
     kind = id_kind(path, 1)
-    got = WordIds(kind).texts([w.encode() for w in words], model)
-    assert all(np.frombuffer(g, kind).tolist() == e.ids for g, e in zip(got, model.encode_batch_fast(words, add_special_tokens=False)))
+    known = WordIds(kind)
+    for part in (words[:20_000], words[10_000:]):  # the second knows some of the words
+        got, lengths = known.texts(pa.array(part), model)
+        want = [e.ids for e in model.encode_batch_fast(part, add_special_tokens=False)]
+        assert lengths.tolist() == [len(x) for x in want] and got.tolist() == [i for x in want for i in x]
+    known.LIMIT = 10
+    assert known.texts(pa.array([None, "", " a b ", "a"]), model)[1].tolist() == [0, 0, 2, 1]
 
 
 def test_perfect_hash():
@@ -407,8 +462,6 @@ def test_lm_probabilities_sum_below_one():
 
 
 def test_words_and_hashes():
-    import pyarrow as pa
-
     from modweave.llm.words import byte_slices, find_words
 
     rng = random.Random(2)
