@@ -33,7 +33,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"))
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
