@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,60 +35,67 @@ def split_mm(mm: str) -> Iterator[tuple[str, str, str, bool, list[int]]]:
         yield match[1], match[2], match[3], match[4] != "?" , deltas
 
 
-def canonical_positions(seq: str, base: str, strand: str) -> list[int]:
+def canonical_positions(seq: str, base: str, strand: str) -> np.ndarray:
     """Positions of a base in the stored sequence, last first on the ``-`` strand."""
-    upper = seq.upper()
-    found = [i for i, c in enumerate(upper) if c == base.upper()]
+    codes = np.frombuffer(seq.upper().encode("utf-32-le"), np.uint32)
+    found = np.flatnonzero(codes == ord(base.upper()))
     return found[::-1] if strand == "-" else found
 
 
-def decode_calls(seq: str, mm: str | None, ml: Iterable[int] | None) -> list[tuple]:
-    """Calls of one read, in the tag's order; unlisted canonical bases of implicit segments come after its own.
+def decode_arrays(seq: str, mm: str | None, ml: Iterable[int] | None) -> list[tuple]:
+    """The runs of calls of one read, in the tag's order: positions, probabilities (None where there are none), base, label, code, strand.
 
-    A segment takes one probability for each delta, however many codes it names. Any mismatch is an error.
+    Unlisted canonical bases of implicit segments are a run after the segment's own. A segment takes one probability for
+    each delta, however many codes it names. Any mismatch is an error.
     """
     if not mm:
         return []
-    levels = None if ml is None else [int(x) for x in ml]
-    calls: list[tuple] = []
+    levels = None if ml is None else np.asarray(list(ml), np.float32) / np.float32(255)
+    runs: list[tuple] = []
     used = 0
     for base, strand, code, implicit, deltas in split_mm(mm):
-        places, label = canonical_positions(seq, base, strand), code_label(base, code)
-        cursor, own = -1, set()
-        for d in deltas:
-            cursor += d + 1
-            if cursor >= len(places):
-                raise ValueError(f"canonical index {cursor} lies outside the read's {len(places)} {base}")
-            if levels is not None and used >= len(levels):
-                raise ValueError("fewer probabilities than modifications")
-            p = None if levels is None else float(np.float32(levels[used]) / np.float32(255))
-            used += 1
-            own.add(cursor)
-            calls.append((len(calls), places[cursor], p, True, base, label, code, strand))
+        places, told = canonical_positions(seq, base, strand), (base, code_label(base, code), code, strand)
+        at = np.cumsum(np.array(deltas, np.int64) + 1) - 1
+        if len(at) and at[-1] >= len(places):
+            raise ValueError(f"canonical index {at[at >= len(places)][0]} lies outside the read's {len(places)} {base}")
+        if levels is not None and used + len(at) > len(levels):
+            raise ValueError("fewer probabilities than modifications")
+        runs.append((places[at], None if levels is None else levels[used : used + len(at)], True, *told))
+        used += len(at)
         if implicit:
-            for k, place in enumerate(places):
-                if k not in own:
-                    calls.append((len(calls), place, None, False, base, label, code, strand))
+            runs.append((np.delete(places, at), None, False, *told))
     if levels is not None and used != len(levels):
         raise ValueError("more probabilities than modifications")
+    return runs
+
+
+def decode_calls(seq: str, mm: str | None, ml: Iterable[int] | None) -> list[tuple]:
+    """Calls of one read: ordinal, position, probability, whether methylated, base, label, code, strand."""
+    calls: list[tuple] = []
+    for positions, chances, methylated, *told in decode_arrays(seq, mm, ml):
+        chances = [None] * len(positions) if chances is None else chances.astype(float).tolist()
+        calls += [(len(calls) + k, p, c, methylated, *told) for k, (p, c) in enumerate(zip(positions.tolist(), chances))]
     return calls
 
 
-def lift_over(length: int, start: int | None, cigar: str | None) -> list[int | None]:
-    """1-based reference position of each base; null for inserted, clipped and unaligned ones."""
+def lift_array(length: int, start: int | None, cigar: str | None) -> np.ndarray:
+    """1-based reference position of each base; 0 for inserted, clipped and unaligned ones."""
+    out = np.zeros(length, np.int64)
     if start is None or not cigar or cigar == "*":
-        return [None] * length
-    out: list[int | None] = []
-    place = start
+        return out
+    at, place = 0, start
     for n, op in ((int(n), op) for n, op in _CIGAR.findall(cigar)):
         if op in "M=X":
-            out += range(place, place + n)
-            place += n
-        elif op in "IS":
-            out += [None] * n
-        elif op in "DN":
-            place += n
-    return (out + [None] * length)[:length]
+            part = out[at : at + n]
+            part[:] = np.arange(place, place + len(part))
+        at += n if op in "M=XIS" else 0
+        place += n if op in "M=XDN" else 0
+    return out
+
+
+def lift_over(length: int, start: int | None, cigar: str | None) -> list[int | None]:
+    """As ``lift_array``, null in the place of 0."""
+    return [p or None for p in lift_array(length, start, cigar).tolist()]
 
 
 def phred(p: float | None) -> int | None:
@@ -108,29 +115,61 @@ def phred_column(p: Column) -> Column:
     return F.when((p < 0) | (p > 1), F.lit(None)).when(p >= 1.0 - 1.1920929e-07, F.lit(93)).otherwise(F.least(F.lit(93), F.greatest(F.lit(0), value))).cast("int")
 
 
+_CALL_TYPE = pa.struct(
+    [("ordinal", pa.int32()), ("position", pa.int32()), ("probability", pa.float32()), ("methylated", pa.bool_()), *((c, pa.string()) for c in ("canonical_base", "label", "code", "mod_strand"))]
+)
+
+
+def _call_lists(reads: list[list[tuple]]) -> pa.Array:
+    """The runs of many reads as one Arrow array of lists of calls."""
+    runs = [run for read in reads for run in read]
+    size = np.array([len(r[0]) for r in runs], np.int64)
+    total = np.cumsum([0, *(sum(len(r[0]) for r in read) for read in reads)])
+    joined = lambda x, kind: np.concatenate([np.empty(0, kind), *x]).astype(kind)
+    chance = joined((np.zeros(len(r[0]), np.float32) if r[1] is None else r[1] for r in runs), np.float32)
+    fields = [
+        pa.array((np.arange(total[-1]) - np.repeat(total[:-1], np.diff(total))).astype(np.int32)), pa.array(joined((r[0] for r in runs), np.int32)),
+        pa.array(chance, mask=np.repeat(np.array([r[1] is None for r in runs], bool), size)), pa.array(np.repeat(np.array([r[2] for r in runs], bool), size)),
+        *(pa.array([r[k] for r in runs], pa.string()).take(pa.array(np.repeat(np.arange(len(runs)), size))) for k in range(3, 7)),
+    ]
+    return pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_CALL_TYPE)))
+
+
 def decode_column(seq: Column, mm: Column, ml: Column) -> Column:
-    """``decode_calls`` of every read as a struct of ``calls`` and ``error``."""
-    names = ("ordinal", "position", "probability", "methylated", "canonical_base", "label", "code", "mod_strand")
+    """``decode_calls`` of every read as a struct of ``calls`` and ``error``; positions and probabilities stay arrays."""
 
-    @F.pandas_udf(f"struct<calls:array<{CALL}>,error:string>")
-    def decode(seq: pd.Series, mm: pd.Series, ml: pd.Series) -> pd.DataFrame:
-        calls, errors = [], []
-        for s, m, p in zip(seq, mm, ml):
+    @F.arrow_udf(f"struct<calls:array<{CALL}>,error:string>")
+    def decode(seq: pa.Array, mm: pa.Array, ml: pa.Array) -> pa.Array:
+        found, errors = [], []
+        for s, m, p in zip(seq.to_pylist(), mm.to_pylist(), ml):
             try:
-                calls.append([dict(zip(names, c)) for c in decode_calls(s or "", m, p)])
+                found.append(decode_arrays(s or "", m, p.values.to_numpy(zero_copy_only=False) if p.is_valid else None))
                 errors.append(None)
             except ValueError as e:
-                calls.append([])
+                found.append([])
                 errors.append(str(e))
-        return pd.DataFrame({"calls": calls, "error": errors})
+        return pa.StructArray.from_arrays([_call_lists(found), pa.array(errors, pa.string())], ["calls", "error"])
 
     return decode(seq, mm, ml)
 
 
+def positions_column(seq: Column, base: str, strand: Column) -> Column:
+    """``canonical_positions`` of every read."""
+
+    @F.arrow_udf("array<bigint>")
+    def places(seq: pa.Array, strand: pa.Array) -> pa.Array:
+        found = [canonical_positions(s or "", base, t) for s, t in zip(seq.to_pylist(), strand.to_pylist())]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+
+    return places(seq, strand)
+
+
 def lift_column(length: Column, start: Column, cigar: Column) -> Column:
-    @F.pandas_udf("array<bigint>")
-    def lift(length: pd.Series, start: pd.Series, cigar: pd.Series) -> pd.Series:
-        return pd.Series([lift_over(int(n), None if pd.isna(s) else int(s), c) for n, s, c in zip(length, start, cigar)], dtype=object)
+    @F.arrow_udf("array<bigint>")
+    def lift(length: pa.Array, start: pa.Array, cigar: pa.Array) -> pa.Array:
+        found = [lift_array(n or 0, s, c) for n, s, c in zip(length.to_pylist(), start.to_pylist(), cigar.to_pylist())]
+        flat = np.concatenate([np.empty(0, np.int64), *found])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(flat, mask=flat == 0))
 
     return lift(length, start, cigar)
 

@@ -132,9 +132,10 @@ def longitudinal(states: DataFrame) -> DataFrame:
 
 def pileup(reads: DataFrame) -> DataFrame:
     """Standard bases of all aligned reads by contig and reference position, as four counts."""
-    bases = reads.where("contig is not null").select("contig", "seq", F.posexplode("ref_pos").alias("i", "position")).where("position is not null")
-    base = F.upper(F.substring("seq", F.col("i") + 1, F.lit(1)))
-    return bases.select("contig", "position", base.alias("base")).groupBy("contig", "position").agg(*(F.count_if(F.col("base") == b).alias(b) for b in BASES))
+    # the sequence is split once; taking one base at a time out of it would walk it for each
+    held = F.arrays_zip(F.split(F.upper("seq"), "").alias("base"), F.col("ref_pos").alias("position"))
+    bases = reads.where("contig is not null").select("contig", F.explode(held).alias("x")).select("contig", F.col("x.position").alias("position"), F.col("x.base").alias("base"))
+    return bases.where("position is not null").groupBy("contig", "position").agg(*(F.count_if(F.col("base") == b).alias(b) for b in BASES))
 
 
 def replacement_base(original: Column, counts: dict[str, Column]) -> Column:

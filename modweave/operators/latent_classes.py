@@ -138,29 +138,39 @@ class Fit:
 
 
 def fit(rows: DataFrame, classes: int, levels: list[int], n_meth: int, priors: Priors = Priors(), iterations: int = 100, tolerance: float = 1e-6, seed: int = 0, begin: Params | None = None) -> Fit:
-    """EM until the log-likelihood moves less than ``tolerance``; the returned responsibilities precede the last M step."""
-    rows = rows.persist()
+    """EM until the log-likelihood moves less than ``tolerance``.
+
+    ``ll`` is that of the returned parameters, after the last M step; the responsibilities are those the step was made
+    from. A last turn that moves ``ll`` by less counts; without one the count is one above ``iterations``.
+    """
     p = begin or start(rows, classes, levels, n_meth, priors, seed)
-    before, used = None, p
-    for turn in range(iterations):
-        used = p
-        stats = statistics(e_step(rows, p), p)
-        p = m_step(stats, p, priors)
-        ll = stats[1]
-        if before is not None and abs(ll - before) < tolerance:
-            return Fit(p, ll, turn + 1, True, e_step(rows, used))
-        before = ll
+    held, before, used = rows.persist(), None, p
+    try:
+        # the sums that the next M step needs hold the log-likelihood as well, so each turn is one pass
+        stats = statistics(e_step(held, p), p)
+        for turn in range(iterations):
+            used, p = p, m_step(stats, p, priors)
+            stats = statistics(e_step(held, p), p)
+            if before is not None and abs(stats[1] - before) < tolerance:
+                return Fit(p, stats[1], turn + 1, True, e_step(rows, used))
+            before = stats[1]
+    finally:
+        held.unpersist()
     return Fit(p, before if before is not None else float("nan"), iterations + 1, False, e_step(rows, used))
 
 
 def prune(fitted: Fit, least: float) -> Fit:
-    """Without classes of a mean responsibility below ``least``; the largest stays if none would (the last of equals)."""
+    """Without classes of a mean responsibility below ``least``; the largest stays if none would (the last of equals).
+
+    ``ll`` becomes that of the parameters that are left.
+    """
     means = fitted.responsibilities.agg(*(F.avg(F.col("resp")[c]).alias(f"c{c}") for c in range(fitted.params.classes))).first()
     kept = [c for c, m in enumerate(means) if m >= least] or [max(range(len(means)), key=lambda c: (means[c], c))]
     total = sum(means[c] for c in kept)
     p = fitted.params
     new = Params([means[c] / total for c in kept], [p.phi[c] for c in kept], [p.mean[c] for c in kept], [p.var[c] for c in kept])
-    return Fit(new, fitted.ll, fitted.iterations, fitted.converged, fitted.responsibilities.withColumn("resp", renormalised(F.col("resp"), kept)))
+    ll = e_step(fitted.responsibilities.drop("resp", "ll"), new).agg(F.sum("ll")).first()[0]
+    return Fit(new, ll, fitted.iterations, fitted.converged, fitted.responsibilities.withColumn("resp", renormalised(F.col("resp"), kept)))
 
 
 def renormalised(resp: Column, kept: list[int]) -> Column:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.mods import decode_column, lift_column, phred_column
+from ..functions.mods import decode_column, lift_column, phred_column, positions_column
 from ..functions.motifs import code_label_column, normal_label_column, occurrences, parse_motif
 from ..operators import calls as C
 from ..operators import clustering as K
@@ -32,11 +31,6 @@ def query(sql: str | None = None):
     return keep
 
 
-def whole(f, **parts):
-    """Registers ``f`` over whole tables as ``..._whole``: its SQL is of a part of them and doesn't hold for it."""
-    QUERIES[f"{f.__name__}_whole"] = partial(f, **parts)
-
-
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -44,21 +38,19 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 # relations that both engines derive alike
 
 READS = """reads as (select doc_id as read_id, source as contig, case when doc_id % 2 = 0 then '+' else '-' end as strand,
-  substr(upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')), 1, 2000) as seq from documents)"""
+  upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) as seq from documents)"""
 CALLS = """calls as (select event_id as call_ord, user_id as read_id, event_type as motif, 'c' || (user_id % 5) as contig, floor(epoch(ts) / 3600)::bigint as ref_pos,
   json_extract_string(props, '$.k')::int as ml, event_id % 7 <> 0 as methylated,
   case when event_id % 7 <> 0 then (json_extract_string(props, '$.k')::int / 255.0::double)::float end as prob from events)"""
 FEATURES = """features as (select vec_id as row_ord, label, d as dim, case when (vec_id * 7 + d * 3) % 10 <> 0 then embedding[d + 1]::double end as value
-  from embeddings, (select unnest(range(0, 8)) as d))"""
+  from embeddings, (select unnest(range(0, 64)) as d))"""
 TYPED = """typed as (select o_orderkey as row_ord, case when o_orderkey % 11 <> 0 then case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end end as c0,
   case when o_orderkey % 13 <> 0 then substr(o_orderpriority, 1, 1)::int - 1 end as c1, case when o_orderkey % 7 <> 0 then o_totalprice / 500000.0::double end as x from orders)"""
-BLOCKS = "blocks as (select p_partkey as block_ord, p_partkey as snp_start, p_partkey + p_size as snp_end from part where p_partkey <= 200)"
+BLOCKS = "blocks as (select p_partkey as block_ord, p_partkey as snp_start, p_partkey + p_size as snp_end from part)"
 
 
-def reads_of(spark: SparkSession, d: str, most: int | None = 2000) -> DataFrame:
-    """``most`` bases of each text, as the SQL takes them; None takes all."""
+def reads_of(spark: SparkSession, d: str) -> DataFrame:
     seq = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTacgt]", ""))
-    seq = seq if most is None else F.substring(seq, 1, most)
     return _table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), F.col("source").alias("contig"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"), seq.alias("seq"))
 
 
@@ -71,10 +63,8 @@ def calls_of(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def features_of(spark: SparkSession, d: str, most: int | None = 8) -> DataFrame:
-    """``most`` components of each vector, as the SQL takes them; None takes all."""
-    x = F.col("embedding") if most is None else F.slice("embedding", 1, most)
-    cells = F.transform(x, lambda v, k: F.when((F.col("vec_id") * 7 + k * 3) % 10 != 0, v.cast("double")))
+def features_of(spark: SparkSession, d: str) -> DataFrame:
+    cells = F.transform("embedding", lambda v, k: F.when((F.col("vec_id") * 7 + k * 3) % 10 != 0, v.cast("double")))
     return _table(spark, d, "embeddings").select(F.col("vec_id").alias("row_ord"), "label", cells.alias("features"))
 
 
@@ -86,10 +76,8 @@ def typed_of(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "orders").select(k.alias("row_ord"), k.cast("string").alias("id"), F.array(c0, c1).cast("array<int>").alias("cats"), F.array(x).alias("meth"))
 
 
-def blocks_of(spark: SparkSession, d: str, last: int | None = 200) -> DataFrame:
-    """Blocks up to ``last``, as the SQL takes them; None takes all."""
-    part = _table(spark, d, "part")
-    return (part if last is None else part.where(F.col("p_partkey") <= last)).select(F.col("p_partkey").alias("block_ord"), F.col("p_partkey").alias("snp_start"), (F.col("p_partkey") + F.col("p_size")).alias("snp_end"))
+def blocks_of(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("block_ord"), F.col("p_partkey").alias("snp_start"), (F.col("p_partkey") + F.col("p_size")).alias("snp_end"))
 
 
 def _r(c, name: str, digits: int = 6):
@@ -100,21 +88,21 @@ _MOTIF = parse_motif("RNNA_6mA_3")
 
 
 @query(f"with {READS} select read_id, i as motif_start from (select read_id, seq, unnest(range(0, greatest(length(seq) - 3, 0))) as i from reads) where regexp_matches(substr(seq, i + 1, 4), '^[AG]..A$')")
-def motif_occurrences(spark, d, most=2000):
-    return occurrences(reads_of(spark, d, most), [_MOTIF]).select("read_id", F.col("motif_start").cast("long").alias("motif_start"))
+def motif_occurrences(spark, d):
+    return occurrences(reads_of(spark, d), [_MOTIF]).select("read_id", F.col("motif_start").cast("long").alias("motif_start"))
 
 
 @query(f"""with {READS}, o as (select read_id, strand, seq, unnest(range(0, greatest(length(seq) - 3, 0))) as i from reads)
 select read_id, i as motif_start, i + case when strand = '-' then 0 else 3 end as read_position from o where regexp_matches(substr(seq, i + 1, 4), '^[AG]..A$')""")
-def motif_offsets_strand(spark, d, most=2000):
-    return occurrences(reads_of(spark, d, most), [_MOTIF]).select("read_id", F.col("motif_start").cast("long").alias("motif_start"), F.col("read_position").cast("long").alias("read_position"))
+def motif_offsets_strand(spark, d):
+    return occurrences(reads_of(spark, d), [_MOTIF]).select("read_id", F.col("motif_start").cast("long").alias("motif_start"), F.col("read_position").cast("long").alias("read_position"))
 
 
-def _tagged(spark, d, most):
+def _tagged(spark, d):
     k = F.col("read_id")
     mark = F.when(k % 3 == 0, ".").when(k % 3 == 1, "?").otherwise("")
     mm = F.concat(F.when(k % 5 == 0, "A-a").otherwise("A+a"), mark, F.lit(","), k % 4, F.lit(","), k % 2, F.lit(",1;"))
-    return reads_of(spark, d, most).select("*", mm.alias("mm"), F.array(F.lit(200), F.lit(100), (k % 100).cast("int")).alias("ml"))
+    return reads_of(spark, d).select("*", mm.alias("mm"), F.array(F.lit(200), F.lit(100), (k % 100).cast("int")).alias("ml"))
 
 
 _DECODED = f"""with {READS},
@@ -130,28 +118,27 @@ c as (
 
 
 @query(_DECODED + " select read_id, ordinal::int as ordinal, position::int as position, methylated, round(probability::double, 6) as probability from c")
-def decode_modifications(spark, d, most=2000):
-    c = _tagged(spark, d, most).select("read_id", F.explode(decode_column(F.col("seq"), F.col("mm"), F.col("ml"))["calls"]).alias("c"))
+def decode_modifications(spark, d):
+    c = _tagged(spark, d).select("read_id", F.explode(decode_column(F.col("seq"), F.col("mm"), F.col("ml"))["calls"]).alias("c"))
     return c.select("read_id", "c.ordinal", "c.position", "c.methylated", _r(F.col("c.probability").cast("double"), "probability"))
 
 
 @query(f"with {READS} select read_id, unnest(list_filter(range(0, length(seq)), lambda i: substr(seq, i + 1, 1) = 'C')) as position from reads")
-def canonical_positions(spark, d, most=2000):
-    places = F.expr("filter(transform(sequence(0, length(seq)), i -> if(substr(seq, i + 1, 1) = 'C', cast(i as bigint), null)), i -> i is not null)")
-    return reads_of(spark, d, most).select("read_id", F.explode(places).alias("position"))
+def canonical_positions(spark, d):
+    return reads_of(spark, d).select("read_id", F.explode(positions_column(F.col("seq"), "C", F.lit("+"))).alias("position"))
 
 
 @query(_DECODED + ", n as (select read_id, count(*) as n from c where not methylated group by read_id) select g.read_id, not good as failed, coalesce(n.n, 0) as implicit from g left join n on g.read_id = n.read_id")
-def implicit_unmodified(spark, d, most=2000):
-    s = _tagged(spark, d, most).select("read_id", decode_column(F.col("seq"), F.col("mm"), F.col("ml")).alias("d"))
+def implicit_unmodified(spark, d):
+    s = _tagged(spark, d).select("read_id", decode_column(F.col("seq"), F.col("mm"), F.col("ml")).alias("d"))
     return s.select("read_id", F.col("d.error").isNotNull().alias("failed"), F.size(F.filter("d.calls", lambda c: ~c["methylated"])).cast("long").alias("implicit"))
 
 
 @query(f"""with {READS}, p as (select *, 100 + read_id % 50 as start, unnest(range(0, length(seq))) as i from reads where length(seq) >= 20)
 select read_id, i as read_position, case when i < 3 then null when i < 10 then start + i - 3 when i < 12 then null when i < length(seq) - 4 then start + i - 5 + 6 end as ref_position from p""")
-def cigar_lift_over(spark, d, most=2000):
+def cigar_lift_over(spark, d):
     n = F.length("seq")
-    r = reads_of(spark, d, most).where(n >= 20).withColumn("cigar", F.concat(F.lit("3S7M2I6D"), n - 16, F.lit("=4S")))
+    r = reads_of(spark, d).where(n >= 20).withColumn("cigar", F.concat(F.lit("3S7M2I6D"), n - 16, F.lit("=4S")))
     lifted = r.select("read_id", F.posexplode(lift_column(n, 100 + F.col("read_id") % 50, F.col("cigar"))).alias("i", "ref_position"))
     return lifted.select("read_id", F.col("i").cast("long").alias("read_position"), "ref_position")
 
@@ -203,11 +190,11 @@ _KINDS = ["click", "view", "purchase", "signup", "logout", "login", "error"]
 
 
 @query(f"""with {CALLS}, k as (select unnest({_KINDS}) as motif, unnest(range(0, {len(_KINDS)})) as o), r as (select distinct read_id from calls),
-h as (select distinct read_id, motif from calls where methylated and call_ord % 40 = 1)
+h as (select distinct read_id, motif from calls where methylated)
 select r.read_id, coalesce(string_agg(k.motif, '+' order by k.o), 'NONE') as combo from r left join h on r.read_id = h.read_id left join k on h.motif = k.motif group by r.read_id""")
-def motif_hits_combo(spark, d, kept="call_ord % 40 = 1"):
+def motif_hits_combo(spark, d):
     c = calls_of(spark, d)
-    return C.motif_hits(c.where(kept), c, "read_id", _KINDS).select("read_id", C.combo_label(F.col("hits"), _KINDS).alias("combo"))
+    return C.motif_hits(c, c, "read_id", _KINDS).select("read_id", C.combo_label(F.col("hits"), _KINDS).alias("combo"))
 
 
 @query(f"""with {CALLS}, a as (select read_id, call_ord % 4 as read_ord, motif, avg(prob::double) as m from calls group by all),
@@ -221,8 +208,8 @@ def feature_pivot(spark, d):
 
 
 @query(f"with {FEATURES} select dim::int as dim, count(*) - count(value) as n_missing, round(coalesce(avg(value), 0.5), 6) as mean, (count(*) - count(value)) / count(*) <= 0.1 as kept from features group by dim")
-def dense_columns(spark, d, most=8):
-    return C.dense_columns(features_of(spark, d, most), 0.1).select("dim", "n_missing", _r("mean", "mean"), "kept")
+def dense_columns(spark, d):
+    return C.dense_columns(features_of(spark, d), 0.1).select("dim", "n_missing", _r("mean", "mean"), "kept")
 
 
 _HIT = "(methylated and (prob is null or prob >= 0.2::float))"
@@ -265,21 +252,21 @@ _PILE = f"""with {READS}, p as (select contig, read_id % 50 + i as position, sub
 c as (select contig, position, count(*) filter (base = 'A') as "A", count(*) filter (base = 'C') as "C", count(*) filter (base = 'G') as "G", count(*) filter (base = 'T') as "T" from p group by all)"""
 
 
-def _pile(spark, d, most):
-    r = reads_of(spark, d, most).where("length(seq) > 0")
+def _pile(spark, d):
+    r = reads_of(spark, d).where("length(seq) > 0")
     return C.pileup(r.withColumn("ref_pos", F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: F.col("read_id") % 50 + i)))
 
 
 @query(_PILE + ' select contig, position, "A", "C", "G", "T" from c')
-def pileup_counts(spark, d, most=2000):
-    return _pile(spark, d, most)
+def pileup_counts(spark, d):
+    return _pile(spark, d)
 
 
 @query(_PILE + """, o as (select contig, position, ['A', 'C', 'G', 'T'][position % 4 + 1] as original, [{'n': "A", 'b': 'A'}, {'n': "C", 'b': 'C'}, {'n': "G", 'b': 'G'}, {'n': "T", 'b': 'T'}] as x from c)
 select contig, position, original, list_sort(list_filter(x, lambda e: e.b <> original))[1].b as replacement from o""")
-def replacement_base(spark, d, most=2000):
+def replacement_base(spark, d):
     original = F.element_at(F.array(*map(F.lit, C.BASES)), (F.col("position") % 4 + 1).cast("int"))
-    p = _pile(spark, d, most).withColumn("original", original)
+    p = _pile(spark, d).withColumn("original", original)
     return p.select("contig", "position", "original", C.replacement_base(F.col("original"), {b: F.col(b) for b in C.BASES}).alias("replacement"))
 
 
@@ -290,39 +277,37 @@ def phred_quality(spark, d):
 
 _NN = f"""with {FEATURES}, w as (select row_ord, list(value order by dim) as f from features group by row_ord),
 m as (select row_ord, dim from features where value is null), c as (select dim, avg(value) as mean from features group by dim),
-d as (select m.row_ord, m.dim, b.row_ord as o, v.value, list_filter(list_transform(range(1, 9), lambda k: case when k - 1 = m.dim then null else a.f[k] - b.f[k] end), lambda x: x is not null) as g
+d as (select m.row_ord, m.dim, b.row_ord as o, v.value, list_filter(list_transform(range(1, 65), lambda k: case when k - 1 = m.dim then null else a.f[k] - b.f[k] end), lambda x: x is not null) as g
   from m join w a on a.row_ord = m.row_ord join features v on v.dim = m.dim and v.value is not null join w b on b.row_ord = v.row_ord),
 n as (select row_ord, dim, arg_min(value, {{'d': sqrt(list_sum(list_transform(g, lambda x: x * x)) / len(g)), 'o': o}}) as near from d where len(g) > 0 group by row_ord, dim)
 select m.row_ord, m.dim::int as dim, round(coalesce(n.near, c.mean, 0.5), 6) as value from m left join n on m.row_ord = n.row_ord and m.dim = n.dim join c on m.dim = c.dim"""
 
 
-@query(_NN)
-def nn_impute(spark, d, most=8):
-    return K.nearest_impute_sql(features_of(spark, d, most)).select("row_ord", "dim", _r("value", "value"))
-
-
-def _dense(spark, d, most=None):
+def _dense(spark, d):
     """Rows of a cluster matrix in id order, for the numpy kernels."""
-    return features_of(spark, d, most).select(F.col("row_ord").alias("read_id"), "features", "label")
+    return features_of(spark, d).select(F.col("row_ord").alias("read_id"), "features", "label")
 
 
-@query()
-def nn_impute_kernel(spark, d):
-    return K.impute_rows(_dense(spark, d)).select("read_id", F.posexplode("features").alias("dim", "value"))
+@query(_NN)
+def nn_impute(spark, d):
+    rows = _dense(spark, d)
+    lacking = rows.select("read_id", F.posexplode("features").alias("dim", "was")).where("was is null").drop("was")
+    filled = K.impute_rows(rows).select("read_id", F.posexplode("features").alias("dim", "value"))
+    return lacking.join(filled, ["read_id", "dim"]).select(F.col("read_id").alias("row_ord"), "dim", _r("value", "value"))
 
 
-@query("""with e as (select vec_id as id, label, list_transform(embedding[1:8], lambda v: v::double) as x from embeddings),
-p as (select a.id, a.label, b.label as o, avg(sqrt(list_sum(list_transform(range(1, 9), lambda k: (a.x[k] - b.x[k]) * (a.x[k] - b.x[k]))))) as d from e a join e b on a.id <> b.id group by all),
+@query("""with e as (select vec_id as id, label, list_transform(embedding, lambda v: v::double) as x from embeddings),
+p as (select a.id, a.label, b.label as o, avg(sqrt(list_sum(list_transform(range(1, 65), lambda k: (a.x[k] - b.x[k]) * (a.x[k] - b.x[k]))))) as d from e a join e b on a.id <> b.id group by all),
 s as (select id, coalesce(max(d) filter (label = o), 0.0) as a, min(d) filter (label <> o) as b from p group by id)
 select id, round(case when greatest(a, b) > 0 then (b - a) / greatest(a, b) else 0.0 end, 6) as s from s""")
-def silhouette_given_labels(spark, d, most=8):
-    x = F.transform(F.col("embedding") if most is None else F.slice("embedding", 1, most), lambda v: v.cast("double"))
+def silhouette_given_labels(spark, d):
+    x = F.transform("embedding", lambda v: v.cast("double"))
     return K.silhouette_rows(_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", x.alias("x"))).select("id", _r("s", "s"))
 
 
 @query(f"with {FEATURES} select label as cluster_id, dim::int as dim, count(*) as read_count, round(avg(value), 6) as centroid from features group by all")
-def cluster_centroids(spark, d, most=8):
-    f = _dense(spark, d, most)
+def cluster_centroids(spark, d):
+    f = _dense(spark, d)
     return K.centroids(f.select("read_id", "features"), f.select("read_id", F.col("label").alias("cluster_id"))).select("cluster_id", "dim", "read_count", _r("centroid", "centroid"))
 
 
@@ -375,26 +360,26 @@ c as (select seg_start, seg_end, block_ord, row_number() over (partition by seg_
 
 
 @query(_SEG + " select seg_start, seg_end, block_ord, level::int as level, n_levels from c where n_levels > 1")
-def hap_segments(spark, d, last=200):
-    return H.covering_blocks(blocks_of(spark, d, last), 16)
+def hap_segments(spark, d):
+    return H.covering_blocks(blocks_of(spark, d), 16)
 
 
 @query(_SEG + """, e as (select block_ord, 'r' || (block_ord % 60) as id, snp_start + block_ord % 3 as start, greatest(snp_start + block_ord % 3, snp_end - block_ord % 5) as stop from blocks)
 select id, seg_start, seg_end, min(level)::int as level from e join c using (block_ord) where n_levels > 1 and start <= seg_end and stop >= seg_start group by all""")
-def hap_assign(spark, d, last=200):
-    b = blocks_of(spark, d, last)
+def hap_assign(spark, d):
+    b = blocks_of(spark, d)
     e = b.select("block_ord", F.concat(F.lit("r"), F.col("block_ord") % 60).alias("id"), (F.col("snp_start") + F.col("block_ord") % 3).alias("start"), "snp_end").withColumn("end", F.greatest("start", F.col("snp_end") - F.col("block_ord") % 5))
     return H.assign_levels(e, H.covering_blocks(b, 16))
 
 
 @query("""with h as (select row_number() over (order by o_orderkey) - 1 as row_ord, o_custkey::varchar as id, o_orderkey as v from orders where o_orderkey in (select min(o_orderkey) from orders group by o_custkey)),
-f as (select c_custkey::varchar as id, c_acctbal as m from customer where c_custkey % 2 = 0),
+f as (select c_custkey::varchar as id, c_acctbal as m from customer ),
 b as (select coalesce(h.id, f.id) as id, h.row_ord, h.v, f.m from h full join f on h.id = f.id)
 select coalesce(row_ord, (select count(*) from h) + row_number() over (partition by row_ord is null order by id) - 1) as row_ord, id, (v % 3)::int as cat, m as meth from b""")
 def dataset_outer_merge(spark, d):
     first = _table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("v"))
     h = first.select((F.row_number().over(Window.orderBy("v")) - 1).cast("long").alias("row_ord"), F.col("o_custkey").cast("string").alias("id"), F.array((F.col("v") % 3).cast("int")).alias("cats"))
-    f = _table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("id"), F.array("c_acctbal").alias("meth"))
+    f = _table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.array("c_acctbal").alias("meth"))
     return H.outer_merge(h, f, 1, 1).select("row_ord", "id", F.col("cats")[0].alias("cat"), F.col("meth")[0].alias("meth"))
 
 
@@ -431,16 +416,45 @@ def model_scores(spark, d):
     return spark.createDataFrame([(k, round(ll, 4), round(h, 4), round(L.score(ll, n, k, h, "bic"), 4), round(L.score(ll, n, k, h, "icl"), 4))], "parameters long, ll double, entropy double, bic double, icl double")
 
 
+_TABLES = {"phi0": ("c0", 3), "phi1": ("c1", 5)}
+_ONE = _ESQL + """, w as (select 0 as c, c0, c1, x, r0 as r from r union all select 1, c0, c1, x, 1 - r0 from r),
+m as (select c, (sum(r) + 1) / ((select count(*) from r) + 2) as pi, """ + ", ".join(
+    f"(coalesce(sum(r) filter ({col} = {j}), 0) + 1) / (sum(r) filter ({col} is not null) + {n}) as {name}_{j}" for name, (col, n) in _TABLES.items() for j in range(n)
+) + """, sum(r * x) / (sum(r) filter (x is not null)) as mean, sum(r * x * x) / (sum(r) filter (x is not null)) - pow(sum(r * x) / (sum(r) filter (x is not null)), 2) as var from w group by c),
+g as (select row_ord, ln(pi) + """ + " + ".join(f"coalesce(ln([{', '.join(f'{name}_{j}' for j in range(n))}][{col} + 1]), 0)" for name, (col, n) in _TABLES.items()) + """
+  + coalesce(-0.5::double * ln(2 * pi() * var) - (x - mean) * (x - mean) / (2 * var), 0) as l from typed cross join m),
+h as (select row_ord, max(l) as top from g group by row_ord)
+select round(sum(ll), 4) as ll, 2::bigint as iterations from (select any_value(top) + ln(sum(exp(l - top))) as ll from g join h using (row_ord) group by row_ord)"""
+
+
+@query(_ONE)
+def em_one_iteration(spark, d):
+    """The log-likelihood after one E and one M step."""
+    f = L.fit(typed_of(spark, d), 2, [3, 5], 1, iterations=1, begin=_P)
+    return spark.createDataFrame([(round(f.ll, 4), f.iterations)], "ll double, iterations long")
+
+
 @query()
 def em_fit(spark, d):
     f = L.fit(typed_of(spark, d), 2, [3, 5], 1, iterations=8, seed=1)
     return L.map_assignments(f.responsibilities)
 
 
-@query()
+_P3 = L.Params([0.5, 0.3, 0.2], [_P.phi[0], _P.phi[1], [[0.4, 0.4, 0.2], [0.1, 0.4, 0.3, 0.1, 0.1]]], [[0.3], [0.5], [0.1]], [[0.05], [0.04], [0.02]])
+_LOG3 = ", ".join(
+    f"ln({_P3.pi[c]}::double) + coalesce(ln(({_P3.phi[c][0]}::double[])[c0 + 1]), 0) + coalesce(ln(({_P3.phi[c][1]}::double[])[c1 + 1]), 0) + coalesce(-0.5::double * ln(2 * pi() * {_P3.var[c][0]}::double) - (x - {_P3.mean[c][0]}::double) * (x - {_P3.mean[c][0]}::double) / (2 * {_P3.var[c][0]}::double), 0)"
+    for c in range(3)
+)
+
+
+@query(f"""with {TYPED}, l as (select row_ord, [{_LOG3}] as l from typed), t as (select row_ord, list_transform(l, lambda v: exp(v - list_max(l))) as e from l),
+r as (select row_ord, list_transform(e, lambda v: v / list_sum(e)) as r from t), m as (select c, avg(r[c]) as mean from (select r, unnest([1, 2, 3]) as c from r) group by c),
+k as (select list(c order by c) as kept from m where mean >= 0.3::double or (mean = (select max(mean) from m) and (select max(mean) from m) < 0.3::double)),
+o as (select row_ord, list_transform(kept, lambda c: r[c]) as own from r, k)
+select row_ord::varchar as id, len(own)::int as classes, round(own[1] / list_sum(own), 6) as first, round(own[-1] / list_sum(own), 6) as last from o""")
 def class_prune(spark, d):
-    f = L.prune(L.fit(typed_of(spark, d), 3, [3, 5], 1, iterations=3, seed=2), 0.34)
-    return f.responsibilities.select("id", F.size("resp").alias("classes"), _r(F.aggregate("resp", F.lit(0.0), lambda s, v: s + v), "total"))
+    f = L.prune(L.fit(typed_of(spark, d), 3, [3, 5], 1, iterations=1, begin=_P3), 0.3)
+    return f.responsibilities.select("id", F.size("resp").alias("classes"), _r(F.element_at("resp", 1), "first"), _r(F.element_at("resp", -1), "last"))
 
 
 @query(_ESQL + f""", p as (select *, 1 - r0 as r1 from r), c as (select row_ord, c0, c1, x, [{", ".join(f"r0 * {a}::double + r1 * {b}::double" for a, b in zip(_P.phi[0][0], _P.phi[1][0]))}] as q0,
@@ -456,10 +470,10 @@ def cv_folds_pseudo_categories(spark, d):
     return rows.groupBy((F.col("row_ord") % 5).alias("fold"), F.col("cats")[0].alias("pseudo")).agg(F.count("*").alias("n"))
 
 
-@query("""with a as (select vec_id as id, list_transform(embedding[1:3], lambda v: round(v::double, 1)) as p from embeddings)
+@query("""with a as (select vec_id as id, list_transform(embedding, lambda v: round(v::double, 1)) as p from embeddings)
 select id, (list_position(p, list_max(p)) - 1)::int as assigned_class from a""")
 def assignment_argmax(spark, d):
-    rows = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *(F.round(F.col("embedding")[k].cast("double"), 1).cast("string").alias(f"class_{k}") for k in range(3)))
+    rows = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *(F.round(F.col("embedding")[k].cast("double"), 1).cast("string").alias(f"class_{k}") for k in range(64)))
     return rows.select("id", assigned_class(rows.columns).alias("assigned_class"))
 
 
@@ -526,11 +540,11 @@ def optimal_label_matching(spark, d):
     return spark.createDataFrame(P.optimal_mapping(*_groupings(spark, d)), "label_a string, label_b string, n long")
 
 
-@query(f"""with {CALLS}, a as (select read_id, motif, avg(prob::double) as m from calls where call_ord % 20 = 0 group by all),
+@query(f"""with {CALLS}, a as (select read_id, motif, avg(prob::double) as m from calls group by all),
 c as (select motif, case when m is null then 'missing' when m >= 0.2 then 'high' else 'low' end as level, count(*) as n from a group by all)
 select motif, level, n, round(n / sum(n) over (partition by motif), 6) as fraction from c""")
-def contingency_fraction(spark, d, kept="call_ord % 20 = 0"):
-    a = C.read_aggregate(calls_of(spark, d).where(kept), ["read_id", "motif"])
+def contingency_fraction(spark, d):
+    a = C.read_aggregate(calls_of(spark, d), ["read_id", "motif"])
     return P.level_fractions(a, 0.2).select("motif", "level", "n", _r("fraction", "fraction"))
 
 
@@ -552,9 +566,9 @@ def top_motif_pairs(spark, d):
     return P.top_motif_pairs(_table(spark, d, "events").select(F.col("event_type").alias("motif")), 3)
 
 
-@query("select event_id, case when k % 2 = 0 then '0.' || lpad((k / 2)::bigint::varchar, 4, '0') end as shown from (select event_id, json_extract_string(props, '$.k')::int as k from events) where k % 2 = 0")
-def fixed_point_text(spark, d, kept="k % 2 = 0"):
-    rows = _table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).where(kept)
+@query("select event_id, printf('%.4f', k / 20000.0::double) as shown from (select event_id, json_extract_string(props, '$.k')::int as k from events)")
+def fixed_point_text(spark, d):
+    rows = _table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
     return rows.select("event_id", fixed(F.col("k") / F.lit(20000.0)).alias("shown"))
 
 
@@ -563,13 +577,3 @@ def stream_site_windows(spark, d):
     """The streaming aggregation, run over the table as a batch."""
     times = _table(spark, d, "events").select(F.col("event_id").alias("call_ord"), F.col("ts"))
     return stream_site_counts(calls_of(spark, d).withColumnRenamed("ref_pos", "ref_position").join(times, "call_ord"), threshold=0.2)
-
-
-for _f in (motif_occurrences, motif_offsets_strand, decode_modifications, canonical_positions, implicit_unmodified, cigar_lift_over, pileup_counts, replacement_base, dense_columns, nn_impute, silhouette_given_labels, cluster_centroids):
-    whole(_f, most=None)
-
-for _f in (hap_segments, hap_assign):
-    whole(_f, last=None)
-
-for _f in (motif_hits_combo, contingency_fraction, fixed_point_text):
-    whole(_f, kept="true")

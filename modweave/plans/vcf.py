@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.motifs import Motif, safe_label
+from ..functions.motifs import Motif
 from ..sources.tables import fixed
 
 # The file's format lines.
@@ -22,15 +22,20 @@ _HEAD = [
 ]
 
 
+def _allele(label: str) -> str:
+    """A label as a symbolic allele's name: letters and digits of ASCII, all else an underscore."""
+    return "".join(c if c.isascii() and c.isalnum() else "_" for c in label)
+
+
 def vcf_rows(sites: DataFrame, motifs: list[Motif]) -> DataFrame:
     """Sorted lines, one for each site. The reference base is the motif's at its modified place, an IUPAC code maybe."""
-    table = F.array(*(F.struct(F.lit(m.pattern[m.index]).alias("ref"), F.lit(safe_label(m.raw)).alias("motif"), F.lit(m.label).alias("label")) for m in motifs))
+    table = F.array(*(F.struct(F.lit(m.pattern[m.index]).alias("ref"), F.lit(m.raw).alias("motif"), F.lit(m.label).alias("label"), F.lit(f"<{_allele(m.label)}>").alias("alt")) for m in motifs))
     m = F.element_at(table, F.col("motif_idx") + 1)
     depth = F.col("meth") + F.col("unmeth")
     frac = fixed(F.col("fraction"), null=".")
     info = F.concat(F.lit("MOTIF="), m["motif"], F.lit(";MODL="), m["label"], F.lit(";DP="), depth, F.lit(";METH="), "meth", F.lit(";UNMETH="), "unmeth", F.lit(";FRAC="), frac)
     sample = F.concat_ws(":", depth.cast("string"), F.col("meth").cast("string"), F.col("unmeth").cast("string"), frac, fixed(F.col("mean_probability"), null="."))
-    line = F.concat_ws("\t", "contig", F.col("ref_position").cast("string"), F.lit("."), m["ref"], F.concat(F.lit("<"), m["label"], F.lit(">")), F.lit("."), F.lit("PASS"), info, F.lit("DP:METH:UNMETH:FRAC:MEANP"), sample)
+    line = F.concat_ws("\t", "contig", F.col("ref_position").cast("string"), F.lit("."), m["ref"], m["alt"], F.lit("."), F.lit("PASS"), info, F.lit("DP:METH:UNMETH:FRAC:MEANP"), sample)
     return sites.orderBy("contig", "ref_position", "motif_idx").select(line.alias("value"))
 
 

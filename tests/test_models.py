@@ -94,3 +94,27 @@ def test_matching():
         m = rng.integers(0, 20, (4, 4)).tolist()
         got = sum(m[i][j] for i, j in enumerate(P.best_matching(m)))
         assert got == max(sum(m[i][p[i]] for i in range(4)) for p in permutations(range(4)))
+
+
+def test_log_likelihood_follows_the_last_step(spark):
+    rows = spark.createDataFrame([(0, "a", [0], []), (1, "b", [1], [])], "row_ord long, id string, cats array<int>, meth array<double>")
+    begin = L.Params([0.5, 0.5], [[[0.8, 0.2]], [[0.3, 0.7]]], [[], []], [[], []])
+    f = L.fit(rows, 2, [2], 0, iterations=1, begin=begin)
+    assert abs(f.ll + 1.386296) < 1e-6 and (f.iterations, f.converged) == (2, False)
+    assert np.allclose(f.params.pi, [0.487374, 0.512626], atol=1e-6)
+    h = L.entropy(f.responsibilities)
+    assert abs(L.score(f.ll, 2, 3, h, "bic") - 6.931476) < 1e-5 and abs(L.score(f.ll, 2, 3, h) - 9.162793) < 1e-5
+    again = L.fit(rows, 2, [2], 0, iterations=100, begin=begin)
+    assert again.converged and again.iterations < 101 and again.ll >= f.ll
+    one = L.prune(f, 0.51)
+    assert one.params.classes == 1 and one.params.phi == [f.params.phi[1]]
+    # that of the one class that is left
+    assert abs(one.ll - sum(np.log(one.params.phi[0][0]))) < 1e-9
+
+
+def test_distances_in_bounded_blocks(monkeypatch):
+    x = np.random.default_rng(1).normal(size=(70, 5))
+    whole = np.vstack([d for _, d in K.distances(x)])
+    monkeypatch.setattr(K, "CELLS", 1000)
+    parts = list(K.distances(x))
+    assert len(parts) == 35 and np.array_equal(np.vstack([d for _, d in parts]), whole)

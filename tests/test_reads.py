@@ -153,3 +153,18 @@ def test_split_reads(spark, tmp_path):
     told = E.phase_variants(spark, path, [parse_motif("GATC_6mA_1")], str(tmp_path / "p"), None, 1, 2, iterations=5)
     assert told["best_c"] in (1, 2) and (tmp_path / "p/model.json").exists()
     loaded.unpersist()
+
+
+def test_labels_of_the_vcf(spark):
+    motifs = [parse_motif("GATC_21839+x_1"), parse_motif("GATC_6mA_1")]
+    sites = spark.createDataFrame([("ctg", 5, 0, 1, 1, 0.5, 0.75), ("ctg", 5, 1, 0, 2, 0.0, None)], "contig string, ref_position long, motif_idx int, meth long, unmeth long, fraction double, mean_probability double")
+    lines = [r[0].split("\t") for r in vcf_rows(sites, motifs).collect()]
+    # the allele holds letters and digits only; the motif and its label stay as given
+    assert [x[4] for x in lines] == ["<" + "".join(c if c.isalnum() else "_" for c in motifs[0].label) + ">", "<6mA>"]
+    assert lines[0][7].startswith(f"MOTIF={motifs[0].raw};MODL={motifs[0].label};DP=2;") and "+" in motifs[0].raw
+
+
+def test_pileup_of_odd_reads(spark):
+    rows = [("ctg", "acgT", [3, None, 4, 5]), ("ctg", "AN", [3, 4]), ("ctg", "", []), (None, "A", [3]), ("ctg", "AC", [7])]
+    got = {(r.position): (r.A, r.C, r.G, r["T"]) for r in C.pileup(spark.createDataFrame(rows, "contig string, seq string, ref_pos array<long>")).collect()}
+    assert got == {3: (2, 0, 0, 0), 4: (0, 0, 1, 0), 5: (0, 0, 0, 1), 7: (1, 0, 0, 0)}

@@ -1,4 +1,4 @@
-"""Queries over whole tables, which have no SQL, against brute force on small tables."""
+"""Queries against brute force on small tables with long texts and all components."""
 
 import re
 from collections import Counter
@@ -27,19 +27,19 @@ def test_whole_reads(spark, tables):
     d, reads, _ = tables
     assert max(map(len, reads.values())) > 2000
     hits = [(k, m.start()) for k, s in reads.items() for m in re.finditer("(?=[AG]..A)", s)]
-    assert sorted(rows(spark, d, "motif_occurrences_whole")) == hits
-    assert sorted(rows(spark, d, "motif_offsets_strand_whole")) == [(k, i, i + 3 * (k % 2 == 0)) for k, i in hits]
-    assert sorted(rows(spark, d, "canonical_positions_whole")) == [(k, i) for k, s in reads.items() for i, c in enumerate(s) if c == "C"]
+    assert sorted(rows(spark, d, "motif_occurrences")) == hits
+    assert sorted(rows(spark, d, "motif_offsets_strand")) == [(k, i, i + 3 * (k % 2 == 0)) for k, i in hits]
+    assert sorted(rows(spark, d, "canonical_positions")) == [(k, i) for k, s in reads.items() for i, c in enumerate(s) if c == "C"]
 
     def lifted(k, i, n):
         start = 100 + k % 50
         return None if i < 3 or 10 <= i < 12 or i >= n - 4 else start + i - 3 if i < 10 else start + i + 1
 
-    assert sorted(rows(spark, d, "cigar_lift_over_whole")) == [(k, i, lifted(k, i, len(s))) for k, s in reads.items() if len(s) >= 20 for i in range(len(s))]
+    assert sorted(rows(spark, d, "cigar_lift_over")) == [(k, i, lifted(k, i, len(s))) for k, s in reads.items() if len(s) >= 20 for i in range(len(s))]
     pile = Counter((f"s{k % 2}", k % 50 + i, c) for k, s in reads.items() for i, c in enumerate(s))
     want = {(c, p): [pile[c, p, b] for b in "ACGT"] for c, p, _ in pile}
-    assert {r[:2]: list(r[2:]) for r in rows(spark, d, "pileup_counts_whole")} == want
-    got = rows(spark, d, "replacement_base_whole")
+    assert {r[:2]: list(r[2:]) for r in rows(spark, d, "pileup_counts")} == want
+    got = rows(spark, d, "replacement_base")
     assert len(got) == len(want) and all(o == "ACGT"[p % 4] and new == min((n, b) for n, b in zip(want[c, p], "ACGT") if b != o)[1] for c, p, o, new in got)
 
 
@@ -56,18 +56,18 @@ def test_whole_modifications(spark, tables):
         if good:
             want += [(k, j, places[i], True, round(float(np.float32(q / 255)), 6)) for j, (i, q) in enumerate(zip(ix, (200, 100, k % 100)))]
             want += [(k, 3 + j, p, False, None) for j, p in enumerate(rest)]
-    assert sorted(rows(spark, d, "decode_modifications_whole"), key=repr) == sorted(want, key=repr)
-    assert sorted(rows(spark, d, "implicit_unmodified_whole")) == failed
+    assert sorted(rows(spark, d, "decode_modifications"), key=repr) == sorted(want, key=repr)
+    assert sorted(rows(spark, d, "implicit_unmodified")) == failed
 
 
 def test_whole_vectors(spark, tables):
     d, _, x = tables
     cells = np.array([[np.nan if (k * 7 + j * 3) % 10 == 0 else v for j, v in enumerate(r)] for k, r in enumerate(x)])
-    got = {r.row_ord: r.features for r in features_of(spark, d, None).collect()}
+    got = {r.row_ord: r.features for r in features_of(spark, d).collect()}
     assert all(np.allclose([np.nan if v is None else v for v in got[k]], cells[k], equal_nan=True) for k in range(40))
-    dense = sorted(rows(spark, d, "dense_columns_whole"))
+    dense = sorted(rows(spark, d, "dense_columns"))
     assert [r[0] for r in dense] == list(range(64)) and np.allclose([r[2] for r in dense], np.nanmean(cells, axis=0), atol=1e-6)
-    near = {r[:2]: r[2] for r in rows(spark, d, "nn_impute_whole")}
+    near = {r[:2]: r[2] for r in rows(spark, d, "nn_impute")}
     assert sorted(near) == [(int(k), int(j)) for k, j in np.argwhere(np.isnan(cells))]
     for (k, j), v in near.items():
         gaps = np.delete(cells - cells[k], j, axis=1)
@@ -75,10 +75,10 @@ def test_whole_vectors(spark, tables):
         far[np.isnan(cells[:, j])] = np.inf
         assert abs(v - cells[int(np.argmin(far)), j]) < 1e-6
     apart, label = np.sqrt(((x[:, None] - x) ** 2).sum(2)), np.arange(40) % 3
-    for k, s in rows(spark, d, "silhouette_given_labels_whole"):
+    for k, s in rows(spark, d, "silhouette_given_labels"):
         a, *b = [apart[k][(label == m) & (np.arange(40) != k)].mean() for m in [label[k], *({0, 1, 2} - {int(label[k])})]]
         assert abs(s - (min(b) - a) / max(a, min(b))) < 1e-5
-    centre = {r[:2]: r[3] for r in rows(spark, d, "cluster_centroids_whole")}
+    centre = {r[:2]: r[3] for r in rows(spark, d, "cluster_centroids")}
     assert len(centre) == 3 * 64 and all(abs(v - np.nanmean(cells[label == c, j])) < 1e-5 for (c, j), v in centre.items())
 
 
@@ -96,8 +96,8 @@ def test_whole_blocks(spark, tmp_path):
             if start <= b - 1 and max(start, blocks[k - 1][2] - k % 5) >= a:
                 at = (f"r{k % 60}", a, b - 1)
                 levels[at] = min(level, levels.get(at, level))
-    assert sorted(rows(spark, str(tmp_path), "hap_segments_whole")) == sorted(want) and max(w[2] for w in want) == 600
-    assert {r[:3]: r[3] for r in rows(spark, str(tmp_path), "hap_assign_whole")} == levels
+    assert sorted(rows(spark, str(tmp_path), "hap_segments")) == sorted(want) and max(w[2] for w in want) == 600
+    assert {r[:3]: r[3] for r in rows(spark, str(tmp_path), "hap_assign")} == levels
 
 
 def test_whole_calls(spark, tmp_path):
@@ -109,15 +109,15 @@ def test_whole_calls(spark, tmp_path):
         if e % 7:
             hits[user].add(kind)
         means.setdefault((user, kind), []).extend([float(np.float32(e * 37 % 256 / 255))] if e % 7 else [])
-    assert sorted(rows(spark, str(tmp_path), "motif_hits_combo_whole")) == [(u, "+".join(k for k in kinds if k in h) or "NONE") for u, h in sorted(hits.items())]
+    assert sorted(rows(spark, str(tmp_path), "motif_hits_combo")) == [(u, "+".join(k for k in kinds if k in h) or "NONE") for u, h in sorted(hits.items())]
     count = Counter((kind, "missing" if not v else "high" if sum(v) / len(v) >= 0.2 else "low") for (_, kind), v in means.items())
     of = Counter(kind for _, kind in means)
-    assert sorted(rows(spark, str(tmp_path), "contingency_fraction_whole")) == [(k, level, n, round(n / of[k], 6)) for (k, level), n in sorted(count.items())]
+    assert sorted(rows(spark, str(tmp_path), "contingency_fraction")) == [(k, level, n, round(n / of[k], 6)) for (k, level), n in sorted(count.items())]
 
 
 def test_fixed_point_ties(spark, tmp_path):
     spark.createDataFrame([(k, f'{{"k": {k}}}') for k in range(2600)], "event_id long, props string").write.parquet(f"{tmp_path}/events.parquet")
-    got = dict(rows(spark, str(tmp_path), "fixed_point_text_whole"))
+    got = dict(rows(spark, str(tmp_path), "fixed_point_text"))
     # binary fractions are ties and go to even; other decimals that look like ties are a little above or below
     assert (got[625], got[1875], got[1], got[3], got[2500]) == ("0.0312", "0.0938", "0.0001", "0.0001", "0.1250")
     assert got == {k: f"{k / 20000:.4f}" for k in range(2600)}
