@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, pick, plain
+from .common import WORD, Scratch, pick, plain
 
 
 @dataclass(frozen=True)
@@ -45,9 +45,9 @@ def mix(docs: DataFrame, rule: MixRule = MixRule()) -> DataFrame:
     return _assigned(docs, rule).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
-def _assigned(docs: DataFrame, rule: MixRule) -> DataFrame:
-    docs = pick(docs, "doc_id", "text", "source")
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def _assigned(docs: DataFrame, rule: MixRule, *more: str) -> DataFrame:
+    docs = pick(docs, "doc_id", "text", "source", *more)
+    sized = docs.select("doc_id", *more, "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     sized = sized.withColumn("place", key).withColumn("bucket", F.conv(F.substring("place", 1, 8), 16, 10).cast("long") % rule.buckets)
     # the bucket comes first in the order; it is a hash as well
@@ -68,7 +68,7 @@ def _assigned(docs: DataFrame, rule: MixRule) -> DataFrame:
     target, late = F.when(F.col("target") > 0, F.col("target")), F.col("late") * F.lit(float(rule.tilt))
     at = [F.when(F.col("passes") > k, _time(F.least(F.lit(1.0), (start + F.col("source_size") * F.lit(k)) / target), late)) for k in range(rule.repeat)]
     return rows.select(
-        "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size")).alias("taken"),
+        "doc_id", *more, "size", "source_size", "target", (F.col("passes") * F.col("size")).alias("taken"),
         at[0].alias("position"), F.filter(F.array(*at), lambda p: p.isNotNull()).alias("positions"),
     )
 
@@ -103,13 +103,22 @@ def _time(done: Column, tilt: Column) -> Column:
 
 
 def mixed_documents(docs: DataFrame, rule: MixRule = MixRule(), position: str | None = None) -> DataFrame:
-    """The documents of a mix in training order, each as often as it is taken, with the columns of ``docs``; those without doc_id are left out.
+    """The documents of a mix in training order, each as often as it is taken, with the columns of ``docs``.
 
-    ``position`` names a further column with the place of each in training.
+    ``position`` names a further column with the place of each in training. Rows are told apart by their id and a hash
+    of all columns, so rows without doc_id, and rows that share one, are taken each for itself; of equal rows each has
+    its passes. Null and empty texts have no words and aren't taken. An empty table gives no rows.
     """
-    taken = _assigned(docs, rule).where("taken > 0").select("doc_id", "positions").dropDuplicates(["doc_id"])
-    rows = plain(docs).withColumn("doc_id", F.col(f"c{docs.columns.index('doc_id')}")).join(taken, "doc_id")
-    rows = rows.withColumn("position", F.explode("positions"))
-    rows = rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = plain(docs).withColumn("row_hash", F.xxhash64(*names))
+    doc_id, text, source = (names[docs.columns.index(c)] for c in ("doc_id", "text", "source"))
+    slim = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"), "row_hash")
+    scratch = Scratch(docs.sparkSession, "mix")
+    taken = scratch.save(_assigned(slim, rule, "row_hash").where("taken > 0").select(F.col("doc_id").alias("id"), F.col("row_hash").alias("h"), "positions"), "taken")
+    if taken.groupBy("id", "h").count().where("count > 1").limit(1).count():
+        # of equal rows one is joined with the places of all
+        rows = rows.dropDuplicates([doc_id, "row_hash"])
+    rows = rows.join(taken, F.col(doc_id).eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("h"))).withColumn("position", F.explode("positions"))
+    rows = rows.repartitionByRange("position", doc_id).sortWithinPartitions("position", doc_id)
     more = [position] if position else []
-    return rows.select(*(f"c{k}" for k in range(len(docs.columns))), *(["position"] if more else [])).toDF(*docs.columns, *more)
+    return rows.select(*names, *(["position"] if more else [])).toDF(*docs.columns, *more)

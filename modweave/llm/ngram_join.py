@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, KeyBits, Scratch, WordHashes, as_long, mix64, ngram_hashes, numbers, pick, rows_as_bytes, sorted_groups
+from .common import KeyBits, Scratch, as_long, mix64, ngram_hashes, numbers, pick, sorted_groups
 from .components import connected_components
+from .words import byte_slices, find_words
 
 #: A signature that more classes than this share is set aside; see ``_scan_signatures``.
 HOT = 24
@@ -63,14 +64,18 @@ while _SIZES[-1] < 1 << 32:
     _SIZES.append(max(_SIZES[-1] + 1, _SIZES[-1] * 5 // 4))
 
 
-def shingle_set(text: bytes | None, words: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; fewer words than a shingle has make one, none make none."""
-    found = hashes.of((text or b"").translate(ASCII_LOWER).split())
-    if not len(found):
-        return found
-    grams = ngram_hashes(found, words) if len(found) >= words else ngram_hashes(found, len(found), seed=101 + len(found))
-    grams.sort()
-    return grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
+def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """For each text sorted distinct hashes of its shingles; fewer words than a shingle has make one, none make none."""
+    for part in byte_slices(texts, 4_000_000):
+        held = find_words(texts[part])
+        found = held.hashes(lower=True)
+        every = ngram_hashes(found, words)
+        for a, b in zip(held.first[:-1].tolist(), held.first[1:].tolist()):
+            if b - a < words:
+                yield ngram_hashes(found[a:b], b - a, seed=101 + b - a) if b > a else found[:0]
+                continue
+            grams = np.sort(every[a : b - words + 1])
+            yield grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
 
 
 def _class_of(grams: np.ndarray) -> int:
@@ -79,12 +84,11 @@ def _class_of(grams: np.ndarray) -> int:
 
 def _sizes(rule: JoinRule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, rule.words, hashes) for t in rows_as_bytes(batch, "text")]
+            told = [(len(s), _class_of(s) if len(s) else None) for s in shingle_sets(numbers(batch, "text"), rule.words)]
             yield pa.RecordBatch.from_arrays(
-                [numbers(batch, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64())],
-                ["doc_id", "n_shingles", "class"],
+                [numbers(batch, "doc_id"), numbers(batch, "text_hash"), pa.array([n for n, _ in told], pa.int64()), pa.array([c for _, c in told], pa.int64())],
+                ["doc_id", "text_hash", "n_shingles", "class"],
             )
 
     return run
@@ -107,13 +111,12 @@ def _signatures(rule: JoinRule):
             yield mix64(held * np.uint64(0x9E3779B97F4A7C15) + part[chosen] + np.uint64(level << 32)), cls, code if larger else -code
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         sent: set[int] = set()
         for batch in batches:
             found: list[tuple] = []
             rows = 0
-            for text in rows_as_bytes(batch, "text"):
-                if len(grams := shingle_set(text, rule.words, hashes)) and (cls := _class_of(grams)) not in sent:
+            for grams in shingle_sets(numbers(batch, "text"), rule.words):
+                if len(grams) and (cls := _class_of(grams)) not in sent:
                     # a class sends once from each task; what it sends again, the scan drops
                     if len(sent) >= SENT:
                         sent.clear()
@@ -346,15 +349,14 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, rule: Joi
 
 def _family_sets(rule: JoinRule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            classes = numbers(batch, "class").to_pylist()
-            sets = [shingle_set(t, rule.words, hashes) for t in rows_as_bytes(batch, "text")]
-            same = [i for i, (s, c) in enumerate(zip(sets, classes)) if len(s) and _class_of(s) == c]
-            for k in range(0, len(same), 500):
-                part = same[k : k + 500]
+            for rows in byte_slices(numbers(batch, "text"), 2_000_000):
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                classes = numbers(part, "class").to_pylist()
+                sets = list(shingle_sets(numbers(part, "text"), rule.words))
+                same = [i for i, (s, c) in enumerate(zip(sets, classes)) if len(s) and _class_of(s) == c]
                 yield pa.RecordBatch.from_arrays(
-                    [*(numbers(batch, c).take(pa.array(part)) for c in ("family", "blocks", "class")), pa.array([sets[i].tobytes() for i in part], pa.binary())],
+                    [*(numbers(part, c).take(pa.array(same, pa.int64())) for c in ("family", "blocks", "class")), pa.array([sets[i].tobytes() for i in same], pa.binary())],
                     ["family", "blocks", "class", "grams"],
                 )
 
@@ -385,7 +387,8 @@ def ngram_jaccard_join(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFram
     """Groups of documents whose shingle sets have a Jaccard similarity of ``num / den`` or more.
 
     ``docs`` needs ``doc_id`` (long) and ``text``; other columns are not read. Returns one row per input
-    row: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id that links reach.
+    row: ``doc_id``, ``n_shingles``, ``component_id``, the smallest doc_id that links reach, ``text_hash``
+    (xxhash64), which tells rows apart that share a doc_id, and ``group``, a number that linked rows share (null without words).
 
     Null, empty and blank texts have no shingles and stay alone. Rows that repeat a doc_id each count with
     their own text. A row with a null doc_id gets the component of rows with an equal set, or else null.
@@ -398,7 +401,8 @@ def ngram_jaccard_join(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFram
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = scratch.save(docs.mapInArrow(_sizes(rule), "doc_id long, n_shingles long, class long"), "rows")
+    rows = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sizes(rule), "doc_id long, text_hash long, n_shingles long, class long")
+    rows = scratch.save(rows, "rows")
     classes = scratch.save(
         rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")), "classes"
     )
@@ -430,7 +434,7 @@ def ngram_jaccard_join(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFram
     joined = connected_components(links, scratch, "component").select(F.col("node").alias("class"), "component")
     named = classes.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")).select("class", "component", "first_doc")
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    of_class = named.join(least, "component").select("class", "component_id")
+    of_class = named.join(least, "component").select("class", "component_id", "component")
     return rows.join(of_class, "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", F.col("component").alias("group")
     )

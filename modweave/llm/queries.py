@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ann import nearest
 from .common import table
@@ -21,7 +22,7 @@ from .toxicity import toxicity
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"), JoinRule(words=3, num=9, den=10))
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), JoinRule(words=3, num=9, den=10)).drop("text_hash", "group")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,13 +50,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the position of the first pass, as in its SQL."""
-    return mix(table(spark, sf_dir, "documents")).drop("positions")
-
-
-def op8_mix_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the positions of all passes."""
-    return mix(table(spark, sf_dir, "documents"))
+    """With the positions of the first and the last pass, in the place of the list of all."""
+    return mix(table(spark, sf_dir, "documents")).withColumn("last_position", F.try_element_at("positions", F.lit(-1))).drop("positions")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_join, op2_token_counts, op3_license_scan, op4_substring_dedup, op5_decontaminate, op6_token_store, op7_toxicity, op8_mix, op8_mix_passes, op9_nearest, op10_lm_score, pipeline)
+    own = (op1_ngram_join, op2_token_counts, op3_license_scan, op4_substring_dedup, op5_decontaminate, op6_token_store, op7_toxicity, op8_mix, op9_nearest, op10_lm_score, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -164,7 +160,9 @@ q as (
     + (case when size > 0 and start + size / 2.0::double + source_size < target then 1 else 0 end) as passes
   from p join t on p.source is not distinct from t.source)
 select doc_id, size, source_size, target, (passes * size)::bigint as taken,
-  case when passes > 0 then (sqrt((1.0::double - a) * (1.0::double - a) + 4.0::double * a * least(1.0::double, start / target)) - (1.0::double - a)) / (2.0::double * a) end as position
+  case when passes > 0 then (sqrt((1.0::double - a) * (1.0::double - a) + 4.0::double * a * least(1.0::double, start / target)) - (1.0::double - a)) / (2.0::double * a) end as position,
+  case when passes > 0 then (sqrt((1.0::double - a) * (1.0::double - a) + 4.0::double * a * least(1.0::double, (start + (passes - 1) * source_size) / target)) - (1.0::double - a))
+    / (2.0::double * a) end as last_position
 from q
 """
 

@@ -117,7 +117,7 @@ def test_license_scan(spark, none):
     assert license_scan(none).count() == 0
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
+@pytest.mark.parametrize("hot", [256, 3])
 def test_substring_dedup(spark, none, hot, monkeypatch):
     from modweave.llm import substring_dedup as S
 
