@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,32 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
+def small_batches(df: DataFrame) -> None:
+    """Lets 8 MB of a table go to Python at once where the session has Spark's default of 64 MB; texts may be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":
+        conf.set(key, "8m")
+
+
+@lru_cache(1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def releasing(run: Callable) -> Callable:
+    """A function over batches that gives its worker's unused memory back at a task's end; idle workers are kept."""
+
+    @wraps(run)
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return held
+
+
 class Scratch:
     """Parquet tables in the shared folder; they cut lineage and outlive a lost executor."""
 
@@ -91,6 +119,7 @@ class KeyBits:
         """The rows whose key may be one of the table's."""
         sent = self.sent
 
+        @releasing
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = sent.value
             for batch in batches:

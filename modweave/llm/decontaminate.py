@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbers, pick, rows_as_bytes
+from .common import Scratch, numbers, pick, releasing, rows_as_bytes, small_batches
 
 #: A-Z to a-z; every ASCII character but digits and letters to a blank; other bytes stay.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -100,6 +100,7 @@ def _chunks(texts: list) -> Iterator[slice]:
 
 
 def _frequency(vocabulary: dict[bytes, int]):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(len(vocabulary) + 1, np.int64)
         for batch in batches:
@@ -115,6 +116,7 @@ def _frequency(vocabulary: dict[bytes, int]):
 def _mark(windows: Windows, last: bool):
     """Adds the block's hits; the last block turns hits and items into the result columns."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = rows_as_bytes(batch, "text")
@@ -173,6 +175,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_b
     lie inside the document, and is compared word by word. A worker holds ``block_bytes`` of benchmark text at
     most: a larger benchmark is taken in blocks, each in a pass of its own that adds to the hits so far.
     """
+    small_batches(docs)
     docs, benchmark = pick(docs, "doc_id", "text"), pick(benchmark, "item_id", "text")
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, numbers, pick, sorted_groups
+from .common import Scratch, mix64, numbers, pick, releasing, small_batches, sorted_groups
 from .words import byte_slices, find_words
 
 #: Token hashes of a text's end and of what comes before its first word, and what tells kinds of keys apart.
@@ -159,6 +159,7 @@ def _keyed(rows: list[tuple]) -> pa.RecordBatch:
 def _count(rule: LmRule, deal: Deal):
     """Distinct words and pairs of each slice of texts with their counts, a row for each part that has some."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = numbers(batch, "text")
@@ -195,6 +196,7 @@ def _build(rule: LmRule, deal: Deal):
         row = {"part": part, "size": built.size, "top": built.top, "bits": built.bits.tobytes(), "words": raw, "counts": _pack(n.astype(np.uint64)), "tokens": int(n.sum()), "distinct": len(words)}
         return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("size", pa.int64()), ("top", pa.int32()), *((c, pa.binary()) for c in ("bits", "words", "counts")), ("tokens", pa.int64()), ("distinct", pa.int64())]))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
         for batch in batches:
@@ -226,6 +228,7 @@ class Model:
 def _ask(rule: LmRule, deal: Deal):
     """Distinct words and pairs of each slice of texts, a row for each part that has some."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for now, batch, part in _sliced(batches, rule):
             tokens, starts = _tokens(numbers(batch, "text")[part])
@@ -247,6 +250,7 @@ def _sliced(batches: Iterator[pa.RecordBatch], rule: LmRule) -> Iterator[tuple[i
 def _texts(rule: LmRule):
     """The texts with their slice, and columns for the answers."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for now, batch, part in _sliced(batches, rule):
             n = part.stop - part.start
@@ -260,6 +264,7 @@ def _texts(rule: LmRule):
 def _look_up(rule: LmRule, deal: Deal):
     """Levels of the keys sent to a part, and exact counts of words; rows sorted by part, the part's own first, without slice."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now, words, counts = None, None, np.empty(0, np.uint64), np.empty(0, np.uint64)
         for batch in batches:
@@ -302,6 +307,7 @@ def log_probabilities(tokens: np.ndarray, before: np.ndarray, levels: tuple[np.n
 def _score(sent):
     """The sums of each text, from slices of texts with the answers to their keys, sorted by slice, part and kind."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
         for group in sorted_groups(batches, ["slice"]):
@@ -371,6 +377,7 @@ def lm_score(docs: DataFrame, rule: LmRule = LmRule()) -> DataFrame:
     texts go to the parts, and levels, with the words' exact counts for the base, come back to the slice. ``docs`` is
     read several times and must give the same rows in the same order each time, as a table of files does.
     """
+    small_batches(docs)
     docs = pick(docs, "doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
     model = fit(docs.where(~held_out), rule, Scratch(docs.sparkSession, "lm"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyBits, Scratch, as_long, mix64, ngram_hashes, numbers, pick, sorted_groups
+from .common import KeyBits, Scratch, as_long, mix64, ngram_hashes, numbers, pick, releasing, small_batches, sorted_groups
 from .components import connected_components
 from .words import byte_slices, find_words
 
@@ -83,6 +83,7 @@ def _class_of(grams: np.ndarray) -> int:
 
 
 def _sizes(rule: JoinRule):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             told = [(len(s), _class_of(s) if len(s) else None) for s in shingle_sets(numbers(batch, "text"), rule.words)]
@@ -110,6 +111,7 @@ def _signatures(rule: JoinRule):
             code = level << 8 | need
             yield mix64(held * np.uint64(0x9E3779B97F4A7C15) + part[chosen] + np.uint64(level << 32)), cls, code if larger else -code
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
@@ -175,6 +177,7 @@ def _scan_signatures(rule: JoinRule):
                         [pa.nulls(len(a), pa.int64()), pa.array(node[a]), pa.array(node[b]), pa.array(np.abs(code[a]) >> 8), pa.nulls(len(a), pa.bool_()), pa.array(need)], names
                     )
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
         streamed: int | None = None
@@ -348,6 +351,7 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, rule: Joi
 
 
 def _family_sets(rule: JoinRule):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in byte_slices(numbers(batch, "text"), 2_000_000):
@@ -364,6 +368,7 @@ def _family_sets(rule: JoinRule):
 
 
 def _join_blocks(rule: JoinRule):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["family", "i", "j"]):
             classes, block = group["class"].to_numpy(), group["block"].to_numpy()
@@ -400,6 +405,7 @@ def ngram_jaccard_join(docs: DataFrame, rule: JoinRule = JoinRule()) -> DataFram
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
+    small_batches(docs)
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sizes(rule), "doc_id long, text_hash long, n_shingles long, class long")
     rows = scratch.save(rows, "rows")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_long, mix64, ngram_hashes, numbers, pick, rows_as_bytes
+from .common import Scratch, as_long, mix64, ngram_hashes, numbers, pick, releasing, rows_as_bytes, small_batches
 from .words import byte_slices, distinct, find_words, ranges
 
 #: Words of an anchor.
@@ -65,6 +65,7 @@ class Windows:
 
 
 def _first_pass(size: int):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(numbers(batch, "text"), _TEXT):
@@ -98,6 +99,7 @@ def _segments(size: int):
     Equal segments of a document are one row with all their starts.
     """
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(numbers(batch, "text"), _TEXT):
@@ -236,6 +238,7 @@ def _subtrees(size: int):
             told = [digests[k] for k in np.repeat(number, n).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(begin), pa.array(end), pa.array(told, pa.binary()), pa.array(np.repeat(own[still], n))], _REPEAT)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -259,6 +262,7 @@ def _subtrees(size: int):
 def _cut(size: int):
     """What is left of each class's words, and which runs of them go."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(numbers(batch, "text"), _TEXT):
@@ -303,6 +307,7 @@ def substring_dedup(docs: DataFrame, size: int = 50) -> DataFrame:
     its smallest document of every node, and the smallest of those settles the rest.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring-dedup")
+    small_batches(docs)
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = scratch.save(docs.mapInArrow(_first_pass(size), "doc_id long, n_words long, class long, whole string, anchors array<long>"), "rows")
     classes = rows.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))

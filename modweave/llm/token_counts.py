@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import numbers, pick, rows_as_bytes
+from .common import numbers, pick, releasing, rows_as_bytes, small_batches
 
 #: How the byte-level models split a text; White_Space is what their libraries take as \s.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -89,6 +89,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """
     proven = whole_tokens(path)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _counter(path, proven)
         for batch in batches:
@@ -99,5 +100,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
+    small_batches(docs)
     docs = pick(docs, "doc_id", "text")
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import ASCII_LOWER, MASK64, mix64, numbers, pick, shared_folder
+from .common import ASCII_LOWER, MASK64, mix64, numbers, pick, releasing, shared_folder, small_batches
 from .token_counts import byte_letters
 from .words import Words, byte_slices, distinct, find_words, ranges
 
@@ -201,7 +201,7 @@ class WordIds:
     The model drops white space and never looks across it, so a text's ids are those of its words in a row.
     """
 
-    LIMIT = 1_500_000
+    LIMIT = 800_000
 
     def __init__(self, kind: str):
         self.kind = kind
@@ -311,6 +311,7 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int, position:
     """
     kind = id_kind(path, end_id)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, apart, out, uri = _tokenizer(path), _known(path, kind), by_words(path), None, ""
         for batch in batches:
@@ -341,6 +342,7 @@ def read_store(spark, shards: list[dict]) -> DataFrame:
         rows.append((s["uri"], base))
         base += s["ids"]
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, first_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -398,5 +400,6 @@ def token_store(docs: DataFrame, path: str, end_id: int, folder: str | None = No
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    small_batches(docs)
     docs = pick(docs, "doc_id", "text", *([position] if position else [])).withColumn("doc_id", F.col("doc_id").cast("long"))
     return read_store(spark, write_store(docs, folder, path, end_id, position))
