@@ -93,17 +93,20 @@ select s.doc_id, len(s.ss)::bigint as n_shingles, min(r.c) as component_id from
 _OP3 = f"""
 with t(name, words) as (values {", ".join(f"('{k}', regexp_extract_all(translate('{v}', '{_UPPER}', '{_LOWER}'), '[a-z0-9]+'))" for k, v in sorted(TEMPLATES.items()))}),
 tg as (select name, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) as g from t),
+b0 as (select doc_id, replace(replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), chr(13) || chr(10), chr(10)), chr(13), chr(10)) as x from documents),
+b1 as (select doc_id, unnest(regexp_split_to_array(x, '\\n[ \\t]*\\n\\s*')) as line from b0),
 l as (
-  select doc_id, unnest(string_split(translate(coalesce(text, ''), '{_UPPER}' || chr(13), '{_LOWER}' || chr(10)), chr(10))) as line from documents),
-w as (select doc_id, row_number() over () as k, regexp_extract_all(line, '[a-z0-9]+') as ws from l),
+  select doc_id, false as wrapped, unnest(string_split(x, chr(10))) as line from b0
+  union all select doc_id, true, line from b1 where len(list_filter(string_split(line, chr(10)), lambda y: regexp_matches(y, '[a-z0-9]'))) > 1),
+w as (select doc_id, wrapped, row_number() over () as k, regexp_extract_all(line, '[a-z0-9]+') as ws from l),
 g as (
-  select doc_id, k, list_distinct(case when len(ws) < 2 then [] else list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) end) as g from w where len(ws) > 0),
+  select doc_id, wrapped, k, list_distinct(case when len(ws) < 2 then [] else list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) end) as g from w where len(ws) > 0),
 d as (
-  select g.doc_id, g.k, tg.name, len(list_intersect(g.g, tg.g)) * 2.0::double / (len(g.g) + len(tg.g)) as dice from g join tg on true where len(g.g) > 0),
-b as (select doc_id, k, min({{'d': -dice, 'name': name}}) as m from d where dice >= 0.8 group by doc_id, k),
-n as (select doc_id, count(*) as n from g group by doc_id),
-h as (select doc_id, count(*) as n, min(m) as m from b group by doc_id)
-select documents.doc_id, coalesce(n.n, 0)::bigint as n_lines, coalesce(h.n, 0)::bigint as n_license_lines, h.m.name as license, -h.m.d as dice
+  select g.doc_id, g.wrapped, g.k, tg.name, len(list_intersect(g.g, tg.g)) * 2.0::double / (len(g.g) + len(tg.g)) as dice from g join tg on len(g.g) > 0 and len(g.g) * 4 <= len(tg.g) * 6 + 4 and len(tg.g) * 4 <= len(g.g) * 6 + 4),
+b as (select doc_id, wrapped, k, min({{'d': -dice, 'name': name}}) as m from d where dice >= 0.8 group by doc_id, wrapped, k),
+n as (select doc_id, count(*) filter (not wrapped) as n from g group by doc_id),
+h as (select doc_id, count(*) filter (not wrapped) as n, count(*) filter (wrapped) as blocks, min(m) as m from b group by doc_id)
+select documents.doc_id, coalesce(n.n, 0)::bigint as n_lines, coalesce(h.n, 0)::bigint as n_license_lines, coalesce(h.blocks, 0)::bigint as n_license_blocks, h.m.name as license, -h.m.d as dice
 from documents left join n on documents.doc_id = n.doc_id left join h on documents.doc_id = h.doc_id
 """
 

@@ -117,6 +117,47 @@ def test_license_scan(spark, none):
     assert license_scan(none).count() == 0
 
 
+def test_license_scan_matches_plain_comparison(spark):
+    """Exact bounds, ties, wrapped notices, long texts, clashing columns and nulls against every part compared with every template."""
+    from modweave.llm.license_scan import TEMPLATES, template_words
+
+    rng = random.Random(9)
+    grams = lambda words: {(a, b) for a, b in zip(words, words[1:])}
+    small = {"x": "a b c d e f g", "same-1": "one two three four", "same-0": "one two three four", "one": "word", "ab": "a b a b a"}
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    texts = ["c d e f g", "a b c d e", "b c d e", "a b c d e f g h i j", "One, TWO three-four!", "a b a", None, "", "word", "\r\n \n", "x\r\rone two\r\nthree four\r\n\r\nend"]
+    texts += [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    texts += [f"head\n\n{wrap(t, 9)}\n\t\n{wrap(t, 12).upper()} more" for t in TEMPLATES.values()] + [wrap(" ".join(f"w{k}" for k in range(20_000)), 30) + "\n" + TEMPLATES["ISC"]]
+    rows = [(k, t, "y", 1) for k, t in enumerate(texts)] + [(None, "c d e f g", "y", 1), (0, texts[0], "y", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, TEXT string, dice int")
+    for templates in (small, TEMPLATES):
+        held = {n: grams(template_words(t)) for n, t in templates.items()}
+        got = sorted((str(r.doc_id), r.n_lines, r.n_license_lines, r.n_license_blocks, r.license, r.dice and round(r.dice, 9)) for r in license_scan(df, templates).collect())
+        want = []
+        for d, t, *_ in rows:
+            plain = (t or "").replace("\r\n", "\n").replace("\r", "\n")
+            lines = [x for x in plain.split("\n") if template_words(x)]
+            blocks, now = [], []
+            for x in [*plain.split("\n"), ""]:
+                if x.strip(" \t"):
+                    now.append(x)
+                else:
+                    blocks += [now] if sum(bool(template_words(y)) for y in now) > 1 else []
+                    now = []
+            found = []
+            for part in (lines, [" ".join(b) for b in blocks]):
+                best = []
+                for x in part:
+                    g = grams(template_words(x))
+                    some = [(-2 * len(g & h) / (len(g) + len(h)), n) for n, h in held.items() if g and h and 10 * len(g & h) >= 4 * (len(g) + len(h))]
+                    best += [min(some)] if some else []
+                found.append(best)
+            top = min(found[0] + found[1], default=(None, None))
+            want.append((str(d), len(lines), len(found[0]), len(found[1]), top[1], top[0] and round(-top[0], 9)))
+        assert got == sorted(want, key=lambda w: w[:4]) or got == sorted(want)
+    assert sum(w[3] for w in want) > len(TEMPLATES)
+
+
 @pytest.mark.parametrize("hot", [256, 3])
 def test_substring_dedup(spark, none, hot, monkeypatch):
     from modweave.llm import substring_dedup as S
@@ -351,12 +392,38 @@ def test_hilbert_and_nearest(spark):
         want = sorted((k for k in range(300) if k != q), key=lambda k: (-s[k], k))[:20]
         assert [k for k, _ in got[q]] == want and np.allclose([v for _, v in got[q]], s[want])
     assert sorted(got) == list(range(0, 300, 20))
-    near = nearest(df).collect()
+    near = nearest(df, rule=CurveRule(block=32)).collect()
     assert np.mean([r.vec_id in dict(got[r.query_id]) for r in near]) >= 0.9
     few = nearest(df.where("vec_id < 5")).collect()
     assert [(r.query_id, r.rank) for r in few] == [(0, k) for k in range(1, 5)] and nearest(df.where("false")).count() == 0
 
 
+def test_reach_follows_from_the_data(spark):
+    """Where neighbours lie together a query meets few rows, at the recall asked for."""
+    from modweave.llm import ann
+
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(60, 24))
+    x = (centres[rng.integers(0, 60, 3000)] + 0.05 * rng.normal(size=(3000, 24))).astype(np.float32)
+    y = x.astype(np.float64)
+    df = spark.createDataFrame([(k, v.tolist(), 1.5) for k, v in enumerate(x)], "vec_id long, embedding array<float>, score double").repartition(4)
+    seen = []
+    was = ann.measured_reach
+    ann.measured_reach = lambda *a: seen.append(was(*a)) or seen[-1]
+    try:
+        got: dict = {}
+        for r in nearest(df, rule=CurveRule(block=128)).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+    finally:
+        ann.measured_reach = was
+    hits = []
+    for q in range(0, 3000, 20):
+        s = y @ y[q]
+        s[q] = -np.inf
+        hits.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.93 and seen[0] * 2 < 0.2 * 3000
+
+
 def held(d):
     return d is not None and zlib.crc32(str(d).encode()) % 10 == 0
 
