@@ -7,24 +7,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_long, numbers, pick
+from .common import Scratch, as_long, numbers, pick, releasing, small_batches
 from .hilbert import hilbert_key
 
 
 @dataclass(frozen=True)
 class CurveRule:
-    """``curves`` orderings of ``axes`` random directions, ``bits`` a direction; a query meets the rows within
-    ``reach`` (a fraction of all distinct vectors) of its place on each curve. ``sample`` rows set the ranges.
+    """``curves`` orderings of ``axes`` random directions, ``bits`` a direction. ``sample`` rows set the ranges.
+
+    A query meets the rows within ``reach`` (a fraction of all distinct vectors) of its place on each curve. Without one
+    given it is what brings the share ``recall`` of the true neighbours of ``probes`` queries, which are compared with
+    all vectors, into reach on some curve.
     """
 
-    curves: int = 8
-    axes: int = 4
-    bits: int = 12
-    reach: float = 0.1
-    block: int = 32_768
+    curves: int = 16
+    axes: int = 16
+    bits: int = 3
+    reach: float | None = None
+    recall: float = 0.95
+    probes: int = 96
+    block: int = 2_048
     sample: int = 4_000
     seed: int = 3
 
@@ -64,6 +69,7 @@ class Curves:
 
 
 def _keys(curves: Curves):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, x = _matrix(numbers(batch, "embedding"))
@@ -80,6 +86,7 @@ def _keys(curves: Curves):
 def _search(top: int, asked: int):
     """Exact scores of a block's rows against the queries dealt to it, from rows sorted by (curve, block, asking)."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, ids, owner, flat = None, [], [], None, None
         for batch in batches:
@@ -93,7 +100,8 @@ def _search(top: int, asked: int):
                 part = batch.slice(a, b - a)
                 if place[a] != now:
                     now, held, ids, flat = place[a], [], [], None
-                vectors = np.array(numbers(part, "embedding").to_pylist(), np.float64)
+                held_vectors = numbers(part, "embedding")
+                vectors = held_vectors.flatten().to_numpy().astype(np.float64).reshape(len(held_vectors), -1)
                 if not asking[a]:
                     held.append(vectors)
                     ids.append(numbers(part, "ids"))
@@ -121,6 +129,46 @@ def _search(top: int, asked: int):
     return run
 
 
+def _best(queries: np.ndarray, top: int):
+    """Each task's ``top`` rows of largest inner product for every query: its number, the row's first id, the score."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.empty(0, np.int64), np.empty(0)) for _ in queries]
+        for batch in batches:
+            rows, x = _matrix(numbers(batch, "embedding"))
+            ids = numbers(batch, "first_id").to_numpy()[rows]
+            for k, scores in enumerate(queries @ x.T):
+                few = np.argpartition(-scores, top - 1)[:top] if len(scores) > top else np.arange(len(scores))
+                i, s = np.append(held[k][0], ids[few]), np.append(held[k][1], scores[few])
+                order = np.lexsort((i, -s))[:top]
+                held[k] = i[order], s[order]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(len(held)), [len(i) for i, _ in held])), pa.array(np.concatenate([i for i, _ in held])), pa.array(np.concatenate([s for _, s in held]))],
+            ["query", "first_id", "score"],
+        )
+
+    return run
+
+
+def measured_reach(points: DataFrame, ranked: DataFrame, top: int, rule: CurveRule) -> int:
+    """The least distance on the curves that brings ``rule.recall`` of some queries' true neighbours into reach."""
+    first_id = F.element_at("ids", 1).alias("first_id")
+    asked = points.where("asks").select(first_id, "embedding").orderBy(F.xxhash64("first_id"), "first_id").limit(rule.probes).collect()
+    if not asked:
+        return 0
+    found = points.select(first_id, "embedding").mapInArrow(_best(np.array([r[1] for r in asked], np.float64), top + 1), "query long, first_id long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "first_id")
+    near = found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top + 1).select("query", "first_id").collect()
+    pairs = [(asked[q][0], i) for q, i in near if i != asked[q][0]]
+    wanted = sorted({i for p in pairs for i in p})
+    places: dict[int, dict[int, int]] = {}
+    for curve, i, place in ranked.select("curve", first_id, "place").where(F.col("first_id").isin(wanted)).collect():
+        places.setdefault(i, {})[curve] = place
+    far = [min(abs(places[a][c] - places[b][c]) for c in places[a]) for a, b in pairs]
+    return int(np.quantile(far, rule.recall, method="higher")) if far else 0
+
+
 def nearest(vectors: DataFrame, every: int = 20, top: int = 20, rule: CurveRule = CurveRule()) -> DataFrame:
     """The ``top`` rows of largest inner product found for each row whose vec_id is divisible by ``every``.
 
@@ -134,14 +182,20 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, rule: CurveRule
 
     Equal vectors are one point with their ``top + 1`` smallest ids, more can't be found; their queries are
     answered once. Every point is indexed on every curve, range-sorted by key and cut into blocks by rank. A
-    query goes to the blocks within its reach, where scores are computed on the original vectors.
+    query goes to the blocks within its reach, where scores are computed on the original vectors. How far that is
+    follows from the data (see ``CurveRule``): a few rows where neighbours lie together, a large part of all where vectors
+    point every way alike.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "nearest")
     shape = "query_id long, rank int, vec_id long, score double"
-    rows = pick(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    small_batches(vectors)
+    vectors = pick(vectors, "vec_id", "embedding")
+    # single precision stays as it is; scores are computed in double precision
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     rows = rows.where("vec_id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x != 0)")
     # -0.0 and 0.0 are one number
-    rows = rows.select("vec_id", F.transform("embedding", lambda x: x + F.lit(0.0)).alias("embedding"))
+    rows = rows.select("vec_id", F.transform("embedding", lambda x: x + F.lit(0).cast(kind[6:-1])).alias("embedding"))
     rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     width = rows.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()
     if width is None:
@@ -154,8 +208,8 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, rule: CurveRule
     points = points.groupBy("embedding").agg(smallest(F.flatten(F.collect_list("ids"))).alias("ids"), F.max("asks").alias("asks"))
     points = scratch.save(points, "points")
     sample = points.orderBy(F.xxhash64(F.element_at("ids", 1))).limit(rule.sample).select("embedding").collect()
-    curves = Curves(np.array([r[0] for r in sample]), rule)
-    keyed = points.mapInArrow(_keys(curves), "curve int, key long, ids array<long>, embedding array<double>, asks boolean")
+    curves = Curves(np.array([r[0] for r in sample], np.float64), rule)
+    keyed = points.mapInArrow(_keys(curves), f"curve int, key long, ids array<long>, embedding {kind}, asks boolean")
     ordered = scratch.save(
         keyed.repartitionByRange("curve", "key", F.element_at("ids", 1)).sortWithinPartitions("curve", "key").withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), "ordered"
     )
@@ -169,7 +223,7 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, rule: CurveRule
     offsets = spark.createDataFrame(ahead, "curve int, part int, lift long")
     ranked = ordered.join(offsets, ["curve", "part"]).withColumn("place", F.col("seq") + F.col("lift"))
     block = lambda c: F.floor(c / rule.block).cast("long")
-    near = max(top + 1, int(rule.reach * count))
+    near = max(top + 1, int(rule.reach * count) if rule.reach is not None else measured_reach(points, ranked, top, rule) if count > rule.block else count)
     first_id = F.element_at("ids", 1).alias("first_id")
     base = ranked.select("curve", block(F.col("place")).alias("block"), F.lit(False).alias("asking"), first_id, "ids", "embedding")
     asked = ranked.where("asks").select(
@@ -178,13 +232,13 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, rule: CurveRule
     )
     met = base.unionByName(asked).repartition("curve", "block").sortWithinPartitions("curve", "block", "asking")
     answers = met.mapInArrow(_search(top + 1, every), "first_id long, near array<long>, scores array<double>")
-    merged = answers.groupBy("first_id").agg(F.collect_set(F.arrays_zip(F.transform("scores", lambda s: -s).alias("d"), F.col("near").alias("id"))).alias("x"))
-    best = merged.select("first_id", F.array_sort(F.array_distinct(F.flatten("x"))).alias("x"))
     # one inner product may differ in its last bit between blocks; an id counts once, with its best score
-    best = best.select("first_id", F.filter("x", lambda e, k: ~F.array_contains(F.transform(F.slice("x", F.lit(1), k), lambda y: y["id"]), e["id"])).alias("x"))
+    found = answers.select("first_id", F.explode(F.arrays_zip("near", "scores")).alias("e")).groupBy("first_id", F.col("e.near").alias("id")).agg(F.max("e.scores").alias("score"))
+    order = Window.partitionBy("first_id").orderBy(F.desc("score"), "id")
+    best = found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top + 1)
     asks = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
     asks = asks.join(points.where("asks").select("embedding", first_id), "embedding").select("query_id", "first_id")
-    own = asks.join(best, "first_id").select("query_id", F.slice(F.filter("x", lambda e: e["id"] != F.col("query_id")), 1, top).alias("x"))
-    return own.select("query_id", F.posexplode("x").alias("k", "e")).select(
-        "query_id", (F.col("k") + 1).cast("int").alias("rank"), F.col("e.id").alias("vec_id"), (-F.col("e.d")).alias("score")
-    )
+    own = asks.join(best, "first_id").where("id != query_id")
+    # without itself the ranks move up
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("k"))
+    return own.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
