@@ -212,8 +212,11 @@ def pseudo_category(rows: DataFrame, classes: int) -> tuple[DataFrame, list[int]
     return rows.withColumn("cats", F.array((F.col("row_ord") % levels).cast("int"))), [levels]
 
 
-def select_best(rows: DataFrame, lowest: int, highest: int, levels: list[int], n_meth: int, criterion: str = "icl", multiplier: float = 2.0, folds: int = 5, least_weight: float = 0.0, **how) -> tuple[int, Fit, list[tuple[int, float]]]:
-    """The class count of least score, the first of equals, with its fit and all scores. Counts are those asked for."""
+def select_best(rows: DataFrame, lowest: int, highest: int, levels: list[int], n_meth: int, criterion: str = "icl", multiplier: float = 2.0, folds: int = 5, least_weight: float = 0.0, each=None, **how) -> tuple[int, Fit, list[tuple[int, float]]]:
+    """The class count of least score, the first of equals, with its fit and all scores. Counts are those asked for.
+
+    ``each`` is called with every count, its fit, its score and the levels it was fitted with.
+    """
     best, scores = None, []
     for c in range(lowest, highest + 1):
         data, own = (rows, levels) if levels else pseudo_category(rows, c)
@@ -225,6 +228,8 @@ def select_best(rows: DataFrame, lowest: int, highest: int, levels: list[int], n
         else:
             s = score(fitted.ll, data.count(), parameter_count(c, own, n_meth), entropy(fitted.responsibilities), criterion, multiplier)
         scores.append((c, s))
+        if each is not None:
+            each(c, fitted, s, own)
         if best is None or s < best[0]:
             best = (s, c, fitted)
     return best[1], best[2], scores

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.mods import decode_reads
-from ..functions.motifs import Motif, occurrences, safe_label
+from ..functions.motifs import Motif, occurrences, parse_motif, safe_label
 from ..operators import calls as C
 from ..operators import clustering as K
 from ..operators import haplotypes as H
@@ -90,8 +90,11 @@ def block_table(reads: DataFrame, motifs: list[Motif], size: int = 1000, thresho
     )
 
 
-def impute_bam(spark: SparkSession, path: str, output: str, motifs: list[Motif] | None = None, threshold: float = 0.8, contigs: list[str] | None = None) -> DataFrame:
-    """Writes the rewritten reads as BAM in their order and returns the changes. Bases are counted over the whole file."""
+def impute_bam(spark: SparkSession, path: str, output: str, motifs: list[Motif] | None = None, threshold: float = 0.8, contigs: list[str] | None = None, summary: str | None = None) -> DataFrame:
+    """Writes the rewritten reads as BAM in their order and returns the changes. Bases are counted over the whole file.
+
+    The changes are a table as well, at ``summary`` or beside the output.
+    """
     records = read_bam(spark, path)
     reads = decode_reads(records)
     allowed = None
@@ -104,9 +107,28 @@ def impute_bam(spark: SparkSession, path: str, output: str, motifs: list[Motif]
     text, header = BamStream(path).header()
     names = [c.split()[0] for c in "read_ord name flag contig start mapq cigar seq qual mm ml".split()]
     write_bam(output, header, (tuple(r[n] for n in names) for r in rows.toLocalIterator()), text)
+    told = changes.orderBy("contig", "reference_pos", "read_id").select("contig", "reference_pos", "read_id", "old_base", "new_base", T.fixed(F.col("probability").cast("double")).alias("probability"))
+    T.write_tsv(told, summary or os.path.splitext(output)[0] + ".summary.tsv")
     return changes
 
 
+def write_longitudinal(states: DataFrame, motifs: list[Motif], size: int, folder: str) -> None:
+    """A row for each block and pattern, the commonest pattern first, with the block's sites and statistics."""
+    names = F.array(*(F.lit(m.raw) for m in motifs))
+    sites = states.groupBy("contig", "block").agg(F.array_sort(F.collect_set(F.struct("ref_position", "motif_idx"))).alias("s"))
+    shown = F.array_join(F.transform("s", lambda x: F.concat(x["ref_position"].cast("string"), F.lit(":"), F.element_at(names, x["motif_idx"] + 1))), ",")
+    rows = C.longitudinal(states).join(sites.select("contig", "block", shown.alias("site_positions")), ["contig", "block"])
+    known = F.col("total_reads")  # every read of a block has a state in it
+    T.write_tsv(
+        rows.orderBy("contig", "block", "pattern_rank").select(
+            "contig", (F.col("block") * size).alias("block_start"), ((F.col("block") + 1) * size).alias("block_end"), F.col("n_sites").alias("site_count"), "pattern",
+            F.col("n").alias("read_count"), "site_positions", "total_reads", known.alias("informative_reads"), (F.col("total_reads") - known).alias("uninformative_reads"),
+            F.col("fully_methylated").alias("fully_methylated_reads"), F.col("fully_unmethylated").alias("fully_unmethylated_reads"), F.col("mixed").alias("mixed_reads"),
+            T.fixed(F.col("mean_fraction")).alias("mean_methylation"), T.fixed(F.col("variance")).alias("methylation_variance"), T.fixed(F.col("polarization")).alias("polarization"),
+        ), f"{folder}/longitudinal.tsv",
+    )
+
+
 @dataclass
 class Split:
     extraction: Extraction
@@ -151,54 +173,148 @@ def write_split(s: Split, folder: str, reads: DataFrame, bam: str | None = None,
             write_bam(f"{folder}/cluster_bam/{cluster}.bam", header, (tuple(r[n] for n in names) for r in own.toLocalIterator()), text)
 
 
-def run_bins(bins: list[T.Bin], work) -> None:
-    """The same work for each bin; a contig of two bins is read for both."""
-    for b in bins:
-        work(b)
-
-
-def phase_variants(spark: SparkSession, bam: str, motifs: list[Motif], folder: str, haplotypes: str | None, lowest: int = 1, highest: int = 10, criterion: str = "icl", multiplier: float = 2.0, folds: int = 5, least_weight: float = 0.0, **how) -> dict:
-    """Clusters the reads, merges their features with haplotype segments, and fits and selects latent classes."""
-    reads = load_reads(spark, bam).persist()
+def contigs_to_run(b: T.Bin | None, asked: list[str]) -> list[str] | None:
+    """The contigs of a run: a bin's own, or those of it that are asked for; None where there are none, and then nothing runs."""
+    if b is None:
+        return list(asked)
+    found = [c for c in asked if c in b.contigs] if asked else list(b.contigs)
+    return found or None
+
+
+def bin_path(path: str, b: T.Bin | None, folder: bool) -> str:
+    """A bin's place for an output: a folder below a folder; a file's name gets the bin's name before its ending."""
+    if b is None:
+        return path
+    if folder:
+        return os.path.join(path, b.safe_name)
+    parent, name = os.path.split(path)
+    stem, dot, ending = name.rpartition(".")
+    if not dot:
+        return os.path.join(parent, f"{name}.{b.safe_name}" if name else b.safe_name)
+    return os.path.join(parent, f"{stem}.{b.safe_name}.{ending}" if stem else f"{b.safe_name}.{ending}")
+
+
+def load_motifs(given: list[str], path: str | None, b: T.Bin | None = None) -> list[Motif]:
+    """Motifs as given, then those of the file; of a file with bins only the bin's rows, by its name or the safe one."""
+    motifs = [parse_motif(x) for x in given]
+    if path:
+        motifs += T.read_motif_file(path, None if b is None else {b.name, b.safe_name})
+    if not motifs:
+        raise ValueError("no motifs provided; use --motif or --motif-file")
+    return motifs
+
+
+def run_bins(bins: str | None, asked: list[str], work) -> list[str]:
+    """Calls ``work`` with each bin (None without bins) and its contigs; a contig of two bins is read for both. Returns the bins left out."""
+    left = []
+    for b in T.read_bins(bins) if bins else [None]:
+        contigs = contigs_to_run(b, asked)
+        if contigs is None:
+            left.append(b.name)
+        else:
+            work(b, contigs)
+    return left
+
+
+def mod_errors(reads: DataFrame, shown: int = 5) -> tuple[int, list[str]]:
+    """How many reads have tags that can't be parsed, and what is wrong with the first of them."""
+    bad = reads.where("mod_error is not null")
+    return bad.count(), [f"{r['read_id']}: {r['mod_error']}" for r in bad.orderBy("read_ord").limit(shown).select("read_id", "mod_error").collect()]
+
+
+def phase_variants(spark: SparkSession, bam: str, motifs: list[Motif], folder: str, haplotypes: str | None, lowest: int = 1, highest: int = 10, criterion: str = "icl", multiplier: float = 2.0, folds: int = 5, least_weight: float = 0.0, fallback: str | None = None, sep: str = "\t", **how) -> dict:
+    """Clusters the reads, merges their features with haplotype segments, and fits and selects latent classes.
+
+    Every class count's model and responsibilities go to ``fits``; the best ones, the assignments, the data as fitted and
+    imputed, and a summary beside it. Without haplotype categories a pseudo category stands in.
+    """
+    if lowest < 1 or highest < lowest:
+        raise ValueError("class counts must be 1 or more, the least not above the most")
+    reads = load_reads(spark, bam, fallback=fallback).persist()
     split = split_reads(reads, motifs)
     write_split(split, f"{folder}/split_reads", reads, bam if bam.lower().endswith(".bam") else None)
     # features are taken as written, with four decimals
     features = split.raw.select(F.col("read_id").alias("id"), F.transform("features", lambda v: F.bround(v, 4)).alias("meth"))
-    if haplotypes:
-        blocks, entries = T.read_haplotypes(haplotypes)
-        b = spark.createDataFrame(blocks, "block_ord int, hap int, snp_start long, snp_end long")
-        e = spark.createDataFrame(entries, "block_ord int, entry_ord int, id string, start long, end long")
-        covering = H.covering_blocks(b)
-        named = covering.groupBy("seg_start", "seg_end").agg(F.max("n_levels").alias("n")).orderBy("seg_start").collect()
-        haps, levels, names = H.hap_dataset(e, covering), [int(r["n"]) for r in named], [f"hap_{r[0]}_{r[1]}" for r in named]
-    else:
-        haps, levels, names = spark.createDataFrame([], "row_ord long, id string, cats array<int>"), [], []
+    haps, levels, names, labels = typing_categories(spark, haplotypes) if haplotypes else (spark.createDataFrame([], "row_ord long, id string, cats array<int>"), [], [], [])
     data = H.outer_merge(haps, features, len(levels), len(split.kept)).persist()
-    best, fitted, scores = L.select_best(data, lowest, highest, levels, len(split.kept), criterion, multiplier, folds, least_weight, **how)
-    os.makedirs(folder, exist_ok=True)
-    with open(f"{folder}/model.json", "w", encoding="utf-8") as f:
-        f.write(fitted.params.to_json())
-    resp = fitted.responsibilities
-    T.write_tsv(resp.orderBy("row_ord").select("id", *(T.fixed(F.col("resp")[c], 6).alias(f"class_{c}") for c in range(fitted.params.classes))), f"{folder}/responsibilities.tsv")
+    os.makedirs(f"{folder}/fits", exist_ok=True)
+    fits: list[dict] = []
+
+    def keep(c: int, fitted: L.Fit, score: float, own: list[int]) -> None:
+        model, resp = f"model_C{c}.json", f"responsibilities_C{c}.tsv"
+        write_model(f"{folder}/fits/{model}", fitted.params, names or ["pseudo_hap"], own, split.kept)
+        write_responsibilities(fitted.responsibilities, fitted.params.classes, f"{folder}/fits/{resp}")
+        fits.append({"classes": c, "log_likelihood": fitted.ll, "score": score, "model_path": model, "responsibilities_path": resp})
+
+    best, fitted, scores = L.select_best(data, lowest, highest, levels, len(split.kept), criterion, multiplier, folds, least_weight, each=keep, **how)
+    if not levels:
+        data, levels = L.pseudo_category(data, best)
+        names = ["pseudo_hap"]
+    write_model(f"{folder}/best_model.json", fitted.params, names, levels, split.kept)
+    resp = fitted.responsibilities.persist()
+    write_responsibilities(resp, fitted.params.classes, f"{folder}/best_responsibilities.tsv")
     T.write_tsv(L.map_assignments(resp).select("id", "assigned_class", T.fixed(F.col("max_probability"), 6).alias("max_probability")), f"{folder}/map_assignments.tsv")
-    if levels:
-        T.write_categories(f"{folder}/categories.toml", names, levels, split.kept)
-        write_dataset(data, f"{folder}/dataset.tsv", names, split.kept)
-        write_dataset(L.impute(data, fitted.params), f"{folder}/imputed.tsv", names, split.kept)
-    told = {"best_c": best, "scores": scores, "iterations": fitted.iterations, "log_likelihood": fitted.ll}
+    T.write_categories(f"{folder}/categories.toml", names, levels, split.kept)
+    write_dataset(data, f"{folder}/dataset.tsv", names, split.kept, sep)
+    imputed = L.impute(data, fitted.params)
+    write_dataset(imputed, f"{folder}/imputed.tsv", names, split.kept, sep)
+    write_imputed_labels(imputed, resp, fitted.params.classes, labels, names, split.kept, f"{folder}/imputed_labels.tsv", sep)
+    for held in (resp, data, reads, split.raw, split.dense):
+        held.unpersist()
+    told = {"min_classes": lowest, "max_classes": highest, "criterion": criterion, "best_classes": best, "best_score": dict(scores)[best], "fits": fits}
     with open(f"{folder}/summary.json", "w", encoding="utf-8") as f:
         json.dump(told, f, indent=2)
     return told
 
 
-def write_dataset(rows: DataFrame, path: str, names: list[str], methylation: list[str]) -> None:
-    cats = [F.coalesce(F.col("cats")[k].cast("string"), F.lit("NA")).alias(n) for k, n in enumerate(names)]
-    T.write_tsv(rows.orderBy("row_ord").select("id", *cats, *(T.fixed(F.col("meth")[k], 6).alias(safe_label(m)) for k, m in enumerate(methylation))), path)
+def typing_categories(spark: SparkSession, path: str) -> tuple[DataFrame, list[int], list[str], list[list[str]]]:
+    """Haplotype blocks as categories: the rows, and each category's levels, name and labels of its levels."""
+    blocks, entries = T.read_haplotypes(path)
+    b = spark.createDataFrame(blocks, "block_ord int, hap int, snp_start long, snp_end long")
+    e = spark.createDataFrame(entries, "block_ord int, entry_ord int, id string, start long, end long")
+    covering = H.covering_blocks(b)
+    label = F.struct("level", F.concat(F.lit("HAP"), F.col("hap")).alias("label"))
+    named = covering.join(b.select("block_ord", "hap"), "block_ord").groupBy("seg_start", "seg_end").agg(F.array_sort(F.collect_list(label)).alias("l")).orderBy("seg_start").collect()
+    return H.hap_dataset(e, covering), [len(r["l"]) for r in named], [f"hap_{r[0]}_{r[1]}" for r in named], [[x["label"] for x in r["l"]] for r in named]
+
+
+def write_model(path: str, p: L.Params, names: list[str], levels: list[int], methylation: list[str]) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"params": json.loads(p.to_json()), "category_names": names, "levels": levels, "methylation_names": methylation}, f, indent=2)
 
 
-def imputed_labels(rows: DataFrame, haps: list[list[str]], names: list[str]) -> DataFrame:
-    """Levels by the names of their haplotypes; a level beyond them keeps its number."""
-    return rows.select("id", *(F.coalesce(F.try_element_at(F.array(*map(F.lit, h)), F.col("cats")[k] + 1), F.col("cats")[k].cast("string")).alias(n) for k, (n, h) in enumerate(zip(names, haps))))
+def read_model(path: str) -> tuple[L.Params, dict]:
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    return L.Params(**told["params"]), told
+
+
+def write_responsibilities(resp: DataFrame, classes: int, path: str) -> None:
+    T.write_tsv(resp.orderBy("row_ord").select("id", *(T.fixed(F.col("resp")[c], 6).alias(f"class_{c}") for c in range(classes))), path)
+
+
+def write_imputed_labels(imputed: DataFrame, resp: DataFrame, classes: int, labels: list[list[str]], names: list[str], methylation: list[str], path: str, sep: str = "\t") -> None:
+    """Imputed rows by label, with the classes' responsibilities and the likeliest class."""
+    rows = imputed.join(resp.select("row_ord", "resp"), "row_ord")
+    shown = lambda k: F.coalesce(F.try_element_at(F.array(*map(F.lit, labels[k])), F.col("cats")[k] + 1) if k < len(labels) else F.lit(None), F.col("cats")[k].cast("string"), F.lit("NA"))
+    T.write_tsv(
+        rows.orderBy("row_ord").select(
+            "id", *(shown(k).alias(n) for k, n in enumerate(names)), *(T.fixed(F.col("meth")[k], 6).alias(safe_label(m)) for k, m in enumerate(methylation)),
+            *(T.fixed(F.col("resp")[c], 6).alias(f"resp_class_{c}") for c in range(classes)), L.argmax_first(F.col("resp")).alias("assigned_class"),
+        ), path, sep,
+    )
+
+
+def missing_counts(rows: DataFrame, n_categories: int, n_features: int) -> dict:
+    """Rows, and missing cells of all categories and of all features."""
+    lacking = lambda c, n: F.coalesce(F.sum(sum((F.col(c)[k].isNull().cast("long") for k in range(n)), F.lit(0).cast("long"))), F.lit(0))
+    n, cats, meth = rows.agg(F.count("*"), lacking("cats", n_categories), lacking("meth", n_features)).first()
+    return {"rows": n, "missing_categories": cats, "cells_categories": n * n_categories, "missing_features": meth, "cells_features": n * n_features}
+
+
+def write_dataset(rows: DataFrame, path: str, names: list[str], methylation: list[str], sep: str = "\t") -> None:
+    cats = [F.coalesce(F.col("cats")[k].cast("string"), F.lit("NA")).alias(n) for k, n in enumerate(names)]
+    T.write_tsv(rows.orderBy("row_ord").select("id", *cats, *(T.fixed(F.col("meth")[k], 6).alias(safe_label(m)) for k, m in enumerate(methylation))), path, sep)
 
 
 def split_fastq(reads: DataFrame, assigned: DataFrame, folder: str) -> None:
@@ -219,4 +335,4 @@ def list_contigs(present: DataFrame, wanted: list[str] | None = None) -> tuple[D
     if not wanted:
         return present.orderBy("contig_ord"), []
     asked = present.sparkSession.createDataFrame(list(enumerate(wanted)), "ord int, contig string")
-    return asked.join(present, "contig", "left_semi").orderBy("ord"), [r[1] for r in asked.join(present, "contig", "left_anti").select("ord", "contig").orderBy("ord").collect()]
+    return asked.join(present.dropDuplicates(["contig"]), "contig").orderBy("ord"), [r[1] for r in asked.join(present, "contig", "left_anti").select("ord", "contig").orderBy("ord").collect()]

@@ -151,7 +151,7 @@ def test_split_reads(spark, tmp_path):
     noise = E.split_reads(loaded, [parse_motif("GATC_6mA_1")], "hdbscan")
     assert {r.cluster_id for r in noise.labels.collect()} == {-1}
     told = E.phase_variants(spark, path, [parse_motif("GATC_6mA_1")], str(tmp_path / "p"), None, 1, 2, iterations=5)
-    assert told["best_c"] in (1, 2) and (tmp_path / "p/model.json").exists()
+    assert told["best_classes"] in (1, 2) and (tmp_path / "p/best_model.json").exists()
     loaded.unpersist()
 
 
