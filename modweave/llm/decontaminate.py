@@ -113,53 +113,95 @@ def _frequency(vocabulary: dict[bytes, int]):
     return run
 
 
-def _mark(windows: Windows, last: bool):
-    """Adds the block's hits; the last block turns hits and items into the result columns."""
+def _found(windows: Windows, texts: list) -> Iterator[tuple[slice, np.ndarray, np.ndarray, dict[int, set]]]:
+    """For each chunk of texts: the rows, where each text starts, which words are hit, and each text's items."""
+    for part in _chunks(texts):
+        ids, starts = _ids(texts[part], windows.vocabulary)
+        start, window = windows.find(ids)
+        mark = np.zeros(len(ids) + 1, np.int64)
+        np.add.at(mark, start, 1)
+        np.add.at(mark, start + windows.length[window], -1)
+        doc = np.searchsorted(starts, start, side="right") - 1
+        items: dict[int, set] = {}
+        for d, w in set(zip(doc.tolist(), window.tolist())):
+            items.setdefault(d, set()).update(str(x) for x in windows.owners[w] if x is not None)
+        yield part, starts, np.cumsum(mark[:-1]) > 0, items
+
+
+def _judge(sent):
+    """The result columns, where all windows are at hand."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: Windows = sent.value
         for batch in batches:
-            texts = rows_as_bytes(batch, "text")
-            known = "hits" in batch.schema.names
-            for part in _chunks(texts):
-                rows = batch.slice(part.start, part.stop - part.start)
-                ids, starts = _ids(texts[part], windows.vocabulary)
-                start, window = windows.find(ids)
-                mark = np.zeros(len(ids) + 1, np.int64)
-                np.add.at(mark, start, 1)
-                np.add.at(mark, start + windows.length[window], -1)
-                hit = np.cumsum(mark[:-1]) > 0
-                doc = np.searchsorted(starts, start, side="right") - 1
-                items: dict[int, set] = {}
-                for d, w in set(zip(doc.tolist(), window.tolist())):
-                    items.setdefault(d, set()).update(str(x) for x in windows.owners[w] if x is not None)
-                if known:
-                    for d, (old, more) in enumerate(zip(numbers(rows, "hits").to_pylist(), numbers(rows, "items").to_pylist())):
-                        hit[starts[d] + np.array(old, np.int64)] = True
-                        if more:
-                            items.setdefault(d, set()).update(more)
-                n_words = np.diff(starts) - 1
-                if last:
-                    total = np.concatenate(([0], np.cumsum(hit)))
-                    n_hit = total[starts[1:]] - total[starts[:-1]]
-                    named = [",".join(sorted(items.get(d, ()))) for d in range(len(n_words))]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            numbers(rows, "doc_id"), pa.array(n_words), pa.array(n_hit), pa.array([len(items.get(d, ())) for d in range(len(n_words))], pa.int64()),
-                            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in named], pa.string()), pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
-                        ],
-                        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                    )
-                else:
-                    hits = [np.flatnonzero(hit[a:b]).tolist() for a, b in zip(starts, starts[1:])]
-                    yield pa.RecordBatch.from_arrays(
-                        [numbers(rows, "doc_id"), numbers(rows, "text"), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(items.get(d, ())) for d in range(len(n_words))], pa.list_(pa.string()))],
-                        ["doc_id", "text", "hits", "items"],
-                    )
+            for part, starts, hit, items in _found(windows, rows_as_bytes(batch, "text")):
+                total = np.concatenate(([0], np.cumsum(hit)))
+                n_words, n_hit = np.diff(starts) - 1, total[starts[1:]] - total[starts[:-1]]
+                named = [",".join(sorted(items.get(d, ()))) for d in range(len(n_words))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        numbers(batch, "doc_id")[part], pa.array(n_words), pa.array(n_hit), pa.array([len(items.get(d, ())) for d in range(len(n_words))], pa.int64()),
+                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in named], pa.string()), pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
+                    ],
+                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                )
+
+    return run
+
+
+def _hits(sent):
+    """The places and items of the texts that hold windows of a block."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: Windows = sent.value
+        for batch in batches:
+            for part, starts, hit, items in _found(windows, rows_as_bytes(batch, "text")):
+                some = sorted({*items, *(np.searchsorted(starts, np.flatnonzero(hit), side="right") - 1).tolist()})
+                hits = [np.flatnonzero(hit[starts[d] : starts[d + 1]]) for d in some]
+                yield pa.RecordBatch.from_arrays(
+                    [numbers(batch, "row")[part].take(pa.array(some, pa.int64())), pa.array(hits, pa.list_(pa.int64())), pa.array([sorted(items.get(d, ())) for d in some], pa.list_(pa.string()))],
+                    ["row", "hits", "items"],
+                )
 
     return run
 
 
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [len(benchmark_words(t)) for t in rows_as_bytes(batch, "text")]
+        yield pa.RecordBatch.from_arrays([numbers(batch, "row"), numbers(batch, "doc_id"), pa.array(n, pa.int64())], ["row", "doc_id", "n_words"])
+
+
+def _windows(docs: DataFrame, items: DataFrame, size: int):
+    """The windows of some items in the order of their words' counts in all documents, for the workers."""
+    windows = Windows([(r[0], r[1].encode() if r[1] is not None else None) for r in items.collect()], size)
+    counted = docs.select("text").mapInArrow(_frequency(windows.vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    frequency = np.zeros(len(windows.vocabulary), np.int64)
+    for r in counted.collect():
+        frequency[r["word"]] = r["n"]
+    windows.order(frequency)
+    return docs.sparkSession.sparkContext.broadcast(windows)
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The items in blocks of at most so many bytes of text; an item that is larger is a block, or part of one."""
+    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total <= block_bytes:
+        return [benchmark]
+    parts = 16 * -(-total // block_bytes)
+    held = benchmark.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    sizes = {r[0]: r[1] or 0 for r in held.groupBy("part").agg(F.sum(F.octet_length("text"))).collect()}
+    bounds, filled = [0], 0
+    for part in range(parts):
+        if filled and filled + sizes.get(part, 0) > block_bytes:
+            bounds.append(part)
+            filled = 0
+        filled += sizes.get(part, 0)
+    return [held.where(F.col("part").between(a, b - 1)).drop("part") for a, b in zip(bounds, [*bounds[1:], parts])]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Which words of each document lie in an occurrence of a benchmark window.
 
@@ -172,25 +214,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_b
     Repeated documents are judged each. Empty tables: no rows, or no hits.
 
     Words of the benchmark are counted over all documents; each window is looked up by its rarest word, must
-    lie inside the document, and is compared word by word. A worker holds ``block_bytes`` of benchmark text at
-    most: a larger benchmark is taken in blocks, each in a pass of its own that adds to the hits so far.
+    lie inside the document, and is compared word by word. A worker holds ``block_bytes`` of benchmark text, or one
+    larger item: a larger benchmark is taken in blocks, each in two passes of its own, and only hits are kept of each.
+    ``docs`` must then give the same rows in the same order each time it is read, as a table of files does.
     """
     small_batches(docs)
     docs, benchmark = pick(docs, "doc_id", "text"), pick(benchmark, "item_id", "text")
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scratch, now = Scratch(docs.sparkSession, "decontaminate"), docs
-    for k in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else benchmark
-        windows = Windows([(r[0], r[1].encode() if r[1] is not None else None) for r in part.collect()], size)
-        counted = docs.mapInArrow(_frequency(windows.vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        frequency = np.zeros(len(windows.vocabulary), np.int64)
-        for r in counted.collect():
-            frequency[r["word"]] = r["n"]
-        windows.order(frequency)
-        if k == blocks - 1:
-            now = now.mapInArrow(_mark(windows, True), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-        else:
-            now = scratch.save(now.mapInArrow(_mark(windows, False), f"doc_id {kind}, text string, hits array<int>, items array<string>"), f"block-{k}")
-    return now
+    kind, blocks = docs.schema["doc_id"].dataType.simpleString(), _blocks(benchmark, block_bytes)
+    if len(blocks) == 1:
+        return docs.mapInArrow(_judge(_windows(docs, blocks[0], size)), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    scratch, rows = Scratch(docs.sparkSession, "decontaminate"), docs.withColumn("row", F.monotonically_increasing_id())
+    found = None
+    for k, items in enumerate(blocks):
+        part = scratch.save(rows.select("row", "text").mapInArrow(_hits(_windows(docs, items, size)), "row long, hits array<long>, items array<string>"), f"block-{k}")
+        found = part if found is None else found.unionByName(part)
+    # a row has one entry a block at most
+    met = found.groupBy("row").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+    met = met.select(F.col("row").alias("at"), F.size(F.array_distinct("hits")).cast("long").alias("hit"), F.array_sort(F.array_distinct("items")).alias("items"))
+    told = rows.mapInArrow(_lengths, f"row long, doc_id {kind}, n_words long").join(met, F.col("row") == F.col("at"), "left")
+    n_hit, items = F.coalesce("hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    return told.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
+    )
