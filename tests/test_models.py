@@ -118,3 +118,15 @@ def test_distances_in_bounded_blocks(monkeypatch):
     monkeypatch.setattr(K, "CELLS", 1000)
     parts = list(K.distances(x))
     assert len(parts) == 35 and np.array_equal(np.vstack([d for _, d in parts]), whole)
+
+
+def test_numbers_by_bucket(spark):
+    ids = [f"read{(k * 7919) % 1000:04d}{'x' * (k % 3)}" for k in range(1000)]
+    df = spark.createDataFrame([(i,) for i in ids], "id string").repartition(5)
+    buckets = H.text_buckets(df, "id", 60)
+    got = {r.id: r.k for r in H.numbered(df, "id", buckets, "k").collect()}
+    assert got == {i: k for k, i in enumerate(sorted(ids))} and df.select(buckets.alias("b")).distinct().count() > 4
+    blocks = spark.createDataFrame([(3, 9), (1, 4), (25, 25), (9, 24)], "snp_start long, snp_end long")
+    for size in (1, 7, 1000):
+        assert sorted(tuple(r) for r in H.segments(blocks, size).collect()) == [(1, 2), (3, 4), (5, 8), (9, 9), (10, 24), (25, 25)]
+    assert H.segments(blocks.where("false")).count() == 0
