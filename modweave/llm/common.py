@@ -54,10 +54,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def small_batches(df: DataFrame) -> None:
-    """Lets 8 MB of a table go to Python at once where the session has Spark's default of 64 MB; texts may be long."""
+    """Lets 4 MB of a table go to Python at once where the session has Spark's default of 64 MB; texts may be long."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(key) == "67108864b":
-        conf.set(key, "8m")
+        conf.set(key, "4m")
 
 
 @lru_cache(1)

@@ -18,7 +18,7 @@ _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() el
 #: Text of the benchmark that is held in every worker at once; a larger one is joined block by block.
 BLOCK_BYTES = 8_000_000
 #: Document words that are handled together.
-CHUNK = 1_500_000
+CHUNK = 200_000
 
 
 def benchmark_words(text: bytes | None) -> list[bytes]:

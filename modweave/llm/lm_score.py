@@ -130,7 +130,7 @@ class Deal:
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, each with its end; where each text starts."""
     found, counts = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
-    for part in byte_slices(texts, 4_000_000):
+    for part in byte_slices(texts, 1_000_000):
         words = find_words(texts[part])
         found.append(np.insert(words.hashes(lower=True), words.first[1:], _END))
         counts.append(words.counts() + 1)

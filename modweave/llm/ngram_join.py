@@ -66,7 +66,7 @@ while _SIZES[-1] < 1 << 32:
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """For each text sorted distinct hashes of its shingles; fewer words than a shingle has make one, none make none."""
-    for part in byte_slices(texts, 4_000_000):
+    for part in byte_slices(texts, 1_000_000):
         held = find_words(texts[part])
         found = held.hashes(lower=True)
         every = ngram_hashes(found, words)
@@ -165,7 +165,7 @@ def _scan_signatures(rule: JoinRule):
         """Pairs of all groups of one size at once; a pair holds one of the level's larger sets at least."""
         for size in np.unique(counts):
             first, second = np.triu_indices(int(size), 1)
-            step = max(1, 500_000 // len(first))
+            step = max(1, 200_000 // len(first))
             own = starts[counts == size]
             for k in range(0, len(own), step):
                 a, b = ((own[k : k + step, None] + x).ravel() for x in (first, second))
@@ -354,7 +354,7 @@ def _family_sets(rule: JoinRule):
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in byte_slices(numbers(batch, "text"), 2_000_000):
+            for rows in byte_slices(numbers(batch, "text"), 1_000_000):
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 classes = numbers(part, "class").to_pylist()
                 sets = list(shingle_sets(numbers(part, "text"), rule.words))

@@ -24,7 +24,7 @@ ANCHOR = 8
 #: Documents of a group. An anchor of more is dealt to several groups, and what those leave open is settled node by node.
 HOT = 256
 #: Bytes of text, and rows of segments, that are handled together.
-_TEXT, _ROWS = 4_000_000, 4_000
+_TEXT, _ROWS = 1_000_000, 4_000
 _PLACE = np.uint64((1 << 28) - 1)
 
 

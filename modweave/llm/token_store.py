@@ -319,7 +319,7 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int, position:
                 continue
             if out is None:
                 out = ShardWriter(uri := f"{folder}/{uuid.uuid4().hex}.tok", kind)
-            for part in byte_slices(numbers(batch, "text"), 4_000_000):
+            for part in byte_slices(numbers(batch, "text"), 1_000_000):
                 ids, lengths = known.texts(numbers(batch, "text")[part], model) if apart else _whole_texts(numbers(batch, "text")[part], model)
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
                 out.add(numbers(batch, "doc_id")[part], ids, lengths + 1, numbers(batch, position)[part].to_numpy().astype(np.float64) if position else None)
@@ -363,7 +363,7 @@ def read_store(spark, shards: list[dict]) -> DataFrame:
     return listed.mapInArrow(run, shape)
 
 
-def _records(shard: Shard, record: np.ndarray, base: int, keys: np.ndarray | None, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _records(shard: Shard, record: np.ndarray, base: int, keys: np.ndarray | None, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Rows of ascending records; those that lie side by side are read together, up to ``most`` ids."""
     a = 0
     while a < len(record):

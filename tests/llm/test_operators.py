@@ -543,3 +543,58 @@ def test_words_and_hashes():
             seen = {}
             assert all(seen.setdefault(key(w), h) == h for w, h in zip(flat, hashes.tolist())) and len(set(seen.values())) == len(seen)
     assert [i for s in byte_slices(column, 100) for i in range(s.start, s.stop)] == list(range(len(texts)))
+
+
+def test_near_copies_of_one_family_in_blocks(spark, monkeypatch):
+    """A family beyond a block is cut, and no link is lost."""
+    from modweave.llm import ngram_join as J
+
+    monkeypatch.setattr(J, "BLOCK", 300)
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) for _ in range(80)]
+    rows = []
+    for k in range(40):
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(80)] = f"x{rng.randint(0, 9)}"
+        rows.append((k, " ".join(words), "clash"))
+    rows += [(100 + k, " ".join(rng.choice(WORDS) for _ in range(50)), "clash") for k in range(10)]
+    rule = JoinRule(3, 9, 10)
+    sets = {d: shingles(t, 3) for d, t, _ in rows}
+    root = {d: d for d in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b]) and (p := top(a)) != (q := top(b)):
+                root[max(p, q)] = min(p, q)
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string, component_id string"), rule).collect()}
+    assert got == {d: top(d) for d in sets} and len(set(got.values())) < 45
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    """One text of 200,000 words beside short, empty and null ones, in tables whose other columns are named as results."""
+    long = " ".join(f"w{(k * k) % 5003}" for k in range(200_000))
+    rows = [(1, long, "en", "s", 1, 2.0), (2, long + " end", "en", "s", 1, 2.0), (3, "", "en", None, 1, 2.0), (4, None, None, "s", 1, 2.0), (5, "one two three", "fr", "t", 1, 2.0), (25, "w1 w4 w9", "fr", "t", 1, 2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, score double")
+    joined = {r.doc_id: r.component_id for r in ngram_jaccard_join(df, JoinRule(3, 9, 10)).collect()}
+    assert joined == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 25: 25}
+    cut = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(df).collect()}
+    assert cut[1] == (200_000, 0) and cut[2] == (200_001, 200_000) and cut[4] == (0, 0)
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    counts = {r.doc_id: r.n_tokens for r in token_counts(df, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert counts[1] == len(model.encode(long).ids) and counts[3] == counts[4] == 0
+    bench = spark.createDataFrame([(7, " ".join(long.split()[500:530]))], "item_id long, text string")
+    hits = {r.doc_id: r.n_hit for r in decontaminate(df, bench).collect()}
+    assert hits[1] >= 30 and hits[1] == hits[2] and hits[5] == 0
+    labels = spark.createDataFrame([(1, 0, 1), (5, 1, 0), (25, 1, 0)], "doc_id long, toxic int, predicted int")
+    assert X.toxicity(df, labels).count() == 6 and X.without_toxic(df, labels).columns == df.columns
+    assert sum(r.taken for r in mix(df).collect()) > 0 and mixed_documents(df).columns == df.columns
+    store = {r.doc_id: r.n_tokens for r in token_store(df, public_tokenizers.path("word_bpe_49k.json"), 1).collect()}
+    assert store[1] + len(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode("end", add_special_tokens=False).ids) == store[2] and store[4] == 1
+    scores = {r.doc_id: r.n_tokens for r in lm_score(df).collect()}
+    assert scores == {1: 200_001, 2: 200_002, 3: 1, 4: 1, 5: 4, 25: 4}
