@@ -27,9 +27,9 @@ class CurveRule:
     axes: int = 16
     bits: int = 3
     reach: float | None = None
-    recall: float = 0.95
+    recall: float = 0.93
     probes: int = 96
-    block: int = 2_048
+    block: int = 512
     sample: int = 4_000
     seed: int = 3
 

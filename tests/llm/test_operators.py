@@ -412,7 +412,7 @@ def test_reach_follows_from_the_data(spark):
     ann.measured_reach = lambda *a: seen.append(was(*a)) or seen[-1]
     try:
         got: dict = {}
-        for r in nearest(df, rule=CurveRule(block=128)).collect():
+        for r in nearest(df, rule=CurveRule(block=128, recall=0.95)).collect():
             got.setdefault(r.query_id, set()).add(r.vec_id)
     finally:
         ann.measured_reach = was
