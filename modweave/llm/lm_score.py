@@ -349,11 +349,12 @@ def fit(docs: DataFrame, rule: LmRule, scratch: Scratch) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Scores of the texts in ``docs``, which needs ``doc_id``, ``text`` and ``held_out``."""
     kind, rule, deal = docs.schema["doc_id"].dataType.simpleString(), model.rule, model.deal
-    asked = docs.select("text").mapInArrow(_ask(rule, deal), "slice long, part int, kind int, keys binary, counts binary").drop("counts")
+    # the same columns for both, as batches are cut by the bytes of all columns
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    asked = rows.mapInArrow(_ask(rule, deal), "slice long, part int, kind int, keys binary, counts binary").drop("counts")
     sent = asked.unionByName(model.table.drop("tokens", "distinct"), allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.asc_nulls_first("slice"))
     answers = sent.mapInArrow(_look_up(rule, deal), "slice long, part int, kind int, keys binary, counts binary")
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    texts = texts.mapInArrow(_texts(rule), f"slice long, part int, kind int, keys binary, counts binary, row long, doc_id {kind}, held_out boolean, text string")
+    texts = rows.mapInArrow(_texts(rule), f"slice long, part int, kind int, keys binary, counts binary, row long, doc_id {kind}, held_out boolean, text string")
     met = texts.unionByName(answers, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "part", "kind", "row")
     sums = Model(rule, deal, None, model.total, model.distinct, model.texts)  # the table stays here
     shape = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -466,6 +466,17 @@ def test_lm_score(spark, docs, none, rule):
     assert lm_score(none).count() == 0
 
 
+def test_lm_score_of_batches_cut_by_bytes(spark, docs):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    plain = sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in lm_score(docs, LmRule(bits=64)).collect())
+    spark.conf.set(key, "2k")
+    try:
+        assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in lm_score(docs, LmRule(bits=64)).collect()) == plain
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_lm_score_without_training_rows(spark):
     alone = [d for d in range(200) if held(d)]
     got = lm_score(spark.createDataFrame([(d, "w1 w2") for d in alone], "doc_id long, text string")).collect()
