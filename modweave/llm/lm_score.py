@@ -11,12 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix64, numbers, pick, releasing, small_batches, sorted_groups
-from .words import byte_slices, find_words
+from .words import byte_slices, distinct, find_words
 
 #: Token hashes of a text's end and of what comes before its first word, and what tells kinds of keys apart.
 _END, _START, _WORD, _PAIR = (np.uint64(x) for x in (0x51ED270B27D4EB2F, 0x2127599BF4325C37, 0x880355F21E6D1965, 0x6A09E667F3BCC909))
@@ -28,7 +29,7 @@ _SLOT = 24
 class LmRule:
     """A count c is held as the levels up to log(c) / log(base). The filter has ``bits`` bits an entry. A pair's count
     is mixed with ``strength`` times the word's own probability. Texts are handled in slices of ``slice_bytes``, keys in
-    parts of about ``part_keys``.
+    parts of about ``part_keys``; a part looks up about ``ask_keys`` at once, whatever slices they come from.
     """
 
     word_base: float = 1.2
@@ -37,7 +38,8 @@ class LmRule:
     bits: int = 12
     probes: int = 4
     part_keys: int = 2_000_000
-    slice_bytes: int = 12_000_000
+    slice_bytes: int = 8_000_000
+    ask_keys: int = 1_000_000
 
     def level(self, counts: np.ndarray, base: float) -> np.ndarray:
         """Levels of counts of 1 and more: the largest q with base^(q-1) <= count."""
@@ -161,17 +163,36 @@ def _count(rule: LmRule, deal: Deal):
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = numbers(batch, "text")
-            for part in byte_slices(texts, rule.slice_bytes):
-                tokens, starts = _tokens(texts[part])
-                for kind, keys in enumerate((tokens, _pair_keys(_histories(tokens, starts), tokens, deal.pair_bits))):
-                    keys, counts = np.unique(keys, return_counts=True)
-                    yield _keyed([(None, p, kind, raw, _pack(counts[at].astype(np.uint64))) for p, at, raw in deal.pieces(keys, kind)])
+        for batch in _cut(batches, rule.slice_bytes):
+            tokens, starts = _tokens(numbers(batch, "text"))
+            for kind, keys in enumerate((tokens, _pair_keys(_histories(tokens, starts), tokens, deal.pair_bits))):
+                keys, counts = np.unique(keys, return_counts=True)
+                yield _keyed([(None, p, kind, raw, _pack(counts[at].astype(np.uint64))) for p, at, raw in deal.pieces(keys, kind)])
 
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """A task's rows in slices of about ``most`` bytes of text, however its batches are cut; a longer text is one of its own."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(numbers(batch, "text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        begin = 0
+        while begin < len(ends):
+            had = int(ends[begin - 1]) if begin else 0
+            end = int(np.searchsorted(ends, had + max(0, most - size), side="right"))
+            end = end if held else max(begin + 1, end)
+            if end > begin:
+                held.append(batch.slice(begin, end - begin))
+                size += int(ends[end - 1]) - had
+            begin = end
+            if begin < len(ends):
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -230,21 +251,17 @@ def _ask(rule: LmRule, deal: Deal):
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for now, batch, part in _sliced(batches, rule):
-            tokens, starts = _tokens(numbers(batch, "text")[part])
+        for now, batch in _sliced(batches, rule):
+            tokens, starts = _tokens(numbers(batch, "text"))
             for kind, keys in enumerate((tokens, _pair_keys(_histories(tokens, starts), tokens, deal.pair_bits))):
                 yield _keyed([(now, p, kind, raw, None) for p, _, raw in deal.pieces(np.unique(keys), kind)])
 
     return run
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], rule: LmRule) -> Iterator[tuple[int, pa.RecordBatch, slice]]:
+def _sliced(batches: Iterator[pa.RecordBatch], rule: LmRule) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Slices of a task's texts with their numbers, which are the same each time the task runs."""
-    now = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        for part in byte_slices(numbers(batch, "text"), rule.slice_bytes):
-            yield now, batch, part
-            now += 1
+    yield from enumerate(_cut(batches, rule.slice_bytes), TaskContext.get().partitionId() << 32)
 
 
 def _texts(rule: LmRule):
@@ -252,9 +269,9 @@ def _texts(rule: LmRule):
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for now, batch, part in _sliced(batches, rule):
-            n = part.stop - part.start
-            own = [numbers(batch, c)[part] for c in ("row", "doc_id", "held_out", "text")]
+        for now, batch in _sliced(batches, rule):
+            n = batch.num_rows
+            own = [numbers(batch, c) for c in ("row", "doc_id", "held_out", "text")]
             less = [pa.array(np.full(n, v, np.int32)) for v in (-1, 0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, now)), *less, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *own], [*_KEYED, "row", "doc_id", "held_out", "text"])
 
@@ -262,26 +279,40 @@ def _texts(rule: LmRule):
 
 
 def _look_up(rule: LmRule, deal: Deal):
-    """Levels of the keys sent to a part, and exact counts of words; rows sorted by part, the part's own first, without slice."""
+    """Levels of the keys sent to a part, and exact counts of words; rows sorted by part, the part's own first, without slice.
+
+    A key that many slices send is probed once for all that are looked up together.
+    """
+
+    def answers(kind: int, asked: list[tuple], held: Filter | None, words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        keys, _, number = distinct(np.concatenate([a[2] for a in asked]))
+        level = held.levels(mix64(keys + (_WORD, _PAIR)[kind])) if held else np.zeros(len(keys), np.int64)
+        level = level.astype(np.uint64)[number]
+        exact = None
+        if kind == 0:
+            at = np.minimum(np.searchsorted(words, keys), max(0, len(words) - 1)) if len(words) else None
+            exact = (np.where(words[at] == keys, counts[at], 0) if at is not None else np.zeros(len(keys), np.uint64))[number]
+        ends = np.cumsum([len(a[2]) for a in asked])
+        return _keyed([(place, part, kind, _pack(level[e - len(k) : e]), _pack(exact[e - len(k) : e]) if kind == 0 else None) for (place, part, k), e in zip(asked, ends)])
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now, words, counts = None, None, np.empty(0, np.uint64), np.empty(0, np.uint64)
+        none = np.empty(0, np.uint64)
+        now, own, asked, size = None, (None, none, none), ([], []), 0
         for batch in batches:
             columns = (*_KEYED[:4], "size", "top", "bits", "words", "counts")
-            for place, part, kind, raw, size, top, bits, own, n in zip(*(numbers(batch, c).to_pylist() for c in columns)):
+            for place, part, kind, raw, bits_size, top, bits, words, n in zip(*(numbers(batch, c).to_pylist() for c in columns)):
+                if part != now or size >= rule.ask_keys:
+                    yield from (answers(k, a, *own) for k, a in enumerate(asked) if a)
+                    asked, size = ([], []), 0
+                    if part != now:
+                        now, own = part, (None, none, none)
                 if place is None:
-                    held, now = Filter(np.frombuffer(bits, np.uint8), size, rule, top), part
-                    words, counts = deal.keys(own, part, 0), _unpack(n)
+                    own = Filter(np.frombuffer(bits, np.uint8), bits_size, rule, top), deal.keys(words, part, 0), _unpack(n)
                     continue
-                keys = deal.keys(raw, part, kind)
-                known = held is not None and now == part
-                level = held.levels(mix64(keys + (_WORD, _PAIR)[kind])) if known else np.zeros(len(keys), np.int64)
-                exact = None
-                if kind == 0:
-                    at = np.minimum(np.searchsorted(words, keys), max(0, len(words) - 1)) if known and len(words) else None
-                    exact = _pack(np.where(words[at] == keys, counts[at], 0) if at is not None else np.zeros(len(keys), np.uint64))
-                yield _keyed([(place, part, kind, _pack(level.astype(np.uint64)), exact)])
+                asked[kind].append((place, part, deal.keys(raw, part, kind)))
+                size += len(asked[kind][-1][2])
+        yield from (answers(k, a, *own) for k, a in enumerate(asked) if a)
 
     return run
 
@@ -349,7 +380,7 @@ def fit(docs: DataFrame, rule: LmRule, scratch: Scratch) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Scores of the texts in ``docs``, which needs ``doc_id``, ``text`` and ``held_out``."""
     kind, rule, deal = docs.schema["doc_id"].dataType.simpleString(), model.rule, model.deal
-    # the same columns for both, as batches are cut by the bytes of all columns
+    # slices follow from the texts alone, so that both passes cut the same
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     asked = rows.mapInArrow(_ask(rule, deal), "slice long, part int, kind int, keys binary, counts binary").drop("counts")
     sent = asked.unionByName(model.table.drop("tokens", "distinct"), allowMissingColumns=True).repartition("part").sortWithinPartitions("part", F.asc_nulls_first("slice"))

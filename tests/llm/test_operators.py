@@ -477,6 +477,32 @@ def test_lm_score_of_batches_cut_by_bytes(spark, docs):
         spark.conf.set(key, before)
 
 
+def test_lm_score_probes_a_key_of_many_slices_once(monkeypatch):
+    """Before, each slice's keys were probed by themselves, and every batch began a slice, so the work grew with slices times parts."""
+    from modweave.llm import lm_score as L
+
+    rule, deal = LmRule(), L.Deal(1, 32)
+    keys, counts = np.arange(1, 2001, dtype=np.uint64) * np.uint64(7919), np.arange(1, 2001, dtype=np.uint64)
+    words = L._keyed([(None, 0, 0, L._pack(np.diff(keys, prepend=np.uint64(0))), L._pack(counts))])
+    row = next(L._build(rule, deal)(iter([words]))).to_pylist()[0]
+    shape = pa.schema([("slice", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("size", pa.int64()), ("top", pa.int32()), ("bits", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
+    sent = [{k: row.get(k) for k in shape.names}]
+    own = [keys[s::40] + np.uint64(s % 3 == 0) for s in range(40)] + [keys[:500]] * 40
+    sent += [{"slice": s, "part": 0, "kind": 0, "keys": L._pack(np.diff(k, prepend=np.uint64(0)))} for s, k in enumerate(own)]
+    probed, was = [], L.Filter.levels
+    monkeypatch.setattr(L.Filter, "levels", lambda self, k: probed.append(len(k)) or was(self, k))
+    got = {r["slice"]: r for b in L._look_up(rule, deal)(iter([pa.RecordBatch.from_pylist(sent, shape)])) for r in b.to_pylist()}
+    assert len(probed) == 1 and probed[0] == len(np.unique(np.concatenate(own)))
+    level = dict(zip(keys.tolist(), rule.level(counts, rule.word_base).tolist()))
+    for s, k in enumerate(own):
+        assert L._unpack(got[s]["counts"]).tolist() == [x // 7919 if x % 7919 == 0 else 0 for x in k.tolist()]
+        assert s % 3 == 0 and s < 40 or all(a >= level[x] for a, x in zip(L._unpack(got[s]["keys"]).tolist(), k.tolist()))
+    texts = pa.array(["a b"] * 7 + [None, "x" * 100] + ["c d e"] * 6)
+    for width in (1, 4, 15):
+        cut = L._cut((pa.RecordBatch.from_arrays([texts[k : k + width]], ["text"]) for k in range(0, 15, width)), 30)
+        assert [b.column(0).to_pylist() for b in cut] == [["a b"] * 7 + [None], ["x" * 100], ["c d e"] * 5, ["c d e"]]
+
+
 def test_lm_score_without_training_rows(spark):
     alone = [d for d in range(200) if held(d)]
     got = lm_score(spark.createDataFrame([(d, "w1 w2") for d in alone], "doc_id long, text string")).collect()
