@@ -1,17 +1,21 @@
-"""Toxicity: a convolutional text classifier over hashed word embeddings, trained with numpy."""
+"""Toxicity: a convolutional text classifier over hashed word embeddings, trained with numpy on all labelled texts.
+
+Tasks learn side by side, each from its own texts; after every pass what they changed is averaged.
+"""
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, numbers, pick, plain, releasing, small_batches
+from .common import Scratch, mix64, numbers, pick, plain, releasing, small_batches
 from .words import byte_slices, find_words, ranges
 
 #: Words are runs of ASCII letters and of bytes beyond ASCII.
@@ -22,7 +26,7 @@ THRESHOLD = 0.7
 
 @dataclass(frozen=True)
 class CnnRule:
-    """Size and training of the classifier; ``sample`` bounds the labelled rows of each class that are fitted on, ``longest`` their bytes."""
+    """Size and training of the classifier. Labelled rows are learnt from in chunks of about ``chunk`` rows, in at most ``chunks`` larger ones of a large table. Up to ``sent`` labels go to the texts, beyond that the texts are shuffled."""
 
     buckets: int = 1 << 15
     dim: int = 8
@@ -30,8 +34,9 @@ class CnnRule:
     filters: int = 8
     epochs: int = 8
     batch: int = 32
-    sample: int = 4000
-    longest: int = 65_536
+    chunk: int = 4000
+    chunks: int = 256
+    sent: int = 1_000_000
     prior: float = 4.0
     seed: int = 7
 
@@ -92,27 +97,25 @@ class Cnn:
         """Each kernel offset applied to the whole table once, so that scoring only gathers and adds."""
         return [np.stack([self.table @ k[j] for j in range(len(k))]) for k in self.kernels]
 
-    def score(self, texts: pa.Array, tables: list[np.ndarray]) -> np.ndarray:
+    def raw(self, texts: pa.Array, tables: list[np.ndarray]) -> np.ndarray:
+        """Logits before the shift."""
         out = np.empty(len(texts))
         for part in byte_slices(texts, 500_000):
             ids, starts = word_buckets(texts[part], max(self.rule.widths) - 1, self.rule.buckets)
             parts = [[t[j][ids[:, 0]] + t[j][ids[:, 1]] + t[j][ids[:, 2]] for j in range(len(t))] for t in tables]
             out[part] = self.logits(self.pooled(parts, starts)[1])
-        return 1 / (1 + np.exp(-np.clip(out + self.shift, -60, 60)))
+        return out
 
-    def begin_with_odds(self, texts: pa.Array, labels: np.ndarray) -> None:
+    def score(self, texts: pa.Array, tables: list[np.ndarray]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.raw(texts, tables) + self.shift, -60, 60)))
+
+    def begin_with_odds(self, seen: np.ndarray, count: np.ndarray) -> None:
         """The first dimension starts from how much oftener a bucket's words occur in texts of label 1, the rarer the less.
 
-        The first filter of each width starts by reading that dimension alone.
+        ``seen`` holds how many texts of either label have words of each bucket, ``count`` how many texts there are. The
+        first filter of each width starts by reading that dimension alone.
         """
-        rule, seen = self.rule, np.zeros((2, self.rule.buckets + 1))
-        for part in byte_slices(texts, 4_000_000):
-            ids, starts = word_buckets(texts[part], 0, rule.buckets)
-            text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            for column in ids.T:
-                once = np.unique(text.astype(np.int64) * (rule.buckets + 1) + column)
-                np.add.at(seen, (labels[part][once // (rule.buckets + 1)].astype(np.int64), once % (rule.buckets + 1)), 1)
-        count = np.array([(labels == 0).sum(), (labels == 1).sum()])[:, None]
+        rule, count = self.rule, count[:, None]
         odds = np.diff(np.log((seen + 0.5) / (count + 1)), axis=0)[0]
         sure = seen.sum(axis=0) / (seen.sum(axis=0) + rule.prior)
         self.table[:-1, 0] = (odds * sure)[:-1]
@@ -122,112 +125,265 @@ class Cnn:
             self.out[k * rule.filters] = 0.5
             self.bias[k * rule.filters] = -0.5
 
-    def train(self, texts: pa.Array, labels: np.ndarray) -> None:
-        rule, rng = self.rule, np.random.default_rng(self.rule.seed + 1)
-        pad, eps = max(rule.widths) - 1, 1e-6
-        seen = np.full(self.table.shape, eps, np.float32)
-        moments = [np.full(x.shape, eps, np.float32) for x in (*self.kernels, self.bias, self.out)]
-        steps = 0
-        for _ in range(rule.epochs):
-            order = rng.permutation(len(texts))
-            for k in range(0, len(order), rule.batch):
-                rows = order[k : k + rule.batch]
-                ids, starts = word_buckets(texts.take(pa.array(rows)), pad, rule.buckets)
-                vectors = self.table[ids].sum(axis=1)
-                parts = [[vectors @ kernel[j] for j in range(len(kernel))] for kernel in self.kernels]
-                whole, pooled = self.pooled(parts, starts)
-                segment = np.repeat(np.arange(len(rows)), np.diff(starts))
-                at = np.empty(pooled.shape, np.int64)
-                for f in range(pooled.shape[1]):
-                    hit = np.flatnonzero(whole[:, f] == pooled[segment, f])
-                    at[segment[hit][::-1], f] = hit[::-1]
-                active = np.maximum(pooled + self.bias, 0)
-                error = (1 / (1 + np.exp(-np.clip(active @ self.out[:-1] + self.out[-1], -30, 30))) - labels[rows]).astype(np.float32) / len(rows)
-                d_out = np.append(active.T @ error, error.sum())
-                d_pool = np.outer(error, self.out[:-1]) * (active > 0)
-                d_bias = d_pool.sum(axis=0)
-                d_kernels, touched, amounts = [], [], []
-                for n, (w, kernel) in enumerate(zip(rule.widths, self.kernels)):
-                    part = slice(n * rule.filters, (n + 1) * rule.filters)
-                    place, gain = at[:, part], d_pool[:, part]
-                    grad = np.zeros_like(kernel)
-                    for j in range(w):
-                        grad[j] = np.einsum("dfe,df->ef", vectors[place + j], gain)
-                        touched.append(ids[(place + j).ravel()])
-                        amounts.append(np.einsum("df,ef->dfe", gain, kernel[j]).reshape(-1, rule.dim))
-                    d_kernels.append(grad)
-                steps += 1
-                for value, grad, moment in zip((*self.kernels, self.bias, self.out), (*d_kernels, d_bias, d_out), moments):
-                    moment += grad * grad
-                    value -= 0.1 * grad / np.sqrt(moment)
-                buckets = np.concatenate(touched).ravel()
-                change = np.repeat(np.concatenate(amounts), 3, axis=0)
-                once, place = np.unique(buckets, return_inverse=True)
-                grad = np.zeros((len(once), rule.dim), np.float32)
-                np.add.at(grad, place, change)
-                grad[once == rule.buckets] = 0
-                seen[once] += grad * grad
-                self.table[once] -= 0.1 * grad / np.sqrt(seen[once])
-
-
-def _best_threshold(scores: np.ndarray, labels: np.ndarray, toll: float = 2.0) -> float:
-    """Between two scores, where false alarms (each counts ``toll``) and misses together cost least."""
+
+class Training:
+    """A classifier while it learns, with the sums of its squared gradients (AdaGrad)."""
+
+    #: Runs of buckets that are summed apart.
+    pieces = 16
+
+    def __init__(self, cnn: Cnn):
+        self.cnn, eps = cnn, 1e-6
+        self.seen = np.full(cnn.table.shape, eps, np.float32)
+        self.moments = [np.full(x.shape, eps, np.float32) for x in (*cnn.kernels, cnn.bias, cnn.out)]
+
+    def learn(self, texts: pa.Array, labels: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass over some texts in random order; few long texts make a step."""
+        order, pad = rng.permutation(len(texts)), max(self.cnn.rule.widths) - 1
+        texts, labels = texts.take(pa.array(order)), labels[order]
+        for part in byte_slices(texts, 500_000):
+            for k in range(part.start, part.stop, self.cnn.rule.batch):
+                rows = slice(k, min(k + self.cnn.rule.batch, part.stop))
+                self.step(*word_buckets(texts[rows], pad, self.cnn.rule.buckets), labels[rows])
+
+    def step(self, ids: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> None:
+        cnn, rule = self.cnn, self.cnn.rule
+        vectors = cnn.table[ids].sum(axis=1)
+        parts = [[vectors @ kernel[j] for j in range(len(kernel))] for kernel in cnn.kernels]
+        whole, pooled = cnn.pooled(parts, starts)
+        segment = np.repeat(np.arange(len(labels)), np.diff(starts))
+        at = np.empty(pooled.shape, np.int64)
+        for f in range(pooled.shape[1]):
+            hit = np.flatnonzero(whole[:, f] == pooled[segment, f])
+            at[segment[hit][::-1], f] = hit[::-1]
+        active = np.maximum(pooled + cnn.bias, 0)
+        error = (1 / (1 + np.exp(-np.clip(active @ cnn.out[:-1] + cnn.out[-1], -30, 30))) - labels).astype(np.float32) / len(labels)
+        d_out = np.append(active.T @ error, error.sum())
+        d_pool = np.outer(error, cnn.out[:-1]) * (active > 0)
+        d_bias = d_pool.sum(axis=0)
+        d_kernels, touched, amounts = [], [], []
+        for n, (w, kernel) in enumerate(zip(rule.widths, cnn.kernels)):
+            part = slice(n * rule.filters, (n + 1) * rule.filters)
+            place, gain = at[:, part], d_pool[:, part]
+            grad = np.zeros_like(kernel)
+            for j in range(w):
+                grad[j] = np.einsum("dfe,df->ef", vectors[place + j], gain)
+                touched.append(ids[(place + j).ravel()])
+                amounts.append(np.einsum("df,ef->dfe", gain, kernel[j]).reshape(-1, rule.dim))
+            d_kernels.append(grad)
+        for value, grad, moment in zip((*cnn.kernels, cnn.bias, cnn.out), (*d_kernels, d_bias, d_out), self.moments):
+            moment += grad * grad
+            value -= 0.1 * grad / np.sqrt(moment)
+        buckets = np.concatenate(touched).ravel()
+        change = np.repeat(np.concatenate(amounts), 3, axis=0)
+        once, place = np.unique(buckets, return_inverse=True)
+        grad = np.zeros((len(once), rule.dim), np.float32)
+        np.add.at(grad, place, change)
+        grad[once == rule.buckets] = 0
+        self.seen[once] += grad * grad
+        cnn.table[once] -= 0.1 * grad / np.sqrt(self.seen[once])
+
+    def dense(self) -> list[np.ndarray]:
+        return [*self.cnn.kernels, self.cnn.bias, self.cnn.out, *self.moments]
+
+    def edges(self) -> list[tuple[int, int]]:
+        at = np.linspace(0, len(self.seen), self.pieces + 1).astype(int).tolist()
+        return list(zip(at, at[1:]))
+
+    def changes(self, base: Training, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """What has changed since ``base`` by learning from ``n`` texts, each value ``n`` times, by piece; buckets also tell whether they changed."""
+        table, seen = self.cnn.table - base.cnn.table, self.seen - base.seen
+        touched = (table != 0).any(axis=1) | (seen != 0).any(axis=1)
+        for k, (a, b) in enumerate(self.edges()):
+            if touched[a:b].any():
+                yield k, np.concatenate((table[a:b].ravel(), seen[a:b].ravel(), touched[a:b])) * np.float32(n)
+        yield self.pieces, np.concatenate([*((x - y).ravel() for x, y in zip(self.dense(), base.dense())), [1]]).astype(np.float32) * np.float32(n)
+
+    def average(self, sums: dict[int, np.ndarray]) -> None:
+        """Takes up the mean of all changes, a bucket's of those tasks that changed it."""
+        dim = self.cnn.rule.dim
+        for k, (a, b) in enumerate(self.edges()):
+            if k in sums:
+                table, seen, n = np.split(sums[k], [(b - a) * dim, 2 * (b - a) * dim])
+                n = np.maximum(n, 1)[:, None]
+                self.cnn.table[a:b] += (table.reshape(-1, dim) / n).astype(np.float32)
+                self.seen[a:b] += (seen.reshape(-1, dim) / n).astype(np.float32)
+        mean, at = sums[self.pieces][:-1] / sums[self.pieces][-1], 0
+        for x in self.dense():
+            x += mean[at : at + x.size].reshape(x.shape).astype(np.float32)
+            at += x.size
+
+
+_SUMS = "piece int, chunk int, task int, data binary"
+
+
+def _vectors(chunk: int, found: Iterator[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    rows = [(k, chunk, TaskContext.get().partitionId(), x.astype(np.float32).tobytes()) for k, x in found]
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["piece", "chunk", "task", "data"])
+
+
+@releasing
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, data in zip(*(numbers(batch, c).to_pylist() for c in ("piece", "data"))):
+            sums[piece] = sums.get(piece, 0) + np.frombuffer(data, np.float32).astype(np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "data"])
+
+
+def _summed(found: DataFrame) -> dict[int, np.ndarray]:
+    """The sum of all tasks' vectors by piece, added in a fixed order; only the sums come to the driver."""
+    met = found.repartition("piece").sortWithinPartitions("piece", "chunk", "task")
+    return {r["piece"]: np.frombuffer(r["data"]) for r in met.mapInArrow(_add, "piece int, data binary").collect()}
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Chunk, texts and labels of runs of rows of one chunk."""
+    for batch in batches:
+        chunk = numbers(batch, "chunk").to_numpy()
+        bounds = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        for a, b in zip(bounds, bounds[1:]):
+            if b > a:
+                yield int(chunk[a]), numbers(batch, "text").slice(a, b - a), numbers(batch, "toxic").to_numpy()[a:b].astype(np.float32)
+
+
+def _texts_with(rule: CnnRule):
+    """How many texts of either label have words of each bucket."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = rule.buckets + 1
+        now, seen = None, np.zeros((2, wide))
+        for chunk, texts, labels in _chunks(batches):
+            if now not in (None, chunk):
+                yield _vectors(now, enumerate(seen))
+                seen[:] = 0
+            now = chunk
+            for part in byte_slices(texts, 1_000_000):
+                ids, starts = word_buckets(texts[part], 0, rule.buckets)
+                text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+                for column in ids.T:
+                    once = np.unique(text.astype(np.int64) * wide + column)
+                    np.add.at(seen, (labels[part][once // wide].astype(np.int64), once % wide), 1)
+        if now is not None:
+            yield _vectors(now, enumerate(seen))
+
+    return run
+
+
+def _learn(sent, epoch: int):
+    """What each chunk changes in one pass, from the same beginning."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base: Training = sent.value
+        now, own, n, rng = None, None, 0, None
+        for chunk, texts, labels in _chunks(batches):
+            if chunk != now:
+                if now is not None:
+                    yield _vectors(now, own.changes(base, n))
+                now, own, n = chunk, copy.deepcopy(base), 0
+                rng = np.random.default_rng((base.cnn.rule.seed + 1, epoch, chunk))
+            own.learn(texts, labels, rng)
+            n += len(texts)
+        if now is not None:
+            yield _vectors(now, own.changes(base, n))
+
+    return run
+
+
+#: Bins of a unit of the logit in which scores are counted to set thresholds.
+_BINS = 64
+
+
+def _binned(sent):
+    """The bin of each text's logit."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cnn: Cnn = sent.value
+        tables = cnn.tables()
+        for batch in batches:
+            place = np.floor(np.clip(cnn.raw(numbers(batch, "text"), tables), -60, 60) * _BINS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(place), numbers(batch, "toxic"), numbers(batch, "lang")], ["bin", "toxic", "lang"])
+
+    return run
+
+
+def _best_threshold(scores: np.ndarray, clean: np.ndarray, toxic: np.ndarray, toll: float = 2.0) -> float:
+    """Between two scores, where false alarms (each counts ``toll``) and misses together cost least, from the texts of each distinct score."""
     order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], labels[order]
-    cost = np.concatenate(([y.sum()], y.sum() - np.cumsum(y) + toll * np.cumsum(1 - y)))
-    cost[1:-1][s[1:] == s[:-1]] = np.inf
+    s = scores[order]
+    cost = np.concatenate(([toxic.sum()], toxic.sum() - np.cumsum(toxic[order]) + toll * np.cumsum(clean[order])))
     best = np.flatnonzero(cost == cost.min())
     k = int(best[len(best) // 2])
     return float((np.append(1.0, s)[k] + np.append(s, 0.0)[k]) / 2)
 
 
-def fit(rows: list[tuple], rule: CnnRule = CnnRule()) -> Cnn:
-    """A classifier from (text, label, language) rows. Without rows of both labels every score is the same.
+def _scores(rows: list, shift: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of bins, and how many texts of label 0 and 1 each has."""
+    at = {b: k for k, b in enumerate(sorted({r["bin"] for r in rows}))}
+    count = np.zeros((2, len(at)))
+    for r in rows:
+        count[r["toxic"], at[r["bin"]]] += r["n"]
+    return 1 / (1 + np.exp(-((np.array(list(at)) + 0.5) / _BINS + shift))), count[0], count[1]
+
+
+def fit(rows: DataFrame, rule: CnnRule = CnnRule()) -> Cnn:
+    """A classifier from all rows of a table from ``training_rows``. Without rows of both labels every score is the same.
 
     Of every five rows one is kept aside to calibrate: the pooled threshold is moved to THRESHOLD by a shift of
-    the logit, and each language with 20 rows of either label gets a threshold of its own.
+    the logit, and each language with 20 rows of either label gets a threshold of its own. Thresholds follow from
+    the counts of all these rows by bins of the logit.
     """
-    model = Cnn.fresh(rule)
-    labels = np.array([r[1] for r in rows], np.float32)
-    if len(set(labels.tolist())) < 2:
+    model, context = Cnn.fresh(rule), rows.sparkSession.sparkContext
+    held = {(r["aside"], r["toxic"]): r["n"] for r in rows.groupBy("aside", "toxic").agg(F.count("*").alias("n")).collect()}
+    labels = {y for _, y in held}
+    if len(labels) < 2:
         model.out[:] = 0
-        model.shift = 3.0 if len(labels) and labels[0] else -3.0
+        model.shift = 3.0 if labels == {1} else -3.0
         return model
-    aside = np.arange(len(rows)) % 5 == 4
-    if len(set(labels[aside].tolist())) < 2 or len(set(labels[~aside].tolist())) < 2:
-        aside[:] = False
-    texts = pa.array([r[0] for r in rows], pa.large_binary())
-    fitted = np.flatnonzero(~aside)
-    model.begin_with_odds(texts.take(pa.array(fitted)), labels[fitted])
-    model.train(texts.take(pa.array(fitted)), labels[fitted])
-    test = np.flatnonzero(aside) if aside.any() else fitted
-    scores, y = model.score(texts.take(pa.array(test)), model.tables()), labels[test]
+    fitted = test = rows
+    if len(held) == 4:
+        fitted, test = rows.where("not aside"), rows.where("aside")
+        held = {k: n for k, n in held.items() if not k[0]}
+    fitted = fitted.select("chunk", "toxic", "text")
+    seen = _summed(fitted.mapInArrow(_texts_with(rule), _SUMS))
+    model.begin_with_odds(np.stack([seen[0], seen[1]]), np.array([sum(n for (_, y), n in held.items() if y == label) for label in (0, 1)]))
+    training = Training(model)
+    for epoch in range(rule.epochs):
+        sent = context.broadcast(training)
+        training.average(_summed(fitted.mapInArrow(_learn(sent, epoch), _SUMS)))
+        sent.unpersist()
+    sent = context.broadcast(model)
+    found = test.select("text", "toxic", "lang").mapInArrow(_binned(sent), "bin int, toxic int, lang string")
+    # in the languages that are no others, which are many where the column holds anything
+    told = found.groupBy("lang", "bin", "toxic").agg(F.count("*").alias("n"))
+    known = test.groupBy("lang").agg(F.sum("toxic").alias("y"), F.count("*").alias("n")).where("y >= 20 and n - y >= 20").select("lang", F.lit(True).alias("own"))
+    told = told.join(known, "lang", "left").groupBy(F.expr("if(own, lang, null)").alias("lang"), "bin", "toxic").agg(F.sum("n").alias("n")).collect()
     logit = lambda p: float(np.log(max(p, 1e-9) / max(1 - p, 1e-9)))
-    model.shift = logit(THRESHOLD) - logit(_best_threshold(scores, y))
-    scores = 1 / (1 + np.exp(-(np.log(np.maximum(scores, 1e-12) / np.maximum(1 - scores, 1e-12)) + model.shift)))
-    langs = np.array([rows[i][2] or "" for i in test])
-    for lang in np.unique(langs):
-        own = langs == lang
-        if min(y[own].sum(), (1 - y[own]).sum()) >= 20:
-            # within a band around the pooled threshold, so that a clean small sample doesn't move it to an extreme
-            model.thresholds[str(lang)] = float(np.clip(_best_threshold(scores[own], y[own]), 0.5, 0.9))
+    model.shift = logit(THRESHOLD) - logit(_best_threshold(*_scores(told, 0.0)))
+    for lang in {r["lang"] for r in told} - {None}:
+        # within a band around the pooled threshold, so that a clean small sample doesn't move it to an extreme
+        model.thresholds[lang] = float(np.clip(_best_threshold(*_scores([r for r in told if r["lang"] == lang], model.shift)), 0.5, 0.9))
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rule: CnnRule, held_out) -> list[tuple]:
-    """The rows of at most ``rule.sample`` ids of each label, those of smallest hash, twice as many at most; in a fixed order.
-
-    Texts of more than ``rule.longest`` bytes aren't fitted on, so what comes to the driver is bounded.
-    """
-    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out)
-    order = F.xxhash64(F.col("doc_id"), F.lit(rule.seed))
-    parts = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(rule.sample) for y in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])
-    rows = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= rule.longest).select("doc_id", "text", "lang").join(chosen, "doc_id")
-    # rows may share an id
-    rows = rows.orderBy(F.xxhash64("doc_id", "text")).limit(2 * rule.sample).select("doc_id", F.col("text").cast("binary"), "toxic", "lang").collect()
-    rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r[0], bytes(r[1] or b"")))
-    return [(bytes(r[1]) if r[1] is not None else b"", r[2], r[3]) for r in rows]
+def training_rows(docs: DataFrame, labels: DataFrame, rule: CnnRule, held_out) -> DataFrame:
+    """All labelled rows that aren't held out, whole, as a table dealt to chunks by hash: ``chunk``, ``aside``, ``toxic``, ``lang`` and ``text``."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out)
+    count = docs.select("doc_id").join(known, "doc_id").count()
+    # Spark's own guess of the labels' size would shuffle all texts for a few megabytes of them
+    known = F.broadcast(known) if known.count() <= rule.sent else known.hint("merge")
+    chunks = max(1, min(rule.chunks, -(-count // rule.chunk)))
+    place = lambda seed: F.xxhash64("doc_id", "text", F.lit(seed))
+    rows = docs.where(~held_out).join(known, "doc_id").select(
+        F.pmod(place(rule.seed), F.lit(chunks)).cast("int").alias("chunk"), (F.pmod(place(rule.seed + 1), F.lit(5)) == 4).alias("aside"), "toxic",
+        F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), place(rule.seed + 2).alias("place"), "doc_id",
+    )
+    rows = rows.repartition(chunks, "chunk").sortWithinPartitions("chunk", "place", "doc_id", "lang").drop("place", "doc_id")
+    return Scratch(docs.sparkSession, "toxic").save(rows, "rows")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rule: CnnRule = CnnRule()) -> DataFrame:
@@ -242,8 +398,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, rule: CnnRule = CnnRule()) -> D
     isn't held out. A document with several labels is toxic if one says so; labels other than 0 and 1 count as
     none. Without labels of both kinds every text gets the same score. An empty table gives no rows.
 
-    At most ``rule.sample`` rows of each label, of ``rule.longest`` bytes each, are fitted on, on the driver; every text
-    is scored in full.
+    All labelled rows that aren't held out are learnt from, in full, by tasks side by side (see ``Training``): words are
+    counted and thresholds set over all of them, and after each pass every chunk's changes are averaged. They are kept as
+    a table in the shared folder meanwhile.
     """
     small_batches(docs)
     docs, labels = pick(docs, "doc_id", "text", "lang"), pick(labels, "doc_id", "toxic")

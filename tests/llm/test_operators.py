@@ -327,6 +327,34 @@ def test_toxicity(spark, none):
     assert X.toxicity(none, labels).count() == 0 and {r.predicted for r in X.toxicity(df, labels.where("toxic = 0")).collect()} == {0}
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Before, rows of more than 65,536 bytes, and those beyond a sample, weren't fitted on."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(16)
+    long = lambda: " ".join(rng.choice(WORDS) for _ in range(18_000))
+    rows = [(k, long() + " vilea vileb" if k % 3 == 0 else " ".join(rng.choice(WORDS) for _ in range(30))) for k in range(60)]
+    assert min(len(t) for k, t in rows if k % 3 == 0) > 65_536
+    df = spark.createDataFrame([(k, t, "en") for k, t in rows] + [(100 + k, f"{t} vilea", "en") for k, t in rows if k % 3], "doc_id long, text string, lang string")
+    got = X.toxicity(df, spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int")).collect()
+    assert all(r.predicted == (r.doc_id % 3 == 0) for r in got if r.doc_id < 100)
+
+    few = [(k, f"{rng.choice(WORDS)} {'vilea' if k % 4 == 0 else 'fine'} {rng.choice(WORDS)}") for k in range(600)]
+    df = spark.createDataFrame([(k, t, "en") for k, t in few], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(600)], "doc_id long, toxic int")
+    rule = X.CnnRule(chunk=60)
+    trained, met = (X.training_rows(df, labels, r, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1) for r in (rule, X.CnnRule(chunk=60, sent=0)))
+    assert trained.collect() == met.collect()
+    train = [k for k, _ in few if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert sorted(r.text for r in trained.collect()) == sorted(few[k][1] for k in train) and trained.select("chunk").distinct().count() == -(-len(train) // 60)
+    seen = X._summed(trained.select("chunk", "toxic", "text").mapInArrow(X._texts_with(rule), X._SUMS))
+    ids = X.word_buckets(pa.array(["vilea fine"]), 0, rule.buckets)[0]
+    assert [seen[1][ids[0, 0]], seen[0][ids[1, 0]]] == [sum(k % 4 == 0 for k in train), sum(k % 4 != 0 for k in train)]
+    got = {r.doc_id: (r.score, r.predicted) for r in X.toxicity(df, labels, rule).collect()}
+    assert all(p == (k % 4 == 0) for k, (_, p) in got.items())
+    assert got == {r.doc_id: (r.score, r.predicted) for r in X.toxicity(df, labels, rule).collect()}
+
+
 def test_mix(spark, docs, none):
     rows = mix(docs).collect()
     assert len(rows) == docs.count() and all(r.taken <= 2 * r.size for r in rows)
