@@ -21,6 +21,9 @@ class CurveRule:
     A query meets the rows within ``reach`` (a fraction of all distinct vectors) of its place on each curve. Without one
     given it is what brings the share ``recall`` of the true neighbours of ``probes`` queries, which are compared with
     all vectors, into reach on some curve.
+
+    A curve is cut into ``blocks`` blocks of ``block`` rows or more, but no more than ``most``, which one task holds. So a query
+    that meets a share of all rows is answered by as many blocks whatever the table's size.
     """
 
     curves: int = 16
@@ -30,9 +33,15 @@ class CurveRule:
     recall: float = 0.93
     probes: int = 96
     block: int = 512
+    blocks: int = 16
+    most: int = 200_000
     sample: int = 4_000
     seed: int = 3
 
+    def rows(self, count: int) -> int:
+        """Rows of a block of a curve of ``count`` rows."""
+        return max(self.block, min(self.most, -(-count // self.blocks)))
+
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Rows that can take part and their vectors; a vector must be of finite numbers, not all zero."""
@@ -83,12 +92,15 @@ def _keys(curves: Curves):
     return run
 
 
-def _search(top: int, asked: int):
-    """Exact scores of a block's rows against the queries dealt to it, from rows sorted by (curve, block, asking)."""
+def _search(top: int, near: int):
+    """Exact scores of a block's rows against the queries dealt to it, from rows sorted by (curve, block, asking, place).
+
+    Queries are taken a few at a time, which lie together, against the rows within ``near`` of any of them.
+    """
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, ids, owner, flat = None, [], [], None, None
+        now, held, ids, places, owner, flat = None, [], [], [], None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -99,31 +111,36 @@ def _search(top: int, asked: int):
             for a, b in zip(bounds, bounds[1:]):
                 part = batch.slice(a, b - a)
                 if place[a] != now:
-                    now, held, ids, flat = place[a], [], [], None
-                held_vectors = numbers(part, "embedding")
+                    now, held, ids, places, flat = place[a], [], [], [], None
+                held_vectors, at = numbers(part, "embedding"), numbers(part, "place").to_numpy()
                 vectors = held_vectors.flatten().to_numpy().astype(np.float64).reshape(len(held_vectors), -1)
                 if not asking[a]:
                     held.append(vectors)
                     ids.append(numbers(part, "ids"))
+                    places.append(at)
                     continue
                 if not held:
                     continue
                 if flat is None:
                     base = np.concatenate(held)
                     flat = np.concatenate([i.flatten().to_numpy() for i in ids])
-                    owner = np.repeat(np.arange(len(base)), np.concatenate([i.value_lengths().to_numpy() for i in ids]))
-                for k in range(0, len(vectors), 256):
-                    scores = vectors[k : k + 256] @ base.T
+                    size = np.concatenate([i.value_lengths().to_numpy() for i in ids])
+                    owner, first = np.repeat(np.arange(len(base)), size), np.concatenate(([0], np.cumsum(size)))
+                    along = np.concatenate(places)
+                for k in range(0, len(vectors), 32):
+                    low, high = np.searchsorted(along, (at[k] - near, at[min(k + 32, len(at)) - 1] + near + 1))
+                    scores = vectors[k : k + 32] @ base[low:high].T
+                    own_ids, own_rows = flat[first[low] : first[high]], owner[first[low] : first[high]] - low
                     found_ids, found_scores = [], []
                     for row in scores:
                         # rows as good as the last that is needed, ties included
                         few = np.flatnonzero(row >= np.partition(row, -top)[-top]) if len(row) > top else np.arange(len(row))
-                        own = np.flatnonzero(np.isin(owner, few)) if len(flat) != len(base) else few
-                        order = np.lexsort((flat[own], -row[owner[own]]))[:top]
-                        found_ids.append(flat[own][order])
-                        found_scores.append(row[owner[own]][order])
+                        own = np.flatnonzero(np.isin(own_rows, few)) if len(own_ids) != len(row) else few
+                        order = np.lexsort((own_ids[own], -row[own_rows[own]]))[:top]
+                        found_ids.append(own_ids[own][order])
+                        found_scores.append(row[own_rows[own]][order])
                     yield pa.RecordBatch.from_arrays(
-                        [numbers(part, "first_id").slice(k, 256), pa.array(found_ids, pa.list_(pa.int64())), pa.array(found_scores, pa.list_(pa.float64()))], ["first_id", "near", "scores"]
+                        [numbers(part, "first_id").slice(k, 32), pa.array(found_ids, pa.list_(pa.int64())), pa.array(found_scores, pa.list_(pa.float64()))], ["first_id", "near", "scores"]
                     )
 
     return run
@@ -182,7 +199,7 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, rule: CurveRule
 
     Equal vectors are one point with their ``top + 1`` smallest ids, more can't be found; their queries are
     answered once. Every point is indexed on every curve, range-sorted by key and cut into blocks by rank. A
-    query goes to the blocks within its reach, where scores are computed on the original vectors. How far that is
+    query goes to the blocks within its reach, where scores of the rows in reach are computed on the original vectors. How far that is
     follows from the data (see ``CurveRule``): a few rows where neighbours lie together, a large part of all where vectors
     point every way alike.
     """
@@ -222,16 +239,16 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, rule: CurveRule
     count = max(total.values())
     offsets = spark.createDataFrame(ahead, "curve int, part int, lift long")
     ranked = ordered.join(offsets, ["curve", "part"]).withColumn("place", F.col("seq") + F.col("lift"))
-    block = lambda c: F.floor(c / rule.block).cast("long")
+    block = lambda c: F.floor(c / rule.rows(count)).cast("long")
     near = max(top + 1, int(rule.reach * count) if rule.reach is not None else measured_reach(points, ranked, top, rule) if count > rule.block else count)
     first_id = F.element_at("ids", 1).alias("first_id")
-    base = ranked.select("curve", block(F.col("place")).alias("block"), F.lit(False).alias("asking"), first_id, "ids", "embedding")
+    base = ranked.select("curve", block(F.col("place")).alias("block"), F.lit(False).alias("asking"), "place", first_id, "ids", "embedding")
     asked = ranked.where("asks").select(
         "curve", F.explode(F.sequence(block(F.greatest(F.lit(0), F.col("place") - near)), block(F.least(F.lit(count - 1), F.col("place") + near)))).alias("block"),
-        F.lit(True).alias("asking"), first_id, F.array().cast("array<long>").alias("ids"), "embedding",
+        F.lit(True).alias("asking"), "place", first_id, F.array().cast("array<long>").alias("ids"), "embedding",
     )
-    met = base.unionByName(asked).repartition("curve", "block").sortWithinPartitions("curve", "block", "asking")
-    answers = met.mapInArrow(_search(top + 1, every), "first_id long, near array<long>, scores array<double>")
+    met = base.unionByName(asked).repartition("curve", "block").sortWithinPartitions("curve", "block", "asking", "place")
+    answers = met.mapInArrow(_search(top + 1, near), "first_id long, near array<long>, scores array<double>")
     # one inner product may differ in its last bit between blocks; an id counts once, with its best score
     found = answers.select("first_id", F.explode(F.arrays_zip("near", "scores")).alias("e")).groupBy("first_id", F.col("e.near").alias("id")).agg(F.max("e.scores").alias("score"))
     order = Window.partitionBy("first_id").orderBy(F.desc("score"), "id")

@@ -452,6 +452,35 @@ def test_reach_follows_from_the_data(spark):
     assert np.mean(hits) >= 0.93 and seen[0] * 2 < 0.2 * 3000
 
 
+def test_blocks_of_a_query_do_not_grow_with_the_table(spark, monkeypatch):
+    """Before, blocks had one size whatever the table's, so of a share of all rows came answers that grew with its square."""
+    from modweave.llm import ann
+
+    x = np.random.default_rng(17).normal(size=(2000, 8)).astype(np.float32)
+    y = x.astype(np.float64)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    made, was = [], ann._search
+
+    def counted(top, near):
+        def run(batches):
+            for batch in was(top, near)(batches):
+                total.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(ann, "_search", counted)
+    for count in (400, 2000):
+        total = spark.sparkContext.accumulator(0)
+        got = {}
+        for r in nearest(rows.where(f"vec_id < {count}"), rule=CurveRule(block=25, reach=0.25, curves=4)).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        made.append(total.value)
+        hits = [len(got[q] & set(np.argsort(-(y[:count] @ y[q]))[:21].tolist())) for q in got]
+        assert len(got) == count // 20 and np.mean(hits) >= 16
+    assert 0 < made[1] <= 6 * made[0]
+
+
 def held(d):
     return d is not None and zlib.crc32(str(d).encode()) % 10 == 0
 
