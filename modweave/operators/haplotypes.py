@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Positions that one bucket of the interval joins covers.
 BUCKET = 10_000
+#: Pairs of a segment and a block that one task compares, at most but for a very full bucket.
+PAIRS = 500_000
 
 
 def _buckets(low: str, high: str, size: int):
@@ -56,24 +58,36 @@ def segments(blocks: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return rows.select(F.col("b").alias("seg_start"), (F.coalesce("after", "next") - 1).alias("seg_end")).where("seg_end is not null")
 
 
-def covering_blocks(blocks: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def shares(blocks: DataFrame, bucket: int = BUCKET) -> int:
+    """Tasks among which the pairs of segments and blocks are dealt: their number follows the pairs, so a task's rows don't grow."""
+    spread = blocks.select(_buckets("snp_start", "snp_end", bucket).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    # a block has two boundaries, one of which may lie beyond its last bucket
+    bounds = blocks.select(F.explode(F.array("snp_start", F.col("snp_end") + 1)).alias("b")).distinct().groupBy(F.floor(F.col("b") / bucket).alias("bucket")).agg(F.count("*").alias("k"))
+    pairs = spread.join(bounds, "bucket").agg(F.sum(F.col("n") * F.col("k"))).first()[0] or 0
+    return max(1, -(-pairs // PAIRS))
+
+
+def covering_blocks(blocks: DataFrame, bucket: int = BUCKET, parts: int | None = None) -> DataFrame:
     """Blocks that contain each segment, ``level`` in block order; segments of one block are left out.
 
     A block is dealt to the buckets it covers and a segment to that of its start, so the containment test
-    runs inside an equi-join instead of over all pairs.
+    runs inside an equi-join instead of over all pairs, and levels are counted where the join leaves them. ``parts``: the
+    tasks, as ``shares`` counts them.
     """
-    spread = blocks.withColumn("bucket", _buckets("snp_start", "snp_end", bucket))
-    parts = segments(blocks, bucket).withColumn("bucket", F.floor(F.col("seg_start") / bucket))
-    held = parts.join(spread, "bucket").where("snp_start <= seg_start and snp_end >= seg_end").drop("bucket")
-    whole = Window.partitionBy("seg_start", "seg_end")
+    parts = parts or shares(blocks, bucket)
+    spread = blocks.withColumn("bucket", _buckets("snp_start", "snp_end", bucket)).repartition(parts, "bucket")
+    found = segments(blocks).withColumn("bucket", F.floor(F.col("seg_start") / bucket)).repartition(parts, "bucket")
+    held = found.hint("merge").join(spread, "bucket").where("snp_start <= seg_start and snp_end >= seg_end")
+    whole = Window.partitionBy("bucket", "seg_start", "seg_end")
     held = held.withColumn("n_levels", F.count("*").over(whole)).withColumn("level", F.row_number().over(whole.orderBy("block_ord")) - 1)
     return held.where("n_levels > 1").select("seg_start", "seg_end", "block_ord", "level", "n_levels")
 
 
-def assign_levels(entries: DataFrame, covering: DataFrame) -> DataFrame:
-    """Each entry's level in each segment it overlaps; the smallest where several blocks claim it."""
-    met = entries.join(covering, "block_ord").where("start <= seg_end and end >= seg_start")
-    return met.groupBy("id", "seg_start", "seg_end").agg(F.min("level").alias("level"))
+def assign_levels(entries: DataFrame, covering: DataFrame, parts: int | None = None) -> DataFrame:
+    """Each entry's level in each segment it overlaps; the smallest where several blocks claim it. ``parts``: tasks, as for ``covering_blocks``."""
+    dealt = (lambda df, key: df.repartition(parts, key)) if parts else (lambda df, key: df)
+    met = dealt(entries, "block_ord").join(dealt(covering, "block_ord"), "block_ord").where("start <= seg_end and end >= seg_start")
+    return dealt(met.select("id", "seg_start", "seg_end", "level"), "seg_start").groupBy("id", "seg_start", "seg_end").agg(F.min("level").alias("level"))
 
 
 def hap_dataset(entries: DataFrame, covering: DataFrame) -> DataFrame:

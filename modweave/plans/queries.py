@@ -369,7 +369,8 @@ select id, seg_start, seg_end, min(level)::int as level from e join c using (blo
 def hap_assign(spark, d):
     b = blocks_of(spark, d)
     e = b.select("block_ord", F.concat(F.lit("r"), F.col("block_ord") % 60).alias("id"), (F.col("snp_start") + F.col("block_ord") % 3).alias("start"), "snp_end").withColumn("end", F.greatest("start", F.col("snp_end") - F.col("block_ord") % 5))
-    return H.assign_levels(e, H.covering_blocks(b, 16))
+    parts = H.shares(b, 16)
+    return H.assign_levels(e, H.covering_blocks(b, 16, parts), parts)
 
 
 @query("""with h as (select row_number() over (order by o_orderkey) - 1 as row_ord, o_custkey::varchar as id, o_orderkey as v from orders where o_orderkey in (select min(o_orderkey) from orders group by o_custkey)),

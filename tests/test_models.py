@@ -130,3 +130,15 @@ def test_numbers_by_bucket(spark):
     for size in (1, 7, 1000):
         assert sorted(tuple(r) for r in H.segments(blocks, size).collect()) == [(1, 2), (3, 4), (5, 8), (9, 9), (10, 24), (25, 25)]
     assert H.segments(blocks.where("false")).count() == 0
+
+
+def test_tasks_of_segments_follow_the_pairs(spark, monkeypatch):
+    blocks = spark.range(1, 401).selectExpr("cast(id as int) block_ord", "id snp_start", "id + id % 9 snp_end")
+    entries = blocks.selectExpr("block_ord", "concat('r', block_ord % 7) id", "snp_start start", "snp_end end")
+    few = sorted(map(tuple, H.assign_levels(entries, H.covering_blocks(blocks, 16)).collect()))
+    assert H.shares(blocks, 16) == 1 and H.shares(blocks.where("false"), 16) == 1
+    monkeypatch.setattr(H, "PAIRS", 500)
+    parts = H.shares(blocks, 16)
+    assert 10 < parts and 1.5 < H.shares(blocks.unionByName(blocks.selectExpr("block_ord + 400", "snp_start + 4000", "snp_end + 4000").toDF(*blocks.columns)), 16) / parts < 2.5
+    many = H.assign_levels(entries, H.covering_blocks(blocks, 16, parts), parts)
+    assert sorted(map(tuple, many.collect())) == few and many.rdd.getNumPartitions() == parts
